@@ -79,8 +79,11 @@ def over_bits(
     )
     if shared is not None:
         keys = keys.join(shared, "module", "left")
-    members = vectors.groupBy("module", blocks(member_block).alias("_mb")).agg(
-        F.flatten(F.collect_list("own")).alias("own")
+    # Every member block goes to each key block of its module, so even one huge module spreads over all tasks.
+    members = (
+        vectors.groupBy("module", blocks(member_block).alias("_mb"))
+        .agg(F.first("n").alias("n"), F.flatten(F.collect_list("own")).alias("own"))
+        .select("module", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / F.lit(key_block)) - 1)).alias("_kb"), "own")
     )
 
     columns = [c.strip() for c in schema.split(";")]
@@ -104,7 +107,7 @@ def over_bits(
         arrays = [pa.array(v, type=f.type) for v, f in zip(values, arrow)]
         yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
-    paired = keys.join(members.drop("_mb"), "module")
+    paired = keys.join(members.hint("merge"), ["module", "_kb"])
     return paired.groupBy("module", "_kb").applyInArrow(task, full)
 
 

@@ -99,6 +99,20 @@ def tie_blocks(df: DataFrame, group: Sequence[str], value: str = "value", floor_
     )
 
 
+def quantile(df: DataFrame, group: Sequence[str], q: float, value: str = "value", out: str = "quantile") -> DataFrame:
+    """Exact linearly interpolated quantile per group, read off the tie blocks instead of a per-group buffer."""
+    group = list(group)
+    at = F.lit(float(q)) * (F.col("n") - 1)
+    below, above = F.floor(at), F.ceil(at)
+    covers = lambda p: (F.col("tie_start") <= p) & (p < F.col("tie_start") + F.col("tie_size"))
+    ends = tie_blocks(df.filter(F.col(value).isNotNull()), group, value).groupBy(*group).agg(
+        F.max(F.when(covers(below), F.col(value))).alias("_lo"),
+        F.max(F.when(covers(above), F.col(value))).alias("_hi"),
+        F.max(at - below).alias("_part"),
+    )
+    return ends.select(*group, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part")).alias(out))
+
+
 def average_rank(df: DataFrame, group: Sequence[str], value: str = "value", out: str = "avg_rank") -> DataFrame:
     """Mean rank of ties, 1-based."""
     ranks = tie_blocks(df, group, value).select(

@@ -13,6 +13,7 @@ from itertools import combinations, islice
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import cut_lineage
 from ..functions.stats import EPSILON, critical_z, independent
 from .counts import CELL, KEY_BLOCK, cell_vectors, over_bits, pair_counts, test_counts
 from .neighborhoods import cell_neighborhoods
@@ -86,11 +87,11 @@ def separating_sets(outcomes: DataFrame) -> DataFrame:
 def skeleton_levels(expr: DataFrame, levels: int = 1, fraction: float = 0.1, alpha: float = 0.01) -> tuple[DataFrame, DataFrame]:
     """Edges and separating sets after testing conditioning sets of up to ``levels`` genes."""
     vectors = cell_vectors(cell_neighborhoods(expr, fraction))
-    edges = marginal_edges(expr, fraction, alpha)
+    edges = cut_lineage(marginal_edges(expr, fraction, alpha))
     found = None
     for level in range(1, levels + 1):
-        separated = separating_sets(level_outcomes(vectors, edges, level, alpha))
-        edges = edges.join(separated, list(EDGE), "left_anti")
+        separated = cut_lineage(separating_sets(level_outcomes(vectors, edges, level, alpha)))
+        edges = cut_lineage(edges.join(separated, list(EDGE), "left_anti"))
         found = separated if found is None else found.unionByName(separated)
     return edges, found
 
@@ -135,13 +136,14 @@ def walk_levels(bits: np.ndarray, n: int, limits, banned: set, required: set, ti
         edges = [(a, b) for a in range(genes) for b in start[a] if b > a]
         dropped = []
         if size == 0:
-            both = {a: _tally(bits[a] & bits) for a in {a for a, _ in edges}}
+            both = np.stack([_tally(row & bits) for row in bits])
+            marginal = _scores(n, single[:, None], single[None, :], both)
         for a, b in edges:
             if (a, b) in required:
                 continue
             limit = limits(a, b, size)
             if size == 0:
-                hit = () if _scores(n, single[a], single[b], both[a][b]) < limit else None
+                hit = () if marginal[a, b] < limit else None
             else:
                 now = start if stable else {a: sorted(near[a]), b: sorted(near[b])}
                 pools = [[g for g in now[end] if g != other] for end, other in ((a, b), (b, a))]
