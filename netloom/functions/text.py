@@ -53,17 +53,14 @@ def anchor_distance(anchor: Column, interval: Column) -> Column:
 
 def attribute_map(c: Column) -> Column:
     """MAP of ``key "value"; key "value"`` attributes, the last of equal keys winning."""
-    chunks = F.filter(F.transform(F.split(c, ";"), F.trim), lambda p: F.contains(p, F.lit(" ")))
+    chunks = F.filter(F.transform(F.split(c, ";"), lambda p: F.trim(p)), lambda p: F.contains(p, F.lit(" ")))
     entry = lambda p: F.struct(
         F.substring_index(p, " ", 1).alias("key"),
         F.regexp_replace(F.trim(F.substr(p, F.length(F.substring_index(p, " ", 1)) + 2)), r'^"+|"+$', "").alias("value"),
     )
-    entries = F.transform(chunks, entry)
-    last = F.filter(
-        entries,
-        lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]),
-    )
-    return F.map_from_entries(last)
+    empty = F.create_map().cast("map<string,string>")
+    put = lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["key"]), F.create_map(e["key"], e["value"]))
+    return F.aggregate(F.transform(chunks, entry), empty, put)
 
 
 def motif_tokens(c: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import PCA
@@ -31,7 +33,7 @@ def nearest_neighbors(vectors: DataFrame, k: int, key_block: int = KEY_BLOCK, bl
         F.explode(F.sequence(F.lit(0), F.ceil(F.col("_n") / key_block) - 1)).alias("_kb"),
         F.col("_r.cell_id").alias("id"), F.flatten("_r.v").alias("v"))
 
-    def task(group, batches):
+    def task(group: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best_d = best_i = ids = x = None
         for batch in batches:
             for row in range(batch.num_rows):

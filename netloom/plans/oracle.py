@@ -313,8 +313,8 @@ BASES = "ACGT" * 6 + "AC"
 SEQS = f"seq AS (SELECT doc_id::VARCHAR AS peak_name, lang, translate(text, '{UPPER}{UPPER.lower()}', '{BASES}{BASES}') AS s FROM documents)"
 PSSM = """tally AS (SELECT lang, p, count(*) FILTER (c = 'A') AS "A", count(*) FILTER (c = 'C') AS "C", count(*) FILTER (c = 'G') AS "G", count(*) FILTER (c = 'T') AS "T"
   FROM (SELECT lang, p, substr(s, p, 1) AS c FROM seq, (SELECT unnest(range(1, 7)) AS p)) WHERE c IN ('A', 'C', 'G', 'T') GROUP BY lang, p),
-odds AS (SELECT lang, p, unnest(['A', 'C', 'G', 'T']) AS c, unnest([log2(("A" + 0.5) / t / 0.25), log2(("C" + 0.5) / t / 0.25), log2(("G" + 0.5) / t / 0.25), log2(("T" + 0.5) / t / 0.25)]) AS o
-  FROM (SELECT *, ("A" + "C" + "G" + "T" + 2.0)::DOUBLE AS t FROM tally)),
+odds AS (SELECT lang, p, unnest(['A', 'C', 'G', 'T']) AS c, unnest([log2(("A" + 0.5) / total / 0.25), log2(("C" + 0.5) / total / 0.25), log2(("G" + 0.5) / total / 0.25), log2(("T" + 0.5) / total / 0.25)]) AS o
+  FROM (SELECT *, ("A" + "C" + "G" + "T" + 2.0)::DOUBLE AS total FROM tally)),
 ends AS (SELECT lang, sum(lo) AS lo, sum(hi) AS hi FROM (SELECT lang, p, min(o) AS lo, max(o) AS hi FROM odds GROUP BY lang, p) GROUP BY lang)"""
 add("pssm_table", f"SELECT lang AS motif_id, {r6('lo')} AS min_score, {r6('hi')} AS max_score FROM ends", SEQS, PSSM)
 add("pssm_scan", f"""SELECT peak_name, upper(lang) AS tf_symbol, {r6('max((score - lo) / (hi - lo))')} AS rel_score, {r6('max(score)')} AS abs_score
