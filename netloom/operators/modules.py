@@ -122,7 +122,7 @@ def decide_modules(cov: np.ndarray, power: float, cut: float, least: int, larges
 
 def gene_modules(cov: DataFrame, power: float = 6, cut: float = 0.7, least: int = 20, largest: int = 120) -> DataFrame:
     """(dataset, module_no, gene, order_in_module) from the covariance of each dataset."""
-    def build(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         n = int(frame["j"].max()) + 1
         if n > GENE_LIMIT:
             raise ValueError(f"{n} genes exceed the {GENE_LIMIT} one covariance may hold; select top genes first")

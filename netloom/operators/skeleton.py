@@ -179,13 +179,15 @@ def skeletons(
     required: DataFrame | None = None,
     tiers: DataFrame | None = None,
     levels: DataFrame | None = None,
+    second: DataFrame | None = None,
     key_block: int = KEY_BLOCK,
 ) -> DataFrame:
     """Full skeleton per cell: ``edges`` and ``sepsets`` arrays.
 
     ``forbidden`` and ``required`` hold (module, a, b); ``tiers`` (module, gene, tier).  ``levels`` holds raised
     significance (module, a, b, alpha, cap), with cell_id if it differs by cell, used while the conditioning
-    set has at most ``cap`` genes (-1 for always).
+    set has at most ``cap`` genes (-1 for always).  ``second`` (module, second) lists, in order, the genes whose
+    second-modality bits follow the first-modality ones in joint vectors.
     """
     shared = vectors.select("module").distinct()
     if forbidden is not None:
@@ -195,6 +197,8 @@ def skeletons(
     if tiers is not None:
         ordered = tiers.groupBy("module").agg(F.collect_list(F.struct("gene", "tier")).alias("tiers"))
         shared = shared.join(ordered, "module", "left")
+    if second is not None:
+        shared = shared.join(second, "module", "left")
     extra = None
     if levels is not None:
         entry = F.collect_list(F.struct("a", "b", "alpha", "cap")).alias("levels")
@@ -206,6 +210,11 @@ def skeletons(
 
     def visit(bits: np.ndarray, n: int, values: tuple) -> tuple:
         given = {k: (v if v is not None else ()) for k, v in zip(names, values)}
+        if "second" in given:
+            split = len(bits) - len(given["second"])
+            both = bits[:split].copy()
+            both[list(given["second"])] &= bits[split:]
+            bits = both
         pairs = lambda name: {(r["a"], r["b"]) for r in given.get(name, ())}
         base = critical_z(alpha)
         raised: dict = {}
