@@ -132,7 +132,7 @@ def _motif_triplets(spark, config, genes, membership, links, spots, aliases) ->
     hits = motifs.scan_sequences(files.read_sequences(spark, config.genome_fasta, wanted), catalogue)
     members = membership.join(genes, "gene").select(F.col("module_id").alias("module"), F.col("name").alias("module_column"), "gene_id", "gene_symbol")
     inside = links.join(members.select("module", F.col("module_column").alias("gene_module_column")), "gene_module_column") \
-        .withColumnRenamed("peak_accessibility_median", "peak_median")
+        .withColumnRenamed("peak_accessibility_median", "peak_median").drop("gene_gene_id")
     return motifs.triplets(inside, hits, members)
 
 

@@ -186,7 +186,7 @@ def test_nearest_neighbours(spark):
 def test_motif_strands():
     pssm = np.log2((np.array([[8, 0, 0, 0], [0, 8, 0, 0], [0, 0, 8, 0]]) + 0.5) / 10.0 / 0.25)
     motif = {"matrix": pssm, "min_score": pssm.min(1).sum(), "max_score": pssm.max(1).sum()}
-    plus = motifs._best_hit(motifs._encode("TTACGTT"), motif, 0.85)
+    plus = motifs._best_hit(motifs._encode("TTACGAA"), motif, 0.85)
     assert plus[3] == "+" and plus[2] == 2 and plus[0] == pytest.approx(1.0)
     minus = motifs._best_hit(motifs._encode("TTCGTNN"), motif, 0.85)
     assert minus[3] == "-" and minus[2] == 5
