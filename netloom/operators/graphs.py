@@ -95,31 +95,34 @@ def successor_closure(packed: DataFrame) -> DataFrame:
     return packed.mapInPandas(batches, schema).select(*key, F.inline("paths"))
 
 
+def _dependency_order(ptr, to) -> list[int]:
+    n = len(ptr) - 1
+    waiting = [0] * n
+    for d in to:
+        waiting[d] += 1
+    ready = [v for v in range(n) if not waiting[v]]
+    done: list[int] = []
+    while ready:
+        done.extend(ready)
+        following = []
+        for v in ready:
+            for d in to[ptr[v]:ptr[v + 1]]:
+                waiting[d] -= 1
+                if not waiting[d]:
+                    following.append(int(d))
+        ready = sorted(following)
+    return done if len(done) == n else [-1] * n
+
+
 def topological_orders(packed: DataFrame) -> DataFrame:
     """Add ``topo_order``: nodes in dependency order, smallest first among the ready; all -1 if cyclic."""
-    @F.pandas_udf("array<int>")
-    def order(ptrs: pd.Series, targets: pd.Series) -> pd.Series:
-        def one(ptr, to):
-            n = len(ptr) - 1
-            waiting = [0] * n
-            for d in to:
-                waiting[d] += 1
-            ready = sorted(v for v in range(n) if not waiting[v])
-            done = []
-            while ready:
-                done.extend(ready)
-                nxt = []
-                for v in ready:
-                    for d in to[ptr[v]:ptr[v + 1]]:
-                        waiting[d] -= 1
-                        if not waiting[d]:
-                            nxt.append(int(d))
-                ready = sorted(nxt)
-            return done if len(done) == n else [-1] * n
-
-        return pd.Series([one(p, t) for p, t in zip(ptrs, targets)])
-
-    return packed.withColumn("topo_order", order("node_ptr", "targets"))
+    def batches(frames):
+        for frame in frames:
+            orders = [_dependency_order(p, t) for p, t in zip(frame["node_ptr"], frame["targets"])]
+            yield frame.assign(topo_order=pd.Series(orders, index=frame.index, dtype=object))
+
+    schema = ", ".join(f"{name} {kind}" for name, kind in packed.dtypes) + ", topo_order array<int>"
+    return packed.mapInPandas(batches, schema)
 
 
 def edges_in(edges: DataFrame, pairs: DataFrame) -> DataFrame:
