@@ -4,7 +4,7 @@ Two physical strategies give the same numbers.
 
 ``bitmap``  key cells are cut into blocks, member cells into blocks, and each task streams the member blocks
             past one key block, keeping packed bits for its keys only.  No (key, member) pair is ever a row.
-            The work is n^2 / 64 words per gene set, right up to some hundred thousand cells per module.
+            The work is n^2 / 64 words per gene set, right up to about a million cells per module.
 ``dyadic``  for gene pairs: count points under a corner with prefix sums over power-of-two rank intervals,
             O(log n) rows per distinct point and query.  Purely relational and near linear, for modules too
             large for any all-against-all pass and for heavily tied data.
@@ -24,7 +24,7 @@ from .ranks import running_total
 
 MEMBER_BLOCK = 4096
 KEY_BLOCK = 128
-BITMAP_LIMIT = 500_000
+BLOCK_BITS = 2**30  # packed bits one task may hold: 128 MB
 CELL = ("module", "cell_id")
 
 
@@ -66,11 +66,14 @@ def over_bits(
     ``extra`` holds further columns per (module, cell); only cells present in it are visited.  ``shared`` holds
     columns per module, sent once per block and handed over after the cell's own.
     """
-    blocks = lambda size: F.pmod(F.xxhash64("cell_id"), F.ceil(F.col("n") / F.lit(size)))
+    # Wide or long modules get smaller key blocks, so what a task holds does not grow with the data.
+    fits = F.floor(F.lit(BLOCK_BITS) / (F.col("n") * F.size("own"))).cast("bigint")
+    vectors = vectors.withColumn("_per_block", F.least(F.lit(key_block).cast("bigint"), F.greatest(F.lit(1).cast("bigint"), fits)))
+    blocks = lambda size: F.pmod(F.xxhash64("cell_id"), F.ceil(F.col("n") / size))
     fields = [] if extra is None else [c for c in extra.columns if c not in CELL]
     common = [] if shared is None else [c for c in shared.columns if c != "module"]
     keyed = vectors if extra is None else vectors.join(extra, list(CELL))
-    keys = keyed.groupBy("module", blocks(key_block).alias("_kb")).agg(
+    keys = keyed.groupBy("module", blocks(F.col("_per_block")).alias("_kb")).agg(
         F.first("n").alias("n"), F.collect_list(F.struct("cell_id", "lo", "hi", *fields)).alias("_k")
     ).select(
         "module", "_kb", "n",
@@ -81,9 +84,9 @@ def over_bits(
         keys = keys.join(shared, "module", "left")
     # Every member block goes to each key block of its module, so even one huge module spreads over all tasks.
     members = (
-        vectors.groupBy("module", blocks(member_block).alias("_mb"))
-        .agg(F.first("n").alias("n"), F.flatten(F.collect_list("own")).alias("own"))
-        .select("module", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / F.lit(key_block)) - 1)).alias("_kb"), "own")
+        vectors.groupBy("module", blocks(F.lit(member_block)).alias("_mb"))
+        .agg(F.first("n").alias("n"), F.first("_per_block").alias("_per_block"), F.flatten(F.collect_list("own")).alias("own"))
+        .select("module", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / F.col("_per_block")) - 1)).alias("_kb"), "own")
     )
 
     columns = [c.strip() for c in schema.split(";")]

@@ -75,11 +75,14 @@ def test_pair_counts_match_brute_force_and_dyadic(spark, matrix):
     assert all(dyadic[r.a, r.b, matrix[r.cell_id, r.a], matrix[r.cell_id, r.b]] == r.c_ab for r in rows)
 
 
-def test_several_blocks_agree_with_one(spark, matrix):
+def test_several_blocks_agree_with_one(spark, matrix, monkeypatch):
     vectors = counts.cell_vectors(neighborhoods.cell_neighborhoods(long(spark, matrix), 0.1))
     small = counts.over_bits(vectors, counts._all_pairs, "single array<bigint>; both array<bigint>", key_block=16, member_block=20)
     whole = counts.over_bits(vectors, counts._all_pairs, "single array<bigint>; both array<bigint>", key_block=4096)
     assert small.exceptAll(whole).count() == 0 and small.count() == 90
+    monkeypatch.setattr(counts, "BLOCK_BITS", 90 * 6 * 10)
+    tight = counts.over_bits(vectors, counts._all_pairs, "single array<bigint>; both array<bigint>")
+    assert tight.exceptAll(whole).count() == 0 and tight.count() == 90
 
 
 def test_z_score_and_levels(spark):

@@ -81,6 +81,16 @@ def test_annotation_motifs_and_sequences(spark, tmp_path):
     assert found == {"p": "TACCCCCG", "q": "TTTTTA"}
 
 
+def test_matrix_market(spark, tmp_path):
+    (tmp_path / "matrix.mtx").write_text("%%MatrixMarket matrix coordinate integer general\n%x\n2 3 3\n1 1 5\n2 1 7\n1 3 9\n")
+    (tmp_path / "features.tsv").write_text("E1\tA\tGene Expression\tchr1\t5\t9\nE2\tB\tPeaks\tchr2\t6\t8\n")
+    (tmp_path / "barcodes.tsv").write_text("x\ny\nz\n")
+    counts, listed, barcodes = files.read_coordinates(spark, str(tmp_path))
+    assert {tuple(r) for r in counts.collect()} == {(1, 1, 5.0), (1, 2, 7.0), (3, 1, 9.0)}
+    assert {(r.feature_id, r.name, r.interval) for r in listed.collect()} == {(1, "A", "chr1:5-9"), (2, "B", "chr2:6-8")}
+    assert {tuple(r) for r in barcodes.collect()} == {(1, "x"), (2, "y"), (3, "z")}
+
+
 def test_multiome(spark, tmp_path):
     rng = np.random.default_rng(9)
     n = 50
