@@ -54,6 +54,21 @@ def test_priors_change_networks(spark, tmp_path):
     assert facts["oriented_edges"] == facts["candidate_edges"] > 0
 
 
+def test_joint_modality(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    a = rng.gamma(2.0, 1.0, size=60)
+    x = np.column_stack([a, a + 0.1 * rng.normal(size=60), rng.gamma(2.0, 1.0, size=60)])
+    write(tmp_path / "module_M001_expression.csv", ["barcode", *"ABC"], [[f"c{i}", *row] for i, row in enumerate(x)])
+    write(tmp_path / "gene_peak_links.csv", ["gene_module_column", "peak_name", "peak_gene_corr", "association_pass"],
+          [["A", "p1", 0.5, "True"], ["A", "p2", -0.5, "True"], ["B", "p2", 0.4, "False"]])
+    access = [("p1", f"c{i}", float(rng.poisson(3))) for i in range(60)]
+    spark.createDataFrame(access, "peak_name string, barcode string, count double").write.parquet(str(tmp_path / "peak_access.parquet"))
+    plain = run_directory(spark, str(tmp_path), str(tmp_path / "plain"), RunConfig())
+    joint = run_directory(spark, str(tmp_path), str(tmp_path / "joint"), RunConfig(joint_mode="joint_modality"))
+    assert joint["module_M001_expression"]["cell_count"] == 60
+    assert joint["module_M001_expression"]["edge_count"] != plain["module_M001_expression"]["edge_count"]
+
+
 def test_factors(spark, tmp_path):
     rng = np.random.default_rng(6)
     x = rng.gamma(2.0, 1.0, size=(40, 5))
