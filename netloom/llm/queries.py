@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid
+from . import langid, linededup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -24,3 +24,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def op9_language_id(spark, sf):
     docs = table(spark, sf, "documents")
     return langid.predict(docs, langid.train(docs))
+
+
+@query
+def op5_line_dedup(spark, sf):
+    return linededup.line_report(table(spark, sf, "documents"))
