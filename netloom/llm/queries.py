@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, linededup
+from . import langid, linededup, ngramjoin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -29,3 +29,8 @@ def op9_language_id(spark, sf):
 @query
 def op5_line_dedup(spark, sf):
     return linededup.line_report(table(spark, sf, "documents"))
+
+
+@query
+def op3_ngram_jaccard_join(spark, sf):
+    return ngramjoin.link_report(table(spark, sf, "documents"))
