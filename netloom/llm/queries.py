@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, linededup, ngramjoin
+from . import decontam, langid, linededup, ngramjoin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -34,3 +34,8 @@ def op5_line_dedup(spark, sf):
 @query
 def op3_ngram_jaccard_join(spark, sf):
     return ngramjoin.link_report(table(spark, sf, "documents"))
+
+
+@query
+def op2_decontamination(spark, sf):
+    return decontam.matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
