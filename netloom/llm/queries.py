@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, linededup, ngramjoin
+from . import decontam, langid, linededup, ngramjoin, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -39,3 +39,8 @@ def op3_ngram_jaccard_join(spark, sf):
 @query
 def op2_decontamination(spark, sf):
     return decontam.matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op8_best_fit_packing(spark, sf):
+    return packing.packed(table(spark, sf, "documents"))
