@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import langid
+from netloom.llm import decontam, langid, linededup, ngramjoin, packing
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -19,7 +19,28 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_known(docs, langid.train(docs))
 
 
-STAGES: list[tuple[str, Stage]] = [("language_id", language)]
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that many sites share; such a line stays where it stands first."""
+    return linededup.drop_boilerplate(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of copies and near copies."""
+    return ngramjoin.drop_near_copies(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item stands."""
+    return decontam.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in training sequences."""
+    return packing.packed(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language), ("line_dedup", lines), ("ngram_jaccard_join", near_copies), ("decontamination", benchmark), ("best_fit_packing", sequences)]
 ORACLE_SQL: str | None = None  # trained weights and greedy packing have no SQL form; tests compare with brute force
 
 
