@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, linededup, ngramjoin, packing
+from . import decontam, fingerprints, langid, linededup, ngramjoin, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -44,3 +44,8 @@ def op2_decontamination(spark, sf):
 @query
 def op8_best_fit_packing(spark, sf):
     return packing.packed(table(spark, sf, "documents"))
+
+
+@query
+def op1_document_fingerprints(spark, sf):
+    return fingerprints.fingerprint_report(table(spark, sf, "documents"))
