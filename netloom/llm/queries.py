@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprints, langid, linededup, ngramjoin, packing
+from . import decontam, fingerprints, langid, linededup, maintext, ngramjoin, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -49,3 +49,8 @@ def op8_best_fit_packing(spark, sf):
 @query
 def op1_document_fingerprints(spark, sf):
     return fingerprints.fingerprint_report(table(spark, sf, "documents"))
+
+
+@query
+def op10_html_extraction(spark, sf):
+    return maintext.extract(table(spark, sf, "pages"))
