@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprints, langid, linededup, maintext, ngramjoin, packing
+from . import decontam, fingerprints, langid, linededup, maintext, ngramjoin, packing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -54,3 +54,10 @@ def op1_document_fingerprints(spark, sf):
 @query
 def op10_html_extraction(spark, sf):
     return maintext.extract(table(spark, sf, "pages"))
+
+
+@query
+def op7_toxicity(spark, sf):
+    docs = table(spark, sf, "documents")
+    model, _ = toxicity.train(docs, table(spark, sf, "labels"))
+    return toxicity.scored(docs, model)
