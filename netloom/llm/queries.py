@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprints, langid, linededup, maintext, ngramjoin, packing, toxicity
+from . import chat, decontam, fingerprints, langid, linededup, maintext, ngramjoin, packing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -61,3 +61,8 @@ def op7_toxicity(spark, sf):
     docs = table(spark, sf, "documents")
     model, _ = toxicity.train(docs, table(spark, sf, "labels"))
     return toxicity.scored(docs, model)
+
+
+@query
+def op6_chat_formatting(spark, sf):
+    return chat.formatted(table(spark, sf, "conversations"))
