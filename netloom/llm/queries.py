@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, fingerprints, langid, linededup, maintext, ngramjoin, packing, toxicity
+from . import chat, decontam, fingerprints, langid, linededup, maintext, ngramjoin, packing, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -66,3 +66,8 @@ def op7_toxicity(spark, sf):
 @query
 def op6_chat_formatting(spark, sf):
     return chat.formatted(table(spark, sf, "conversations"))
+
+
+@query
+def op4_substring_dedup(spark, sf):
+    return substrings.without_repeats(table(spark, sf, "documents"), texts=False)
