@@ -43,6 +43,7 @@ PATTERNS: dict[str, str] = {
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES, SUFFIXES = (3, 4, 5, 6, 7), (4, 5)
 MEMO = 200_000
+CORRELATED = 0.15  # correlation, given the label, from which two voters count as dependent
 
 
 @dataclass(frozen=True)
@@ -180,21 +181,24 @@ def fit_label_model(model: Labeler, n: float, first: np.ndarray, second: np.ndar
     use = ~np.eye(m, dtype=bool) & (first[:, None] > 0) & (first[None, :] > 0)
     scale = prior * (1 - prior)
     power = np.sqrt(np.maximum(np.where(use, cov, 0).max(axis=1), 0) / scale)
-    for attempt in range(3):
+    fired = np.flatnonzero(first > 0)
+    for _ in range(2 * m):
         for _ in range(200):  # least squares of cov = scale * power x power over the pairs in use, one voter at a time
-            for i in range(m):
+            for i in fired:
                 other = np.where(use[i], power, 0.0)
                 norm = scale * (other @ other)
                 power[i] = np.clip((cov[i] * use[i]) @ other / norm, 0.0, 1.0) if norm > 1e-12 else 0.0
         rest = (cov - scale * np.outer(power, power)) / np.outer(spread, spread)
-        far = use & (np.abs(rest) > 0.35)
-        if attempt == 2 or not far.any() or (use & ~far).sum(axis=1)[first > 0].min() < 3:
+        loose = use.sum(axis=1) > 3  # three partners are needed for a fit
+        far = np.where(use & loose[:, None] & loose[None, :], np.abs(rest), 0)
+        i, j = np.unravel_index(far.argmax(), far.shape)
+        if far[i, j] <= CORRELATED:
             break
-        use &= ~far
+        use[i, j] = use[j, i] = False  # the pair farthest from independence leaves the fit
     model.prior = prior
     model.false = np.clip(rate - prior * power, 1e-4, 0.98)
     model.hit = np.clip(model.false + power, model.false + 1e-6, 0.98)
-    model.correlated = [(i, j, float(rest[i, j])) for i in range(m) for j in range(i) if first[i] and first[j] and abs(rest[i, j]) > 0.2]
+    model.correlated = [(i, j, float(rest[i, j])) for i in range(m) for j in range(i) if first[i] and first[j] and abs(rest[i, j]) > CORRELATED]
     shared = np.zeros(m)
     for i, j, r in model.correlated:
         shared[i] += abs(r)
