@@ -21,15 +21,18 @@ TINY = 1e-8
 
 
 def dense_vectors(df: DataFrame, row: str, column: str, value: str, n_columns: int, group: str = "module") -> DataFrame:
-    """(group, row, v): values in column order, absent columns as 0."""
+    """(group, row, v): values in column order, absent columns as 0; a column outside 0..n_columns-1 is an error."""
     entries = F.array_sort(F.collect_list(F.struct(F.col(column).alias("i"), F.col(value).cast("double").alias("v"))))
-    filled = F.transform(
-        F.sequence(F.lit(0), F.lit(n_columns - 1)),
-        lambda i: F.coalesce(F.map_from_entries("_e")[i.cast("int")], F.lit(0.0)),
-    )
-    return df.withColumn(column, F.col(column).cast("int")).groupBy(group, row).agg(entries.alias("_e")).select(
-        group, row, F.when(F.size("_e") == n_columns, F.col("_e.v")).otherwise(filled).alias("v")
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+    place = lambda k: F.coalesce(F.get("_e", k)["i"], F.lit(-1))
+    gaps = F.transform("_e", lambda e, k: F.concat(zeros(e["i"] - place(k - 1) - 1), F.array(e["v"])))
+    filled = F.concat(F.flatten(gaps), zeros(F.lit(n_columns - 1) - place(F.size("_e") - 1)))
+    outside = (place(F.lit(0)) < 0) | (place(F.size("_e") - 1) >= n_columns)
+    vector = (
+        F.when(outside, F.raise_error(F.lit(f"{column} outside 0..{n_columns - 1}")))
+        .when(F.size("_e") == n_columns, F.col("_e.v")).otherwise(filled)
     )
+    return df.withColumn(column, F.col(column).cast("int")).groupBy(group, row).agg(entries.alias("_e")).select(group, row, vector.alias("v"))
 
 
 def gram(vectors: DataFrame, n_columns: int, group: str = "module", tile: int = TILE) -> DataFrame:

@@ -3,8 +3,9 @@
 Two physical strategies give the same numbers.
 
 ``bitmap``  key cells are cut into blocks, member cells into blocks, and each task streams the member blocks
-            past one key block, keeping packed bits for its keys only.  No (key, member) pair is ever a row.
-            The work is n^2 / 64 words per gene set, right up to about a million cells per module.
+            past one key block.  Counts are sums over members, so a task packs one member block at a time, adds
+            its counts to those of its keys and drops the bits; what it holds does not depend on the number of
+            cells.  No (key, member) pair is ever a row.  The work is n^2 / 64 words per gene set.
 ``dyadic``  for gene pairs: count points under a corner with prefix sums over power-of-two rank intervals,
             O(log n) rows per distinct point and query.  Purely relational and near linear, for modules too
             large for any all-against-all pass and for heavily tied data.
@@ -16,7 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .neighborhoods import KEYS, cell_neighborhoods, tie_neighborhoods
@@ -24,6 +25,7 @@ from .ranks import running_total
 
 MEMBER_BLOCK = 4096
 KEY_BLOCK = 128
+COUNT_BLOCK = 4096  # key cells whose running counts one task holds
 BLOCK_BITS = 2**30  # packed bits one task may hold: 128 MB
 CELL = ("module", "cell_id")
 
@@ -52,23 +54,9 @@ def _pack(members: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return bits.view(np.uint64)
 
 
-def over_bits(
-    vectors: DataFrame,
-    visit: Callable[[np.ndarray, int, tuple], tuple],
-    schema: str,
-    extra: DataFrame | None = None,
-    shared: DataFrame | None = None,
-    key_block: int = KEY_BLOCK,
-    member_block: int = MEMBER_BLOCK,
-) -> DataFrame:
-    """Call ``visit(bits, n, extra_values)`` once per key cell; ``bits`` is (genes, words) of packed members.
-
-    ``extra`` holds further columns per (module, cell); only cells present in it are visited.  ``shared`` holds
-    columns per module, sent once per block and handed over after the cell's own.
-    """
-    # Wide or long modules get smaller key blocks, so what a task holds does not grow with the data.
-    fits = F.floor(F.lit(BLOCK_BITS) / (F.col("n") * F.size("own"))).cast("bigint")
-    vectors = vectors.withColumn("_per_block", F.least(F.lit(key_block).cast("bigint"), F.greatest(F.lit(1).cast("bigint"), fits)))
+def _streamed(vectors: DataFrame, per_block: Column, member_block: int, extra: DataFrame | None, shared: DataFrame | None) -> tuple[DataFrame, list[str], list[str]]:
+    """Every member block next to each key block of its module, and the names of the further columns."""
+    vectors = vectors.withColumn("_per_block", per_block.cast("bigint"))
     blocks = lambda size: F.pmod(F.xxhash64("cell_id"), F.ceil(F.col("n") / size))
     fields = [] if extra is None else [c for c in extra.columns if c not in CELL]
     common = [] if shared is None else [c for c in shared.columns if c != "module"]
@@ -88,21 +76,47 @@ def over_bits(
         .agg(F.first("n").alias("n"), F.first("_per_block").alias("_per_block"), F.flatten(F.collect_list("own")).alias("own"))
         .select("module", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / F.col("_per_block")) - 1)).alias("_kb"), "own")
     )
+    return keys.join(members.hint("merge"), ["module", "_kb"]), fields, common
+
 
-    columns = [c.strip() for c in schema.split(";")]
-    full = "module string, cell_id bigint, " + ", ".join(columns)
-    arrow = to_arrow_schema(T.StructType.fromDDL(full))
+def _flat(batch: pa.RecordBatch, name: str, row: int) -> np.ndarray:
+    return batch.column(name)[row].values.to_numpy()
+
+
+def _answers(schema: str) -> tuple[str, pa.Schema]:
+    full = "module string, cell_id bigint, " + ", ".join(c.strip() for c in schema.split(";"))
+    return full, to_arrow_schema(T.StructType.fromDDL(full))
+
+
+def over_bits(
+    vectors: DataFrame,
+    visit: Callable[[np.ndarray, int, tuple], tuple],
+    schema: str,
+    extra: DataFrame | None = None,
+    shared: DataFrame | None = None,
+    key_block: int = KEY_BLOCK,
+    member_block: int = MEMBER_BLOCK,
+) -> DataFrame:
+    """Call ``visit(bits, n, extra_values)`` once per key cell; ``bits`` is (genes, words) of packed members.
+
+    For steps that choose what to count as they go and so need all bits of a cell; sums go through ``over_counts``.
+    ``extra`` holds further columns per (module, cell); only cells present in it are visited.  ``shared`` holds
+    columns per module, sent once per block and handed over after the cell's own.
+    """
+    # Wide or long modules get smaller key blocks, so what a task holds does not grow with the data.
+    fits = F.floor(F.lit(BLOCK_BITS) / (F.col("n") * F.size("own")))
+    paired, fields, common = _streamed(vectors, F.least(F.lit(key_block), F.greatest(F.lit(1), fits)), member_block, extra, shared)
+    full, arrow = _answers(schema)
 
     def task(group: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, head = [], None
-        flat = lambda batch, name, row: batch.column(name)[row].values.to_numpy()
         for batch in batches:
             for row in range(batch.num_rows):
                 if head is None:
                     head = {c: batch.column(c)[row].as_py() for c in ("cells", "n", *fields, *common)}
                     shape = (len(head["cells"]), -1)
-                    lo, hi = (flat(batch, side, row).reshape(shape) for side in ("lo", "hi"))
-                parts.append(_pack(flat(batch, "own", row).reshape(-1, lo.shape[1]), lo, hi))
+                    lo, hi = (_flat(batch, side, row).reshape(shape) for side in ("lo", "hi"))
+                parts.append(_pack(_flat(batch, "own", row).reshape(-1, lo.shape[1]), lo, hi))
         bits = np.concatenate(parts, axis=2)
         same = tuple(head[f] for f in common)
         answers = [visit(bits[i], head["n"], (*(head[f][i] for f in fields), *same)) for i in range(len(bits))]
@@ -110,20 +124,69 @@ def over_bits(
         arrays = [pa.array(v, type=f.type) for v, f in zip(values, arrow)]
         yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
-    paired = keys.join(members.hint("merge"), ["module", "_kb"])
     return paired.groupBy("module", "_kb").applyInArrow(task, full)
 
 
-def _all_pairs(bits: np.ndarray, n: int, _: tuple) -> tuple:
-    genes = len(bits)
-    both = [np.bitwise_count(bits[g] & bits[g + 1:]).sum(axis=1, dtype=np.int64) for g in range(genes)]
-    return np.bitwise_count(bits).sum(axis=1, dtype=np.int64), np.concatenate(both)
+def over_counts(
+    vectors: DataFrame,
+    begin: Callable[[dict, int], object],
+    add: Callable[[object, slice, np.ndarray], None],
+    finish: Callable[[object, dict], list],
+    schema: str,
+    extra: DataFrame | None = None,
+    key_block: int | None = None,
+    member_block: int = MEMBER_BLOCK,
+) -> DataFrame:
+    """Sums over members for every key cell: ``begin(head, genes)`` makes the running sums of a key block,
+    ``add(sums, keys, bits)`` adds one packed member block for a slice of the keys, ``finish`` gives the columns.
+
+    ``head`` holds the block's cells, n and, per cell, the columns of ``extra``; only cells present in it are kept.
+    """
+    spread = F.ceil(F.col("n") / vectors.sparkSession.sparkContext.defaultParallelism)  # small modules use all cores
+    per_block = F.lit(key_block) if key_block else F.least(F.lit(COUNT_BLOCK), F.greatest(F.lit(KEY_BLOCK), spread))
+    paired, fields, _ = _streamed(vectors, per_block, member_block, extra, None)
+    full, arrow = _answers(schema)
+
+    def task(group: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = sums = None
+        for batch in batches:
+            for row in range(batch.num_rows):
+                if head is None:
+                    head = {c: batch.column(c)[row].as_py() for c in ("cells", "n", *fields)}
+                    lo, hi = (_flat(batch, side, row).reshape(len(head["cells"]), -1) for side in ("lo", "hi"))
+                    sums = begin(head, lo.shape[1])
+                own = _flat(batch, "own", row).reshape(-1, lo.shape[1])
+                for at in range(0, len(lo), KEY_BLOCK):
+                    keys = slice(at, min(at + KEY_BLOCK, len(lo)))
+                    add(sums, keys, _pack(own, lo[keys], hi[keys]))
+        values = [[group[0].as_py()] * len(lo), head["cells"], *finish(sums, head)]
+        yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(values, arrow)], schema=arrow)
+
+    return paired.groupBy("module", "_kb").applyInArrow(task, full)
+
+
+def _tally(words: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(words).sum(axis=-1, dtype=np.int64)
+
 
+def _pair_sums(head: dict, genes: int) -> tuple[np.ndarray, np.ndarray]:
+    keys = len(head["cells"])
+    return np.zeros((keys, genes), np.int64), np.zeros((keys, genes * (genes - 1) // 2), np.int32)
 
-def pair_count_arrays(expr: DataFrame, fraction: float = 0.1, key_block: int = KEY_BLOCK) -> DataFrame:
+
+def _add_pairs(sums: tuple, keys: slice, bits: np.ndarray) -> None:
+    single, both = sums
+    single[keys] += _tally(bits)
+    at, genes = 0, bits.shape[1]
+    for g in range(genes - 1):
+        both[keys, at : at + genes - g - 1] += _tally(bits[:, g, None] & bits[:, g + 1 :]).astype(np.int32)
+        at += genes - g - 1
+
+
+def pair_count_arrays(expr: DataFrame, fraction: float = 0.1, **blocks: int) -> DataFrame:
     """Per cell: ``single`` counts in gene order and ``both`` counts in (a, b) order, a < b."""
     vectors = cell_vectors(cell_neighborhoods(expr, fraction))
-    return over_bits(vectors, _all_pairs, "single array<bigint>; both array<bigint>", key_block=key_block)
+    return over_counts(vectors, _pair_sums, _add_pairs, lambda sums, _: [list(x) for x in sums], "single array<bigint>; both array<bigint>", **blocks)
 
 
 def pair_counts(expr: DataFrame, fraction: float = 0.1, n_genes: int | None = None) -> DataFrame:
@@ -148,18 +211,47 @@ def pair_counts(expr: DataFrame, fraction: float = 0.1, n_genes: int | None = No
     return arrays.filter(genes > 1).select(*CELL, F.inline(pairs))
 
 
-def _test_counts(bits: np.ndarray, n: int, extra: tuple) -> tuple:
+class _Subsets:
+    """Lists of gene sets for the cells of a block, and the running counts of the members that all genes of a set share."""
+
+    def __init__(self, lists: list[list[list[int]]], genes: int) -> None:
+        self.sizes = [len(own) for own in lists]
+        self.first = np.concatenate(([0], np.cumsum(self.sizes))).astype(np.int64)
+        flat = [one for own in lists for one in own]
+        # Every row of sets ends in the one that stands for all members.
+        self.sets = np.full((len(flat), max((len(one) for one in flat), default=0) + 1), genes, np.int64)
+        for i, one in enumerate(flat):
+            self.sets[i, : len(one)] = one
+        self.owner = np.repeat(np.arange(len(lists)), self.sizes)
+        self.counts = np.zeros(len(flat), np.int64)
+
+    def add(self, keys: slice, bits: np.ndarray) -> None:
+        whole = np.full((len(bits), 1, bits.shape[2]), ~np.uint64(0))
+        bits = np.concatenate((bits, whole), axis=1)
+        low, high = self.first[keys.start], self.first[keys.stop]
+        for at in range(low, high, 4096):
+            part = slice(at, min(at + 4096, high))
+            shared = bits[self.owner[part] - keys.start, self.sets[part, 0]]
+            for column in self.sets[part, 1:].T:
+                shared = shared & bits[self.owner[part] - keys.start, column]
+            self.counts[part] += _tally(shared)
+
+    def of(self, key: int) -> np.ndarray:
+        return self.counts[self.first[key] : self.first[key + 1]]
+
+
+def _test_sets(head: dict, genes: int) -> _Subsets:
+    """Four sets per test: the given genes, with a, with b, with both."""
+    return _Subsets([[z for t in own for z in (t["zs"], [*t["zs"], t["a"]], [*t["zs"], t["b"]], [*t["zs"], t["a"], t["b"]])] for own in head["tests"]], genes)
+
+
+def _tested(sums: _Subsets, head: dict) -> list:
     out = []
-    for test in extra[0]:
-        base = np.full(bits.shape[1], np.uint64(0xFFFFFFFFFFFFFFFF))
-        for g in test["zs"]:
-            base = base & bits[g]
-        with_a = base & bits[test["a"]]
-        tally = lambda words: int(np.bitwise_count(words).sum())
-        c_z = tally(base) if len(test["zs"]) else n
-        out.append((test["a"], test["b"], list(test["zs"]), test["turn"], c_z, tally(with_a),
-                    tally(base & bits[test["b"]]), tally(with_a & bits[test["b"]])))
-    return (out,)
+    for k, own in enumerate(head["tests"]):
+        four = sums.of(k).reshape(-1, 4).tolist()
+        out.append([{**{n: t[n] for n in ("a", "b", "zs", "turn")}, "c_z": c[0] if len(t["zs"]) else head["n"], "c_xz": c[1], "c_yz": c[2], "c_xyz": c[3]}
+                    for t, c in zip(own, four)])
+    return [out]
 
 
 def test_counts(vectors: DataFrame, tests: DataFrame) -> DataFrame:
@@ -168,20 +260,16 @@ def test_counts(vectors: DataFrame, tests: DataFrame) -> DataFrame:
     schema = (
         "found array<struct<a:int,b:int,zs:array<int>,turn:array<int>,c_z:bigint,c_xz:bigint,c_yz:bigint,c_xyz:bigint>>"
     )
-    return over_bits(vectors, _test_counts, schema, grouped).select(*CELL, F.inline("found"))
-
-
-def _set_counts(bits: np.ndarray, n: int, extra: tuple) -> tuple:
-    counts = []
-    for genes in extra[0]:
-        counts.append(n if len(genes) == 0 else int(np.bitwise_count(np.bitwise_and.reduce(bits[list(genes)])).sum()))
-    return (extra[0], counts)
+    return over_counts(vectors, _test_sets, _Subsets.add, _tested, schema, grouped).select(*CELL, F.inline("found"))
 
 
 def set_counts(vectors: DataFrame, sets: DataFrame) -> DataFrame:
     """Count for every (module, cell, genes) row; the empty set counts all cells."""
     grouped = sets.distinct().groupBy(*CELL).agg(F.collect_list("genes").alias("sets"))
-    counted = over_bits(vectors, _set_counts, "genes array<array<int>>; counts array<bigint>", grouped)
+    counts = lambda sums, head: [[c if len(g) else head["n"] for g, c in zip(own, sums.of(k).tolist())] for k, own in enumerate(head["sets"])]
+    counted = over_counts(
+        vectors, lambda head, genes: _Subsets(head["sets"], genes), _Subsets.add, lambda sums, head: [head["sets"], counts(sums, head)],
+        "genes array<array<int>>; counts array<bigint>", grouped)
     return counted.select(*CELL, F.inline(F.arrays_zip("genes", "counts"))).withColumnRenamed("counts", "members")
 
 

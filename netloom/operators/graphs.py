@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 
 def pack_graphs(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -12,19 +12,21 @@ def pack_graphs(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     ``nodes`` gives ``n_genes`` per key, so graphs without edges appear.
     """
     key = [c for c in nodes.columns if c != "n_genes"]
-    packed = edges.distinct().groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("src", "dst"))).alias("_e"))
-    arcs = F.coalesce("_e", F.array().cast("array<struct<src:int,dst:int>>"))
-    # Edges before node i are those with a smaller source: positions in the sorted list, one pass per graph.
-    before = lambda i: F.size(F.filter(F.col("_e"), lambda e: e["src"] < i)).cast("int")
-    return (
-        nodes.join(packed, key, "left")
-        .withColumn("_e", arcs)
-        .select(
-            *key,
-            "n_genes",
-            F.transform(F.sequence(F.lit(0), F.col("n_genes")), before).alias("node_ptr"),
-            F.transform("_e", lambda e: e["dst"]).alias("targets"),
-        )
+    fan = edges.distinct().groupBy(*key, "src").agg(F.array_sort(F.collect_list("dst")).alias("to"))
+    packed = fan.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("src", "to"))).alias("_e"))
+    upto = W.partitionBy(*key).orderBy("src")
+    totals = fan.withColumn("upto", F.sum(F.size("to")).over(upto).cast("int")).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("src", "upto"))).alias("_t"))
+    # The pointer of node i is the total of the last source before it, so each total repeats up to the next source.
+    before = lambda k, name, otherwise: F.coalesce(F.get("_t", k)[name], F.lit(otherwise))
+    steps = F.transform("_t", lambda e, k: F.array_repeat(before(k - 1, "upto", 0), e["src"] - before(k - 1, "src", -1)))
+    rest = F.array_repeat(before(F.size("_t") - 1, "upto", 0), F.col("n_genes").cast("int") - before(F.size("_t") - 1, "src", -1))
+    none = F.array().cast("array<int>")
+    linked = nodes.join(packed, key, "left").join(totals, key, "left")
+    empty = F.array_repeat(F.lit(0), F.col("n_genes").cast("int") + 1)
+    return linked.select(
+        *key, "n_genes",
+        F.when(F.col("_t").isNull(), empty).otherwise(F.concat(F.flatten(steps), rest)).alias("node_ptr"),
+        F.coalesce(F.flatten(F.col("_e.to")), none).alias("targets"),
     )
 
 

@@ -43,8 +43,7 @@ def nearest_neighbors(vectors: DataFrame, k: int, key_block: int = KEY_BLOCK, bl
                     x = flat("key_v").reshape(len(ids), -1)
                 other = flat("id")
                 y = flat("v").reshape(len(other), -1)
-                near = np.sqrt(np.maximum(((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2), 0.0)) if x.size * len(y) < 5e7 \
-                    else np.sqrt(np.stack([((r - y) ** 2).sum(axis=1) for r in x]))
+                near = np.sqrt(np.stack([((r - y) ** 2).sum(axis=1) for r in x]))
                 near[ids[:, None] == other[None, :]] = np.inf
                 all_d = near if best_d is None else np.hstack([best_d, near])
                 all_i = np.broadcast_to(other, near.shape) if best_i is None else np.hstack([best_i, np.broadcast_to(other, near.shape)])

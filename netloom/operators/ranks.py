@@ -19,9 +19,10 @@ POSITIONS_PER_CHUNK = 65536
 def value_chunk(value: Column) -> Column:
     """Monotone bucket of a number: absolute steps near zero, relative steps further out.
 
-    log1p is semi-monotonic on the JVM, so ordering by (chunk, value) equals ordering by value.
+    log1p is semi-monotonic on the JVM, so ordering by (chunk, value) equals ordering by value.  NaN comes last.
     """
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(float(CHUNKS_PER_UNIT))).cast("long")
+    bucket = F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(float(CHUNKS_PER_UNIT))).cast("long")
+    return F.when(F.isnan(value), F.lit(2**63 - 1)).otherwise(bucket)
 
 
 def running_total(

@@ -17,7 +17,6 @@ from ..sources import views
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 KEYS = ["module", "gene"]
-DIMENSIONS = 64
 LEVEL, FRACTION = 0.01, 0.1
 
 
@@ -26,6 +25,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def _dimensions(spark, sf) -> int:
+    """Genes of the expression view: the widest embedding of the table."""
+    return views.table(spark, sf, "embeddings").agg(F.max(F.size("embedding")).alias("n")).first()["n"] or 0
+
+
 def r6(c) -> Column:
     column = F.col(c) if isinstance(c, str) else c
     return F.round(column, 6) + F.lit(0.0)
@@ -91,7 +95,7 @@ def count_pair_ties(spark, sf):
 def count_joint(spark, sf):
     first, second = views.expression(spark, sf), views.expression(spark, sf, relu=False)
     vectors = counts.joint_vectors(first, second, FRACTION)
-    sets = first.select("module", "cell_id", F.array(F.col("gene"), F.col("gene") + DIMENSIONS).alias("genes"))
+    sets = first.select("module", "cell_id", F.array(F.col("gene"), F.col("gene") + _dimensions(spark, sf)).alias("genes"))
     return counts.set_counts(vectors, sets).select("cell_id", F.get("genes", F.lit(0)).alias("gene"), "members")
 
 
@@ -181,7 +185,7 @@ def _full_graphs(spark, sf, stable: bool) -> DataFrame:
     vectors = counts.cell_vectors(neighborhoods.cell_neighborhoods(expr, FRACTION))
     found = cut_lineage(skeleton.skeletons(vectors, LEVEL, stable=stable))
     arcs = orientation.collider_edges(skeleton.skeleton_edges(found), skeleton.skeleton_sepsets(found))
-    nodes = found.select("module", "cell_id", F.lit(DIMENSIONS).alias("n_genes"))
+    nodes = found.select("module", "cell_id", F.lit(_dimensions(spark, sf)).alias("n_genes"))
     return orientation.directed_graphs(arcs, nodes)
 
 
@@ -205,7 +209,7 @@ def cell_graph_summary(spark, sf):
 
 def _dimension_prior(spark, sf) -> DataFrame:
     """|corr| of dimensions as directed weights, the five strongest sources per target."""
-    corr = correlation.correlations(views.expression(spark, sf), DIMENSIONS).filter("i < j")
+    corr = correlation.correlations(views.expression(spark, sf), _dimensions(spark, sf)).filter("i < j")
     weighted = corr.select("module", "i", "j", F.round(F.abs("corr"), 9).alias("w")).filter("w > 0")
     both = correlation.mirrored(weighted, "w").select("module", F.col("i").alias("src"), F.col("j").alias("dst"), "w")
     return ranks.top_k(both, ["module", "dst"], [F.desc("w"), F.asc("src")], 5)
@@ -292,8 +296,9 @@ def log_norm(spark, sf):
 
 @query
 def log_norm_dense(spark, sf):
-    wide = views.event_counts(spark, sf).groupBy("cell_id").pivot("feature_id", ["click", "error", "purchase", "signup", "view"]).agg(F.first("count"))
-    names = ["click", "error", "purchase", "signup", "view"]
+    events = views.event_counts(spark, sf)
+    names = [r["feature_id"] for r in events.select("feature_id").distinct().orderBy("feature_id").toLocalIterator()]
+    wide = events.groupBy("cell_id").pivot("feature_id", names).agg(F.first("count"))
     total = sum((F.coalesce(F.col(c), F.lit(0)) for c in names), F.lit(0)).cast("double")
     scaled = lambda c: F.log1p(F.coalesce(F.col(c), F.lit(0)) * (F.lit(1e4) / total))
     return wide.select("cell_id", *[r6(scaled(c)).alias(c) for c in names])
@@ -418,7 +423,7 @@ for _mode, _blend in (("expression", 1.0), ("uniform", 1.0), ("blend", 0.6), ("c
 # --- correlation and modules ---------------------------------------------------------------------------------
 
 def _corr(spark, sf) -> DataFrame:
-    return correlation.correlations(views.expression(spark, sf), DIMENSIONS)
+    return correlation.correlations(views.expression(spark, sf), _dimensions(spark, sf))
 
 
 @query
@@ -428,7 +433,7 @@ def pearson(spark, sf):
 
 @query
 def spearman(spark, sf):
-    return correlation.rank_correlations(views.expression(spark, sf), DIMENSIONS).select("i", "j", r6("corr").alias("corr"))
+    return correlation.rank_correlations(views.expression(spark, sf), _dimensions(spark, sf)).select("i", "j", r6("corr").alias("corr"))
 
 
 @query
@@ -439,7 +444,7 @@ def adjacency(spark, sf):
 @query
 def tom(spark, sf):
     adj = cut_lineage(correlation.adjacency(_corr(spark, sf), 2))
-    return correlation.topological_overlap(adj, DIMENSIONS).select("i", "j", r6("tom").alias("tom"))
+    return correlation.topological_overlap(adj, _dimensions(spark, sf)).select("i", "j", r6("tom").alias("tom"))
 
 
 @query
@@ -455,14 +460,14 @@ def pair_priors(spark, sf):
     links = _dimension_prior(spark, sf).select(F.col("dst").alias("gene_id"), F.col("src").alias("peak_id"))
     every = expr.select("module").distinct()
     distal = intervals.shared_distal_pairs(links).withColumn("module", F.explode(every.agg(F.collect_set("module")).scalar()))
-    found = modules.module_pair_priors(expr, activity, distal, DIMENSIONS)
+    found = modules.module_pair_priors(expr, activity, distal, _dimensions(spark, sf))
     return found.select("module", "i", "j", r6("local_adjacency").alias("local_adjacency"), "strong_edge", "ambiguous_edge",
                         "promoter_support", "distal_support", "support_rule")
 
 
 @query
 def wgcna_modules(spark, sf):
-    cov = modules.covariances(views.expression(spark, sf, relu=False), DIMENSIONS)
+    cov = modules.covariances(views.expression(spark, sf, relu=False), _dimensions(spark, sf))
     return modules.gene_modules(cov, power=1, cut=0.9, least=4, largest=16)
 
 
@@ -500,8 +505,8 @@ def module_concat(spark, sf):
 @query
 def score_matrix(spark, sf):
     scores = views.expression(spark, sf).withColumnRenamed("value", "score").withColumn("gene", F.concat(F.lit("g"), F.col("gene").cast("string")))
-    wide = katz.score_matrix(scores, [f"g{i}" for i in range(DIMENSIONS)])
-    return wide.select("cell_id", *[r6(f"g{i}").alias(f"g{i}") for i in range(DIMENSIONS)])
+    wide = katz.score_matrix(scores, [f"g{i}" for i in range(_dimensions(spark, sf))])
+    return wide.select("cell_id", *[r6(f"g{i}").alias(f"g{i}") for i in range(_dimensions(spark, sf))])
 
 
 # --- intervals, names, motifs --------------------------------------------------------------------------------
@@ -629,10 +634,10 @@ def motif_name_tokens(spark, sf):
 
 
 def _language_motifs(spark, sf, width: int = 6) -> DataFrame:
-    """Letter counts at the first places of each language's sequences, as count matrices."""
-    places = F.filter(F.transform(F.sequence(F.lit(1), F.lit(width)), lambda p: F.struct(p.alias("p"), F.substr("sequence", p, F.lit(1)).alias("c"))),
-                      lambda e: e["c"].isin(*"ACGT"))
-    letter = lambda c: F.sum((F.col("c") == c).cast("double")).alias(c)
+    """Letter counts of each language's sequences by place modulo ``width``, as count matrices."""
+    phase = lambda p: F.regexp_replace(F.substr("sequence", F.lit(p)), f"(?s)(.).{{0,{width - 1}}}", "$1")
+    places = F.array(*[F.struct(F.lit(p).alias("p"), phase(p).alias("s")) for p in range(1, width + 1)])
+    letter = lambda c: F.sum((F.length("s") - F.length(F.replace(F.col("s"), F.lit(c), F.lit("")))).cast("double")).alias(c)
     tallied = views.sequences(spark, sf).select("lang", F.inline(places)).groupBy("lang", "p").agg(*[letter(c) for c in "ACGT"])
     return tallied.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("p", F.array(*"ACGT").alias("row")))).alias("r")).select(
         F.upper("lang").alias("tf_symbol"), F.lit(0).cast("bigint").alias("ordinal"), F.col("lang").alias("motif_id"),
@@ -677,7 +682,7 @@ def _dag(spark, sf) -> tuple[DataFrame, DataFrame]:
     expr = views.expression(spark, sf)
     edges = cut_lineage(skeleton.marginal_edges(expr, FRACTION, LEVEL)).select(
         "module", "cell_id", F.col("a").alias("src"), F.col("b").alias("dst"))
-    return edges, views.table(spark, sf, "embeddings").select(F.lit("all").alias("module"), F.col("vec_id").alias("cell_id"), F.lit(DIMENSIONS).alias("n_genes"))
+    return edges, views.table(spark, sf, "embeddings").select(F.lit("all").alias("module"), F.col("vec_id").alias("cell_id"), F.lit(_dimensions(spark, sf)).alias("n_genes"))
 
 
 @query

@@ -107,7 +107,9 @@ TIES = """expr AS (SELECT 'all' AS module, row_number() OVER () AS cell_id, g AS
 add("nbr_bounds_ties", "SELECT DISTINCT gene, value, t0 AS tie_start, ts AS tie_size, lo, hi FROM nbr", TIES, bounds())
 SIZE = "SELECT n.cell_id, n.gene, coalesce(o.c, 0) AS members FROM nbr n LEFT JOIN one o ON o.k = n.cell_id AND o.gene = n.gene"
 add("nbr_size", SIZE, expr(RAW), bounds(), MEMBERS, SINGLES)
-add("nbr_size_relu", SIZE, RELU, bounds(), MEMBERS, SINGLES)
+CUMULATED = "cum AS MATERIALIZED (SELECT gene, value, sum(count(*)) OVER (PARTITION BY gene ORDER BY value) AS upto FROM expr GROUP BY gene, value)"
+add("nbr_size_relu", """SELECT n.cell_id, n.gene, greatest(coalesce(h.upto, 0) - coalesce(l.upto, 0), 0)::BIGINT AS members
+FROM nbr n ASOF LEFT JOIN cum h ON h.gene = n.gene AND n.hi >= h.value ASOF LEFT JOIN cum l ON l.gene = n.gene AND n.lo > l.value""", RELU, bounds(), CUMULATED)
 add("count_pair", "SELECT k AS cell_id, a, b, c_a, c_b, c_ab FROM pair", COUNTED)
 add("count_pair_ties", """SELECT k.a, k.b, k.va, k.vb, k.weight, coalesce(sum(p.weight), 0)::BIGINT AS members FROM point k
 JOIN tie x ON x.gene = k.a AND x.value = k.va JOIN tie y ON y.gene = k.b AND y.value = k.vb
@@ -123,6 +125,10 @@ LEFT JOIN (SELECT e.cell_id, e.gene, e.value AS v, raw.value AS w FROM expr e JO
 add("ci_level0", f"SELECT k AS cell_id, a, b, {r6(Z0)} AS z, abs({Z0}) < {CRITICAL} AS separates FROM pair", COUNTED)
 add("pair_uncond_z", f"""SELECT a, b, sum((abs({Z0}) < {CRITICAL})::INT)::BIGINT AS independent_cells,
   {r6(f'max(abs({Z0}))')} AS strongest_z FROM pair GROUP BY a, b""", COUNTED)
+add("pair_uncond_p", f"""SELECT k AS cell_id, a, b, {r6("""CASE WHEN x < 3 THEN
+  1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 70), lambda n: (CASE WHEN n % 2 = 0 THEN 1 ELSE -1 END) * pow(x, 2 * n + 1) / (gamma(n + 1) * (2 * n + 1))))
+  WHEN x > 26 THEN 0.0 ELSE exp(-x * x) / sqrt(pi()) / (x + 0.5 / (x + 1 / (x + 1.5 / (x + 2 / (x + 2.5 / (x + 3 / (x + 3.5 / (x + 4 / (x + 4.5 / x)))))))))END""")} AS p
+FROM (SELECT k, a, b, abs({Z0}) / sqrt(2.0) AS x FROM pair)""", COUNTED)
 add("ci_level1", f"""SELECT k AS cell_id, a, b, given, pool, c_z, c_xz, c_yz, c_xyz,
   CASE WHEN c_z > 1 THEN {r6(Z1)} END AS z, separates FROM tested""", LEVEL1)
 add("count_triple", """SELECT DISTINCT cell_id, g[1] AS g0, g[2] AS g1, g[3] AS g2, members FROM (
@@ -311,8 +317,9 @@ add("motif_name_tokens", "SELECT p_partkey, upper(p_brand) || '|' || upper(p_typ
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BASES = "ACGT" * 6 + "AC"
 SEQS = f"seq AS (SELECT doc_id::VARCHAR AS peak_name, lang, translate(text, '{UPPER}{UPPER.lower()}', '{BASES}{BASES}') AS s FROM documents)"
-PSSM = """tally AS (SELECT lang, p, count(*) FILTER (c = 'A') AS "A", count(*) FILTER (c = 'C') AS "C", count(*) FILTER (c = 'G') AS "G", count(*) FILTER (c = 'T') AS "T"
-  FROM (SELECT lang, p, substr(s, p, 1) AS c FROM seq, (SELECT unnest(range(1, 7)) AS p)) WHERE c IN ('A', 'C', 'G', 'T') GROUP BY lang, p),
+PSSM = r"""tally AS (SELECT lang, p, sum(length(x) - length(replace(x, 'A', ''))) AS "A", sum(length(x) - length(replace(x, 'C', ''))) AS "C",
+    sum(length(x) - length(replace(x, 'G', ''))) AS "G", sum(length(x) - length(replace(x, 'T', ''))) AS "T"
+  FROM (SELECT lang, p, regexp_replace(substr(s, p), '(.).{0,5}', '\1', 'gs') AS x FROM seq, (SELECT unnest(range(1, 7)) AS p)) GROUP BY lang, p),
 odds AS (SELECT lang, p, unnest(['A', 'C', 'G', 'T']) AS c, unnest([log2(("A" + 0.5) / total / 0.25), log2(("C" + 0.5) / total / 0.25), log2(("G" + 0.5) / total / 0.25), log2(("T" + 0.5) / total / 0.25)]) AS o
   FROM (SELECT *, ("A" + "C" + "G" + "T" + 2.0)::DOUBLE AS total FROM tally)),
 ends AS (SELECT lang, sum(lo) AS lo, sum(hi) AS hi FROM (SELECT lang, p, min(o) AS lo, max(o) AS hi FROM odds GROUP BY lang, p) GROUP BY lang)"""

@@ -38,7 +38,8 @@ def _export(spark, out: str, expr: DataFrame, genes: DataFrame, cells: DataFrame
         if priors_by_module is not None:
             files.write_csv(priors_by_module.filter(F.col("module_id") == module), f"{out}/module_{module}_expression_tf_target_prior.csv")
     if config.analysis_mode == "representation":
-        files.write_csv(labelled.groupBy("barcode").pivot("name").agg(F.first("value")), f"{out}/{config.prefix}_representation_input.csv")
+        names = [r["name"] for r in genes.orderBy("gene").select("name").toLocalIterator()]
+        files.write_csv(labelled.groupBy("barcode").pivot("name", names).agg(F.first("value")), f"{out}/{config.prefix}_representation_input.csv")
     files.write_csv(named.drop("ordinal", "gene_symbol"), f"{out}/gene_module_mapping.csv")
     files.write_csv(named.select("module_id", F.col("gene").alias("module_column"), "gene_id", "gene_symbol", "order_in_module"), f"{out}/gene_alias_mapping.csv")
     sizes = membership.groupBy("module_id").agg(F.count(F.lit(1)).alias("gene_count"))

@@ -32,11 +32,12 @@ def named_pairs(pairs: DataFrame, genes: DataFrame) -> DataFrame:
 
 
 def run_modules(expr: DataFrame, genes: DataFrame, config: RunConfig, pair_prior: DataFrame | None = None,
-                target_prior: DataFrame | None = None, profiles: DataFrame | None = None) -> RunResult:
+                target_prior: DataFrame | None = None, profiles: DataFrame | None = None, listed_modules: list[str] | None = None) -> RunResult:
     """Directed graphs (module, cell_id, n_genes, node_ptr, targets, topo_order).
 
     ``pair_prior`` is (module, a, b, w) by name, ``target_prior`` the raw directed listing, ``profiles`` the second
-    modality (module, cell_id, gene, value) of genes that have one.
+    modality (module, cell_id, gene, value) of genes that have one.  In hard mode only ``listed_modules`` (all, if
+    None) are restricted to their pairs; a module without a list keeps all of its own.
     """
     config.validate()
     alpha = config.significance_level
@@ -52,7 +53,8 @@ def run_modules(expr: DataFrame, genes: DataFrame, config: RunConfig, pair_prior
     if pair_prior is not None:
         allowed = named_pairs(priors.strong_pairs(pair_prior, config.pair_min_strength, config.pair_weight_mode == "binary"), genes)
         if config.pair_prior_mode == "hard":
-            forbidden = priors.forbidden_pairs(genes, allowed)
+            restricted = genes if listed_modules is None else genes.filter(F.col("module").isin(listed_modules))
+            forbidden = cut_lineage(priors.forbidden_pairs(restricted, allowed))
         else:
             soft = allowed
     if config.tf_prior_mode == "motif_prior":
@@ -73,7 +75,9 @@ def run_modules(expr: DataFrame, genes: DataFrame, config: RunConfig, pair_prior
     arcs = orientation.collider_edges(skeleton.skeleton_edges(found), skeleton.skeleton_sepsets(found))
     sizes = genes.groupBy("module").agg(F.count(F.lit(1)).cast("int").alias("n_genes"))
     nodes = found.select("module", "cell_id").join(sizes, "module").select("module", "cell_id", "n_genes")
-    directed = orientation.directed_graphs(arcs, nodes, fourth_rule=forbidden is not None)
+    # The fourth rule belongs to modules in which pairs remain forbidden.
+    fourth = False if forbidden is None else frozenset(r["module"] for r in forbidden.select("module").distinct().toLocalIterator())
+    directed = orientation.directed_graphs(arcs, nodes, fourth)
     edges = directed.select("module", "cell_id", F.inline("edges"))
     totals = None
     if weights is not None:
@@ -142,7 +146,8 @@ def run_directory(spark: SparkSession, module_dir: str, result_dir: str, config:
         profiles = joint_profiles(spark, module_dir, genes, cells, config) if config.joint_mode != "none" else None
         expr, genes, reduced = factor_nodes(cut_lineage(expr), genes, config)
         expr = cut_lineage(expr) if reduced else expr
-        done = run_modules(expr, genes, config, pairs, targets, profiles)
+        with_list = [m for m in files.with_side_file(pending, "_allowed_pairs.csv") if m not in reduced]
+        done = run_modules(expr, genes, config, pairs, targets, profiles, with_list)
         result = cut_lineage(done.graphs.join(cells, "cell_id"))
         facts = {r["module"]: r.asDict() for r in result.groupBy("module").agg(
             F.count(F.lit(1)).alias("cell_count"), F.first("n_genes").alias("node_count"), F.sum(F.size("targets")).alias("edge_count"),

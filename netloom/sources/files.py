@@ -22,7 +22,9 @@ def index_rows(df: DataFrame, name: str, out: str) -> DataFrame:
 
 def wide_csv(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
     """(barcode, gene name, value) of one expression file and its genes in file order."""
-    wide = spark.read.csv(path, header=True)
+    header = spark.read.text(path).first()
+    columns = header["value"].count(",") + 2 if header else 2  # the reader stops at 20,480 unless told
+    wide = spark.read.csv(path, header=True, maxColumns=columns, maxCharsPerColumn=-1)
     first, *genes = wide.columns
     quoted = lambda c: f"`{c.replace('`', '``')}`"
     named = wide.select(F.col(quoted(first)).alias("barcode"), *[F.col(quoted(g)).cast("float").cast("double").alias(g) for g in genes])
@@ -50,13 +52,17 @@ def read_modules(spark: SparkSession, files: dict[str, str]) -> tuple[DataFrame,
     return expr, listed, cells
 
 
+def with_side_file(files: dict[str, str], ending: str) -> list[str]:
+    """Modules that have a ``<module><ending>`` file."""
+    return [m for m, path in files.items() if Path(path).with_name(f"{m}{ending}").exists()]
+
+
 def read_side_files(spark: SparkSession, files: dict[str, str], ending: str) -> DataFrame | None:
     """The ``<module><ending>`` files next to the modules, as one frame with ``module``; None if there are none."""
     parts = []
-    for module, path in files.items():
-        side = Path(path).with_name(f"{module}{ending}")
-        if side.exists():
-            parts.append(spark.read.csv(str(side), header=True, inferSchema=True).withColumn("module", F.lit(module)))
+    for module in with_side_file(files, ending):
+        side = Path(files[module]).with_name(f"{module}{ending}")
+        parts.append(spark.read.csv(str(side), header=True, inferSchema=True).withColumn("module", F.lit(module)))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
 
 

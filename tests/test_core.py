@@ -1,13 +1,14 @@
 """Hand-worked values, brute-force comparisons and strategy agreement on small fixtures."""
 
 import itertools
+import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from netloom.functions import stats
-from netloom.operators import counts, graphs, katz, modules, motifs, neighborhoods, neighbors, orientation, ranks, skeleton
+from netloom.operators import correlation, counts, graphs, katz, modules, motifs, neighborhoods, neighbors, orientation, ranks, skeleton
 
 
 def long(spark, x, module="m"):
@@ -76,13 +77,52 @@ def test_pair_counts_match_brute_force_and_dyadic(spark, matrix):
 
 
 def test_several_blocks_agree_with_one(spark, matrix, monkeypatch):
-    vectors = counts.cell_vectors(neighborhoods.cell_neighborhoods(long(spark, matrix), 0.1))
-    small = counts.over_bits(vectors, counts._all_pairs, "single array<bigint>; both array<bigint>", key_block=16, member_block=20)
-    whole = counts.over_bits(vectors, counts._all_pairs, "single array<bigint>; both array<bigint>", key_block=4096)
+    expr = long(spark, matrix)
+    whole = counts.pair_count_arrays(expr, 0.1, key_block=4096)
+    small = counts.pair_count_arrays(expr, 0.1, key_block=16, member_block=20)
     assert small.exceptAll(whole).count() == 0 and small.count() == 90
+    monkeypatch.setattr(counts, "KEY_BLOCK", 7)
+    assert counts.pair_count_arrays(expr, 0.1, key_block=50, member_block=33).exceptAll(whole).count() == 0
+    vectors = counts.cell_vectors(neighborhoods.cell_neighborhoods(expr, 0.1))
+    shares = lambda bits, n, _: (int(counts._tally(bits[0] & bits[1])),)
+    held = counts.over_bits(vectors, shares, "both bigint", key_block=16, member_block=20)
     monkeypatch.setattr(counts, "BLOCK_BITS", 90 * 6 * 10)
-    tight = counts.over_bits(vectors, counts._all_pairs, "single array<bigint>; both array<bigint>")
-    assert tight.exceptAll(whole).count() == 0 and tight.count() == 90
+    tight = counts.over_bits(vectors, shares, "both bigint")
+    assert held.exceptAll(tight).count() == 0 and tight.count() == 90
+    assert held.select("cell_id", "both").exceptAll(whole.select("cell_id", F.col("both")[0].alias("both"))).count() == 0
+
+
+def test_subset_counts_over_blocks(spark, matrix):
+    expr = long(spark, matrix)
+    lo, hi = brute_ranges(matrix, 0.1)
+    inside = (matrix[None] >= lo[:, None]) & (matrix[None] <= hi[:, None])
+    vectors = counts.cell_vectors(neighborhoods.cell_neighborhoods(expr, 0.1))
+    sets = spark.createDataFrame([("all", c, g) for c in range(90) for g in ([], [2], [0, 3], [1, 2, 4, 5])], "module string, cell_id bigint, genes array<int>")
+    sets = sets.withColumn("module", F.lit(expr.first()["module"]))
+    for r in counts.set_counts(vectors, sets).collect():
+        assert r.members == (inside[r.cell_id][:, list(r.genes)].all(axis=1).sum() if len(r.genes) else 90)
+
+
+def test_nan_ranks_last(spark):
+    rows = spark.createDataFrame([(0.5,), (float("nan"),), (-3.0,), (1e300,), (float("inf"),)], "value double")
+    ordered = rows.orderBy(ranks.value_chunk(F.col("value")), "value").collect()
+    assert [str(r.value) for r in ordered] == ["-3.0", "0.5", "1e+300", "inf", "nan"]
+
+
+def test_dense_vectors_fill_and_refuse(spark):
+    rows = spark.createDataFrame([("m", 1, 1, 2.0), ("m", 1, 4, 5.0), ("m", 2, 0, 1.0)], "module string, cell_id bigint, gene int, value double")
+    got = {r.cell_id: list(r.v) for r in correlation.dense_vectors(rows, "cell_id", "gene", "value", 6).collect()}
+    assert got == {1: [0.0, 2.0, 0.0, 0.0, 5.0, 0.0], 2: [1.0, 0, 0, 0, 0, 0]}
+    with pytest.raises(Exception, match="outside"):
+        correlation.dense_vectors(rows, "cell_id", "gene", "value", 4).collect()
+
+
+def test_tail_probabilities(spark):
+    z = [0.0, 0.1, 1.0, 3.5, 3.6, 5.0, 8.0, 30.0, 100.0, -2.0]
+    got = spark.createDataFrame([(x,) for x in z], "z double").select("z", stats.two_sided_p(F.col("z")).alias("p")).collect()
+    for r in got:
+        assert r.p == pytest.approx(math.erfc(abs(r.z) / math.sqrt(2)), rel=1e-9, abs=1e-300)
+    assert stats.critical_z(1e-20) == pytest.approx(9.3365, abs=1e-3)
 
 
 def test_z_score_and_levels(spark):
