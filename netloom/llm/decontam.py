@@ -22,7 +22,6 @@ from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -268,19 +267,17 @@ def _matcher(held):
 def keep_clean(docs: DataFrame, benchmark: DataFrame, how: Search = Search()) -> DataFrame:
     """The documents, all columns, in which no benchmark item was found."""
     for index in indexes(benchmark, how):
-        clean = _cleaner(docs.sparkSession.sparkContext.broadcast(index))
-        docs = docs.where(clean(F.col("text")))
+        docs = docs.mapInArrow(_cleaner(docs.sparkSession.sparkContext.broadcast(index)), docs.schema)
     return docs
 
 
 def _cleaner(held):
-    @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
-        column = pa.array(texts, pa.large_string(), from_pandas=True)
-        out = np.ones(len(column), bool)
-        for words in words_of(column):
-            for row, _ in search(held.value, words):
-                out[row] = False
-        return pd.Series(out)
-
-    return clean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.ones(batch.num_rows, bool)
+            for words in words_of(batch.column("text")):
+                for row, _ in search(held.value, words):
+                    out[row] = False
+            yield batch.filter(pa.array(out))
+
+    return run

@@ -16,7 +16,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -27,6 +26,7 @@ FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 ORDERS = (1, 2, 3)
 SEGMENT = 1 << 19
 GROUP = 64
+SLICE = 512
 _letters: list[np.ndarray] = []
 
 
@@ -128,11 +128,10 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Document frequency of each bucket, and in bucket -1 the number of documents, summed over one task."""
     total, n = np.zeros(BUCKETS, np.int64), 0
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for low in range(0, len(texts), GROUP):
-            counts, _ = count_ngrams(texts[low : low + GROUP])
+        for low in range(0, batch.num_rows, GROUP):
+            counts, _ = count_ngrams(batch.column("text").slice(low, GROUP).to_pylist())
             total += (counts > 0).sum(axis=0)
-        n += len(texts)
+        n += batch.num_rows
     seen = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1), pa.int32()), pa.array(np.append(total[seen], n), pa.int64())], ["bucket", "n"])
 
@@ -244,12 +243,18 @@ def score_texts(model: Model | None, texts: list[str | None]) -> tuple[list[str]
     return names, scores
 
 
+def _scored(model: Model | None, column: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Of a whole column, taken in slices so that few texts are held as Python strings."""
+    parts = [score_texts(model, column.slice(low, SLICE).to_pylist()) for low in range(0, len(column), SLICE)]
+    return [n for names, _ in parts for n in names], np.concatenate([s for _, s in parts]) if parts else np.zeros(0)
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row; only the text is looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = score_texts(model, batch.column("text").to_pylist())
+            names, scores = _scored(model, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "held_out", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -260,9 +265,9 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 def keep_known(docs: DataFrame, model: Model | None, least: float = 0.3) -> DataFrame:
     """Documents, all columns, whose language is known with a score of at least ``least``; the others are rejected."""
 
-    @F.pandas_udf("boolean")
-    def known(texts: pd.Series) -> pd.Series:
-        names, scores = score_texts(model, [t if isinstance(t, str) else None for t in texts])
-        return pd.Series([a != UNKNOWN and s >= least for a, s in zip(names, scores)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, scores = _scored(model, batch.column("text"))
+            yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores)], pa.bool_()))
 
-    return docs.where(known(F.col("text")))
+    return docs.mapInArrow(run, docs.schema)
