@@ -56,7 +56,7 @@ def _export(spark, out: str, expr: DataFrame, genes: DataFrame, cells: DataFrame
 def prepare_expression(spark: SparkSession, config: PreprocessConfig, out: str) -> dict:
     """A cells x genes CSV: log-normalised if it looks like counts, then cut into modules."""
     long, names = files.wide_csv(spark, config.input_path)
-    cells = files.index_rows(long, "barcode", "cell_id")
+    cells = files.number_cells(spark, [config.input_path])
     genes = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "gene int, name string").withColumns(
         {"gene_id": F.col("name"), "gene_symbol": F.col("name")})
     raw = cut_lineage(long.join(cells, "barcode").join(genes.select("gene", "name"), "name").select(

@@ -15,20 +15,38 @@ from ..session import cut_lineage
 SEQUENCE_BIN = 4096
 
 
-def index_rows(df: DataFrame, name: str, out: str) -> DataFrame:
-    """Distinct names with a unique integer, fixed by a checkpoint so every later read agrees."""
-    return cut_lineage(df.select(name).distinct().withColumn(out, F.monotonically_increasing_id()))
+def _open_csv(spark: SparkSession, path: str) -> DataFrame:
+    header = spark.read.text(path).first()
+    columns = header["value"].count(",") + 2 if header else 2  # the reader stops at 20,480 unless told
+    return spark.read.csv(path, header=True, maxColumns=columns, maxCharsPerColumn=-1)
+
+
+def _quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
+def number_cells(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(barcode, cell_id): barcodes of expression files numbered from 0 in file and line order, whatever the partitions.
+
+    Lines are counted inside file blocks and over the blocks before; a checkpoint fixes the numbers.
+    """
+    parts = []
+    for i, path in enumerate(paths):
+        wide = _open_csv(spark, path)
+        block = F.struct(F.lit(i).alias("file"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+        parts.append(wide.select(F.col(_quoted(wide.columns[0])).alias("barcode"), block.alias("_block"), F.monotonically_increasing_id().alias("_at")))
+    first = reduce(DataFrame.unionByName, parts).groupBy("barcode").agg(F.min(F.struct("_block", "_at")).alias("_first"))
+    placed = first.select(F.lit(0).alias("_all"), "barcode", "_first._block", "_first._at")
+    numbered = running_total(placed, ["_all"], "_block", [F.col("_at")], F.lit(1), "cell_id")
+    return cut_lineage(numbered.select("barcode", F.col("cell_id").cast("bigint").alias("cell_id")))
 
 
 def wide_csv(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
     """(barcode, gene name, value) of one expression file and its genes in file order."""
-    header = spark.read.text(path).first()
-    columns = header["value"].count(",") + 2 if header else 2  # the reader stops at 20,480 unless told
-    wide = spark.read.csv(path, header=True, maxColumns=columns, maxCharsPerColumn=-1)
+    wide = _open_csv(spark, path)
     first, *genes = wide.columns
-    quoted = lambda c: f"`{c.replace('`', '``')}`"
-    named = wide.select(F.col(quoted(first)).alias("barcode"), *[F.col(quoted(g)).cast("float").cast("double").alias(g) for g in genes])
-    return named.unpivot("barcode", [quoted(g) for g in genes], "name", "value"), genes
+    named = wide.select(F.col(_quoted(first)).alias("barcode"), *[F.col(_quoted(g)).cast("float").cast("double").alias(g) for g in genes])
+    return named.unpivot("barcode", [_quoted(g) for g in genes], "name", "value"), genes
 
 
 def module_files(folder: str) -> dict[str, str]:
@@ -46,7 +64,7 @@ def read_modules(spark: SparkSession, files: dict[str, str]) -> tuple[DataFrame,
         parts.append(long.withColumn("module", F.lit(module)))
         genes += [(module, i, n) for i, n in enumerate(names)]
     every = reduce(DataFrame.unionByName, parts)
-    cells = index_rows(every, "barcode", "cell_id")
+    cells = number_cells(spark, list(files.values()))
     listed = spark.createDataFrame(genes, "module string, gene int, name string")
     expr = every.join(cells, "barcode").join(listed, ["module", "name"]).select("module", "cell_id", "gene", "value")
     return expr, listed, cells

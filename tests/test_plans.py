@@ -5,8 +5,10 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from netloom import PreprocessConfig, RunConfig, build_modules, build_scores, run_directory
+from netloom.plans import run
 from netloom.sources import files
 
 
@@ -138,3 +140,40 @@ def test_config_checks():
         RunConfig(analysis_mode="regulatory", nmf_mode="force").validate()
     with pytest.raises(ValueError):
         PreprocessConfig("scrna").validate()
+
+
+def test_cells_are_numbered_by_line(spark, tmp_path):
+    first, second = tmp_path / "module_a_expression.csv", tmp_path / "module_b_expression.csv"
+    names = [f"c{(7 * i) % 50:02d}" for i in range(50)]
+    first.write_text("barcode,g1\n" + "".join(f"{n},1\n" for n in names))
+    second.write_text("barcode,g2\n" + "".join(f"{n},1\n" for n in [*reversed(names), "late"]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        got = {r.barcode: r.cell_id for r in files.number_cells(spark, [str(first), str(second)]).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {n: i for i, n in enumerate([*names, "late"])}
+
+
+def test_wide_headers_are_read(spark, tmp_path):
+    path = tmp_path / "module_a_expression.csv"
+    names = [f"g{i}" for i in range(21_000)]
+    path.write_text(",".join(["barcode", *names]) + "\nc1" + ",1" * len(names) + "\n")
+    _, found = files.wide_csv(spark, str(path))
+    assert found == names
+
+
+def test_allow_lists_restrict_their_own_module(spark):
+    rng = np.random.default_rng(3)
+    base = rng.random((120, 4))
+    x = np.column_stack([base[:, 0], base[:, 0] + 0.01 * base[:, 1], base[:, 2], base[:, 2] + 0.01 * base[:, 3]])
+    rows = [(m, c, g, float(x[c, g])) for m in ("a", "b") for c in range(120) for g in range(4)]
+    expr = spark.createDataFrame(rows, "module string, cell_id bigint, gene int, value double")
+    genes = spark.createDataFrame([(m, g, f"g{g}") for m in ("a", "b") for g in range(4)], "module string, gene int, name string")
+    pairs = spark.createDataFrame([("a", "g0", "g1", 1.0)], "module string, a string, b string, w double")
+    config = RunConfig(use_pair_prior=True)
+    done = run.run_modules(expr, genes, config, pairs, listed_modules=["a"]).graphs.groupBy("module").agg(F.sum(F.size("targets")).alias("n")).collect()
+    edges = {r.module: r.n for r in done}
+    every = {r.module: r.n for r in run.run_modules(expr, genes, config, pairs).graphs.groupBy("module").agg(F.sum(F.size("targets")).alias("n")).collect()}
+    assert edges["b"] > 0 and every["b"] == 0 and edges["a"] == every["a"] > 0
