@@ -83,8 +83,8 @@ def _mask(low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffixes at anchors; kind 1: another one of this task has the same windows earlier."""
-    names = ["kind", "prefix", "around", "key", "pos", "low", "high"]
+    """Suffixes at anchors, their position and range of offsets in one number; kind 1: another one of this task has the same windows earlier."""
+    names = ["kind", "prefix", "around", "key", "place"]
     held: list[dict[str, np.ndarray]] = []
     size = 0
 
@@ -94,8 +94,8 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = {k: v[order] for k, v in c.items()}
         same = np.zeros(len(order), np.int32)
         same[1:] = (c["prefix"][1:] == c["prefix"][:-1]) & (c["around"][1:] == c["around"][:-1])
-        types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((same, c["prefix"], c["around"], c["key"], c["pos"], c["low"], c["high"]), types)], names)
+        place = c["pos"] << 8 | c["high"] << 4 | c["low"]
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in (same, c["prefix"], c["around"], c["key"], place)], names)
 
     for batch in batches:
         keys = batch.column("key").to_numpy(zero_copy_only=False)
@@ -115,7 +115,7 @@ def _leaves(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
     """The words around each listed suffix of a document; in an oversized group, each window for itself."""
     for batch in batches:
         listed = batch.column("suffixes")
-        fields = {n: listed.flatten().field(n).to_numpy(zero_copy_only=False) for n in ("pos", "prefix", "low", "high", "n")}
+        fields = {n: listed.flatten().field(n).to_numpy(zero_copy_only=False) for n in ("place", "prefix", "n")}
         counts = np.diff(listed.offsets.to_numpy())
         at = np.concatenate(([0], np.cumsum(counts)))
         keys = batch.column("key").to_numpy(zero_copy_only=False)
@@ -124,7 +124,8 @@ def _leaves(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
             for d in range(words.documents):
                 h = words.hashes[words.first[d] : words.first[d + 1]]
                 for k in range(at[words.row + d], at[words.row + d + 1]):
-                    pos, low, high = int(fields["pos"][k]), int(fields["low"][k]), int(fields["high"][k])
+                    place = int(fields["place"][k])
+                    pos, high, low = place >> 8, place >> 4 & 15, place & 15
                     parts = [(low, high, int(fields["prefix"][k]))]
                     if fields["n"][k] > most:
                         own = [(o, h[pos - o : pos - o + WINDOW]) for o in range(low, high + 1)]
@@ -295,17 +296,18 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def marks_of(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """(key, pos, mask): for suffixes of the keyed documents, the offsets at which their windows are repeats."""
-    made = docs.select("key", "text").mapInArrow(_suffixes, "kind int, prefix bigint, around bigint, key bigint, pos int, low int, high int")
-    whole = F.expr("shiftleft(2, high) - shiftleft(1, low)").alias("mask")
+    made = docs.select("key", "text").mapInArrow(_suffixes, "kind int, prefix bigint, around bigint, key bigint, place bigint")
+    pos = F.shiftright("place", 8).cast("int").alias("pos")
+    whole = F.expr("shiftleft(2, cast(shiftright(place, 4) & 15 as int)) - shiftleft(1, cast(place & 15 as int))").alias("mask")
     dealt = made.where("kind = 0").drop("kind").repartition("prefix")
-    alike = Window.partitionBy("prefix", "around").orderBy("key", "pos")
+    alike = Window.partitionBy("prefix", "around").orderBy("key", "place")
     ranked = dealt.withColumn("rank", F.row_number().over(alike))
     ranked = ranked.withColumn("n", F.count_if(F.col("rank") == 1).over(Window.partitionBy("prefix")))
     leaves = (ranked.where((F.col("rank") == 1) & (F.col("n") > 1)).groupBy("key")
-              .agg(F.collect_list(F.struct("pos", "prefix", "low", "high", "n")).alias("suffixes")))
+              .agg(F.collect_list(F.struct("place", "prefix", "n")).alias("suffixes")))
     around = docs.select("key", "text").join(leaves, "key").mapInArrow(lambda it: _leaves(it, group), "prefix bigint, key bigint, pos int, low int, high int, words binary")
     inner = around.repartition("prefix").sortWithinPartitions("prefix", "key", "pos").mapInArrow(lambda it: _trees(it, group), "key bigint, pos int, mask int")
-    return made.where("kind = 1").select("key", "pos", whole).unionByName(ranked.where("rank > 1").select("key", "pos", whole)).unionByName(inner)
+    return made.where("kind = 1").select("key", pos, whole).unionByName(ranked.where("rank > 1").select("key", pos, whole)).unionByName(inner)
 
 
 def without_repeats(docs: DataFrame, texts: bool = True, group: int = GROUP) -> DataFrame:
