@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import anchor_distance, canonical_token, format_interval, parse_interval, strip_version
 from .correlation import pair_correlations
-from .ranks import quantile, tie_blocks, top_k
+from .ranks import average_rank, quantile, top_k
 
 # Decay length of distal links, smallest usable sum.
 DECAY = 200_000.0
@@ -94,8 +94,7 @@ def anchor_histogram(resolved: DataFrame) -> DataFrame:
 
 def ranked_series(df: DataFrame, ident: str, value: str, out_id: str, out: str) -> DataFrame:
     """Average ranks of each series, as (out_id, cell_id, out)."""
-    ranks = tie_blocks(df, [ident], value).select(ident, value, (F.col("tie_start") + (F.col("tie_size") + 1) / 2.0).alias(out))
-    return df.join(ranks, [ident, value]).select(F.col(ident).alias(out_id), "cell_id", out)
+    return average_rank(df, [ident], value, out).select(F.col(ident).alias(out_id), "cell_id", out)
 
 
 def peak_medians(access: DataFrame, peak: str = "peak_id", value: str = "count") -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .ranks import POSITIONS_PER_CHUNK, tie_blocks
+from .ranks import POSITIONS_PER_CHUNK, join_ties, tie_blocks
 
 KEYS = ("module", "gene")
 
@@ -105,7 +105,7 @@ def tie_neighborhoods(
 
 def cell_neighborhoods(expr: DataFrame, fraction: float = 0.1, floor_at: float = 0.0) -> DataFrame:
     """Neighbourhood range of every (module, cell, gene)."""
-    return expr.join(tie_neighborhoods(expr, fraction, KEYS, "value", floor_at), [*KEYS, "value"])
+    return join_ties(expr, tie_neighborhoods(expr, fraction, KEYS, "value", floor_at), KEYS)
 
 
 def neighborhood_sizes(expr: DataFrame, fraction: float = 0.1) -> DataFrame:
@@ -115,4 +115,4 @@ def neighborhood_sizes(expr: DataFrame, fraction: float = 0.1) -> DataFrame:
     sized = ties.join(ends, [*KEYS, "hi_start"]).withColumn(
         "members", F.greatest(F.lit(0), F.col("hi_start") + F.col("_end_size") - F.col("lo_start"))
     )
-    return expr.join(sized.select(*KEYS, "value", "members"), [*KEYS, "value"])
+    return join_ties(expr, sized.select(*KEYS, "value", "tie_size", "members"), KEYS).drop("tie_size")

@@ -13,7 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 CHUNKS_PER_UNIT = 16384
+VALUES_PER_CHUNK = 4096
 POSITIONS_PER_CHUNK = 65536
+HOT_ROWS, HOT_BLOCKS, SALTS = 65536, 4096, 64
 
 
 def value_chunk(value: Column) -> Column:
@@ -25,6 +27,49 @@ def value_chunk(value: Column) -> Column:
     return F.when(F.isnan(value), F.lit(2**63 - 1)).otherwise(bucket)
 
 
+def with_chunks(ties: DataFrame, group: Sequence[str], value: str, out: str = "_chunk") -> DataFrame:
+    """Add a chunk that is monotone in ``value`` and holds few distinct values, wherever the values lie.
+
+    A bucket of ``value_chunk`` with more than ``VALUES_PER_CHUNK`` distinct values is cut evenly between its ends.
+    The list of such buckets is that factor shorter than the values.
+    """
+    group = list(group)
+    v = F.col(value)
+    ties = ties.withColumn("_bucket", value_chunk(v))
+    crowded = (
+        ties.groupBy(*group, "_bucket")
+        .agg(F.count(F.lit(1)).alias("_held"), F.min(v).alias("_least"), F.max(v).alias("_most"))
+        .filter(F.col("_held") > VALUES_PER_CHUNK)
+    )
+    parts = F.ceil(F.col("_held") / F.lit(VALUES_PER_CHUNK))
+    part = F.floor((v - F.col("_least")) / (F.col("_most") - F.col("_least")) * parts)
+    return ties.join(crowded, [*group, "_bucket"], "left").withColumn(
+        out, F.struct("_bucket", F.coalesce(part, F.lit(0)).alias("part"))).drop("_bucket", "_held", "_least", "_most")
+
+
+def join_ties(df: DataFrame, ties: DataFrame, group: Sequence[str], value: str = "value", how: str = "inner") -> DataFrame:
+    """Give every row of ``df`` the columns of its tie block, without moving a hot block's rows to one task.
+
+    The up to ``HOT_BLOCKS`` largest blocks are sent to the rows; any other holds less than one row in
+    ``HOT_BLOCKS``, and is joined by key.  Rows served already are spread over ``SALTS`` keys that meet nothing.
+    ``ties`` holds ``tie_size``.
+    """
+    key = [*group, value]
+    added = [c for c in ties.columns if c not in key]
+    answer = F.struct(*added).alias("_answer")
+    hot = (
+        ties.filter(F.col("tie_size") > HOT_ROWS).orderBy(F.desc("tie_size")).limit(HOT_BLOCKS)
+        .select(*key, answer).withColumnRenamed("_answer", "_hot")
+    )
+    spread = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))).cast("int")
+    placed = df.join(F.broadcast(hot), key, "left").withColumn("_salt", spread).join(
+        ties.select(*key, F.lit(0).alias("_salt"), answer), [*key, "_salt"], "left")
+    found = placed.withColumn("_answer", F.coalesce("_hot", "_answer"))
+    if how == "inner":
+        found = found.filter(F.col("_answer").isNotNull())
+    return found.select(*df.columns, *[F.col("_answer")[c].alias(c) for c in added])
+
+
 def running_total(
     df: DataFrame,
     group: Sequence[str],
@@ -62,11 +107,7 @@ def tie_blocks(df: DataFrame, group: Sequence[str], value: str = "value", floor_
     """
     group = list(group)
     v = F.col(value)
-    ties = (
-        df.groupBy(*group, value)
-        .agg(F.count(F.lit(1)).alias("tie_size"))
-        .withColumn("_chunk", value_chunk(v))
-    )
+    ties = with_chunks(df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("tie_size")), group, value)
     over_chunks = W.partitionBy(*group)
     before = over_chunks.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     totals = (
@@ -117,9 +158,9 @@ def quantile(df: DataFrame, group: Sequence[str], q: float, value: str = "value"
 def average_rank(df: DataFrame, group: Sequence[str], value: str = "value", out: str = "avg_rank") -> DataFrame:
     """Mean rank of ties, 1-based."""
     ranks = tie_blocks(df, group, value).select(
-        *group, value, (F.col("tie_start") + (F.col("tie_size") + 1) / F.lit(2.0)).alias(out)
+        *group, value, "tie_size", (F.col("tie_start") + (F.col("tie_size") + 1) / F.lit(2.0)).alias(out)
     )
-    return df.join(ranks, [*group, value])
+    return join_ties(df, ranks, group, value).drop("tie_size")
 
 
 def ordinal_position(
@@ -127,7 +168,7 @@ def ordinal_position(
 ) -> DataFrame:
     """Zero-based position by (value, ``tie_by``); also carries the tie block columns."""
     group = list(group)
-    placed = df.join(tie_blocks(df, group, value), [*group, value])
+    placed = join_ties(df, tie_blocks(df, group, value), group, value)
     placed = placed.withColumn("_slice", F.floor(F.col(tie_by) / F.lit(POSITIONS_PER_CHUNK)).cast("long"))
     placed = running_total(placed, [*group, value], "_slice", [F.col(tie_by)], F.lit(1), "_offset")
     return placed.withColumn(out, F.col("tie_start") + F.col("_offset")).drop("_slice", "_offset")
@@ -140,9 +181,12 @@ def zero_preserving_rank(df: DataFrame, group: Sequence[str], value: str = "valu
     ranks = tie_blocks(positive, group, value).select(
         *group,
         value,
+        "tie_size",
         ((F.col("tie_start") + (F.col("tie_size") + 1) / F.lit(2.0)) / F.col("n")).alias(out),
     )
-    return df.join(ranks, [*group, value], "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
+    rest = (F.col(value) > 0) & ~F.isnan(value)
+    asked = df.withColumn("_asked", F.when(rest, F.col(value)).otherwise(-1.0 - F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))))
+    return join_ties(asked, ranks.withColumnRenamed(value, "_asked"), group, "_asked", "left").drop("_asked", "tie_size").withColumn(out, F.coalesce(out, F.lit(0.0)))
 
 
 def ordinal_rank_scale(df: DataFrame, group: Sequence[str], value: str = "value", tie_by: str = "cell_id",

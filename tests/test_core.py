@@ -109,6 +109,37 @@ def test_nan_ranks_last(spark):
     assert [str(r.value) for r in ordered] == ["-3.0", "0.5", "1e+300", "inf", "nan"]
 
 
+def test_narrow_values_spread_over_chunks(spark):
+    rows = spark.range(100_000).select(F.lit("m").alias("module"), F.lit(0).alias("gene"), (F.col("id") + 1.7e9).alias("value"))
+    cut = ranks.with_chunks(rows, ["module", "gene"], "value")
+    assert cut.select("_chunk").distinct().count() >= 16
+    held = cut.groupBy("_chunk").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    assert held <= 2 * ranks.VALUES_PER_CHUNK
+    wrong = ranks.tie_blocks(rows, ["module", "gene"]).filter(F.col("tie_start") != F.col("value") - 1.7e9)
+    assert wrong.isEmpty()
+
+
+def test_hot_blocks_join_apart(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "HOT_ROWS", 50)
+    monkeypatch.setattr(ranks, "VALUES_PER_CHUNK", 16)
+    rng = np.random.default_rng(5)
+    x = np.column_stack([np.where(rng.random(400) < 0.9, 0.0, rng.normal(size=400)), rng.normal(size=400)])
+    expr = long(spark, x)
+    found = {(r.cell_id, r.gene): r.avg_rank for r in ranks.average_rank(expr, ["module", "gene"]).collect()}
+    place = {(r.cell_id, r.gene): r.position for r in ranks.ordinal_position(expr, ["module", "gene"]).collect()}
+    kept = {(r.cell_id, r.gene): r.profile for r in ranks.zero_preserving_rank(expr, ["module", "gene"]).collect()}
+    assert len(found) == len(place) == len(kept) == 800
+    for g in (0, 1):
+        order = np.lexsort((np.arange(400), x[:, g]))
+        positive = np.sort(x[x[:, g] > 0, g])
+        for k in range(400):
+            below, upto = (x[:, g] < x[k, g]).sum(), (x[:, g] <= x[k, g]).sum()
+            assert found[k, g] == (below + upto + 1) / 2
+            assert order[place[k, g]] == k
+            low, high = np.searchsorted(positive, x[k, g], "left"), np.searchsorted(positive, x[k, g], "right")
+            assert kept[k, g] == (pytest.approx((low + high + 1) / 2 / len(positive)) if x[k, g] > 0 else 0.0)
+
+
 def test_dense_vectors_fill_and_refuse(spark):
     rows = spark.createDataFrame([("m", 1, 1, 2.0), ("m", 1, 4, 5.0), ("m", 2, 0, 1.0)], "module string, cell_id bigint, gene int, value double")
     got = {r.cell_id: list(r.v) for r in correlation.dense_vectors(rows, "cell_id", "gene", "value", 6).collect()}
