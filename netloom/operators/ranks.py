@@ -50,24 +50,21 @@ def with_chunks(ties: DataFrame, group: Sequence[str], value: str, out: str = "_
 def join_ties(df: DataFrame, ties: DataFrame, group: Sequence[str], value: str = "value", how: str = "inner") -> DataFrame:
     """Give every row of ``df`` the columns of its tie block, without moving a hot block's rows to one task.
 
-    The up to ``HOT_BLOCKS`` largest blocks are sent to the rows; any other holds less than one row in
-    ``HOT_BLOCKS``, and is joined by key.  Rows served already are spread over ``SALTS`` keys that meet nothing.
-    ``ties`` holds ``tie_size``.
+    The keys of the ``HOT_BLOCKS`` largest blocks are known to both sides, which spread them over ``SALTS`` copies;
+    any other block holds less than one row in ``HOT_BLOCKS``.
     """
     key = [*group, value]
     added = [c for c in ties.columns if c not in key]
-    answer = F.struct(*added).alias("_answer")
+    # The order is total, so both uses of the list agree however often it is worked out.
     hot = (
-        ties.filter(F.col("tie_size") > HOT_ROWS).orderBy(F.desc("tie_size")).limit(HOT_BLOCKS)
-        .select(*key, answer).withColumnRenamed("_answer", "_hot")
+        df.groupBy(*key).agg(F.count(F.lit(1)).alias("tie_size")).filter(F.col("tie_size") > HOT_ROWS)
+        .orderBy(F.desc("tie_size"), *key).limit(HOT_BLOCKS).select(*key, F.lit(True).alias("_hot"))
     )
-    spread = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))).cast("int")
-    placed = df.join(F.broadcast(hot), key, "left").withColumn("_salt", spread).join(
-        ties.select(*key, F.lit(0).alias("_salt"), answer), [*key, "_salt"], "left")
-    found = placed.withColumn("_answer", F.coalesce("_hot", "_answer"))
-    if how == "inner":
-        found = found.filter(F.col("_answer").isNotNull())
-    return found.select(*df.columns, *[F.col("_answer")[c].alias(c) for c in added])
+    marked = lambda side: side.join(F.broadcast(hot), key, "left")
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    answers = marked(ties).withColumn("_salt", F.explode(copies)).drop("_hot")
+    return marked(df).withColumn("_salt", salt).join(answers, [*key, "_salt"], how).select(*df.columns, *added)
 
 
 def running_total(
