@@ -36,7 +36,7 @@ class RunConfig:
     analysis_mode: str = "representation"
     nmf_mode: str = "auto"
     nmf_components: int = 100
-    nmf_max_iter: int = 10
+    nmf_max_iter: int = 50_000
     pc_variant: str = "stable"
     max_cond_vars: int = 20
     significance_level: float = 0.01

@@ -8,11 +8,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.recommendation import ALS
-from pyspark.mllib.linalg import Vectors as OldVectors
-from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import cut_lineage
+from .correlation import dense_vectors
+
 BLOCK = 4096
 KEY_BLOCK = 512
 
@@ -87,11 +89,12 @@ def principal_components(vectors: DataFrame, k: int) -> DataFrame:
 
 def truncated_svd(vectors: DataFrame, k: int) -> DataFrame:
     """Left singular vectors times singular values of the uncentred data."""
-    rows = vectors.select("cell_id", "v").rdd.map(lambda r: IndexedRow(r["cell_id"], OldVectors.dense(r["v"])))
-    svd = IndexedRowMatrix(rows).computeSVD(k, computeU=True)
-    s = [float(x) for x in svd.s]
-    scores = svd.U.rows.map(lambda r: (int(r.index), [float(u) * x for u, x in zip(r.vector, s)]))
-    return vectors.sparkSession.createDataFrame(scores, "cell_id bigint, v array<double>")
+    column = vectors.select(array_to_vector(F.col("v").cast("array<double>")).alias("x"))
+    right = RowMatrix(MLUtils.convertVectorColumnsFromML(column, "x")).computeSVD(k).V.toArray()
+    # Scores are the rows times the right singular vectors; those are columns x k numbers.
+    axes = vectors.sparkSession.createDataFrame([(right.T.tolist(),)], "a array<array<double>>").scalar()
+    dot = lambda axis: F.aggregate(F.zip_with(F.col("v").cast("array<double>"), axis, lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+    return vectors.withColumn("_axes", axes).select("cell_id", F.transform("_axes", dot).alias("v"))
 
 
 def shared_neighbors(expression: DataFrame, access: DataFrame, k: int, first_k: int, second_k: int) -> DataFrame:
@@ -102,10 +105,67 @@ def shared_neighbors(expression: DataFrame, access: DataFrame, k: int, first_k:
     return neighbor_graph(nearest_neighbors(both, k), both.select("cell_id"))
 
 
-def nonnegative_factors(values: DataFrame, k: int, iterations: int = 10, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Non-negative factors of a dense long matrix: cells (cell_id, v) and genes (gene, v)."""
-    model = ALS(rank=k, maxIter=iterations, regParam=1e-3, nonnegative=True, seed=seed,
-                userCol="cell_id", itemCol="gene", ratingCol="value").fit(
-        values.select(F.col("cell_id").cast("int").alias("cell_id"), F.col("gene").cast("int").alias("gene"), F.col("value").cast("float").alias("value")))
-    side = lambda df, name: df.select(F.col("id").alias(name), F.col("features").cast("array<double>").alias("v"))
-    return side(model.userFactors, "cell_id"), side(model.itemFactors, "gene")
+def _nonnegative_rows(g: np.ndarray, b: np.ndarray, sweeps: int = 200, tolerance: float = 1e-10) -> np.ndarray:
+    """Rows w >= 0 of least w g w' / 2 - w b', by coordinate descent over all rows at once."""
+    w = np.zeros_like(b)
+    usable = np.flatnonzero(np.diag(g) > 0)
+    for _ in range(sweeps):
+        moved = 0.0
+        for c in usable:
+            better = np.maximum(0.0, w[:, c] + (b[:, c] - w @ g[:, c]) / g[c, c])
+            moved = max(moved, float(np.abs(better - w[:, c]).max(initial=0.0)))
+            w[:, c] = better
+        if moved <= tolerance * max(1.0, float(w.max(initial=0.0))):
+            break
+    return w
+
+
+def nonnegative_factors(values: DataFrame, k: int, iterations: int = 500, seed: int = 42, tolerance: float = 1e-4) -> tuple[DataFrame, DataFrame]:
+    """Non-negative factors of a long matrix: cells (cell_id, v) and genes (gene, v); absent values are 0.
+
+    Alternating non-negative least squares until an iteration lowers the squared error by less than ``tolerance``
+    of the first one's.  The weights of a cell depend on its own row and the genes' factors only, so a pass needs
+    no state of the one before: tasks add up k x (genes + k) sums, the driver holds genes x k numbers.
+    """
+    spark = values.sparkSession
+    n = (values.agg(F.max("gene")).first()[0] or 0) + 1
+    rows = cut_lineage(dense_vectors(values.withColumn("_g", F.lit(0)), "cell_id", "gene", "value", n, "_g").select("cell_id", "v"))
+    scale = np.sqrt(max(rows.agg(F.avg(F.aggregate("v", F.lit(0.0), lambda t, x: t + x))).first()[0] or 0.0, 0.0) / n / k)
+    genes = scale * np.abs(np.random.default_rng(seed).normal(size=(n, k)))
+
+    def weights(batch: pa.RecordBatch, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1)
+        return x, _nonnegative_rows(h.T @ h, x @ h)
+
+    def sums(h: np.ndarray):
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((k, k + n))
+            error = 0.0
+            for batch in batches:
+                x, w = weights(batch, h)
+                total += w.T @ np.hstack([w, x])
+                error += float(((x - w @ h.T) ** 2).sum())
+            yield pa.RecordBatch.from_pydict({"v": [np.append(total.ravel(), error)]})
+        return task
+
+    def place(h: np.ndarray):
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_pydict({"cell_id": batch.column("cell_id"), "v": list(weights(batch, h)[1])})
+        return task
+
+    first = last = None
+    for _ in range(iterations):
+        added = rows.mapInArrow(sums(genes), "v array<double>").select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"))
+        flat = np.array([r["x"] for r in added.orderBy("i").collect()])  # k x (genes + k) numbers, whatever the cells
+        if not len(flat):
+            break
+        products, error = flat[:-1].reshape(k, k + n), flat[-1]
+        genes = _nonnegative_rows(products[:, :k], products[:, k:].T)
+        first = error if first is None else first
+        if last is not None and last - error <= tolerance * first:
+            break
+        last = error
+    cells = rows.mapInArrow(place(genes), "cell_id bigint, v array<double>")
+    factors = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(genes)], "gene int, v array<double>")
+    return cells, factors

@@ -275,3 +275,27 @@ def test_modules_policy():
     found = modules.decide_modules(centred.T @ centred, 6, 0.7, 3, 6)
     assert [m.tolist() for m in found] == [list(range(6)), list(range(6, 11))]
     assert all(len(m) <= 4 for m in modules.decide_modules(centred.T @ centred, 6, 0.7, 2, 4))
+
+
+def test_factors_of_many_partitions(spark):
+    rng = np.random.default_rng(8)
+    truth = np.maximum(rng.normal(size=(60, 3)), 0) @ np.maximum(rng.normal(size=(3, 7)), 0)
+    far = 2**40  # ids as distributed numbering gives them
+    rows = [("m", far * (i % 4) + i, j, float(v)) for i, row in enumerate(truth) for j, v in enumerate(row)]
+    values = spark.createDataFrame(rows, "module string, cell_id bigint, gene int, value double").repartition(5)
+    cells, genes = neighbors.nonnegative_factors(values, 3, tolerance=1e-8)
+    w = {r.cell_id: r.v for r in cells.collect()}
+    h = np.array([r.v for r in genes.orderBy("gene").collect()])
+    placed = np.array([w[far * (i % 4) + i] for i in range(60)])
+    assert placed.min() >= 0 and h.min() >= 0
+    assert ((truth - placed @ h.T) ** 2).sum() < 0.02 * (truth**2).sum()
+    empty, _ = neighbors.nonnegative_factors(values.limit(0), 3)
+    assert empty.isEmpty()
+
+
+def test_truncated_svd_scores(spark):
+    x = np.random.default_rng(9).normal(size=(50, 6)) * np.arange(1, 7)
+    table = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "cell_id bigint, v array<double>")
+    got = np.array([r.v for r in neighbors.truncated_svd(table, 4).orderBy("cell_id").collect()])
+    u, s, _ = np.linalg.svd(x, full_matrices=False)
+    assert np.allclose(np.abs(got), np.abs(u[:, :4] * s[:4]), atol=1e-6)
