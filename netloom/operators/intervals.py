@@ -16,22 +16,26 @@ TINY = 1e-8
 def overlap_join(anchors: DataFrame, intervals: DataFrame, window: int, bin_size: int | None = None) -> DataFrame:
     """Anchor-interval pairs on one chromosome with start <= pos + window and end >= pos - window (both closed).
 
-    ``anchors`` has chrom and pos, ``intervals`` chrom, start and end.  Intervals are filed under the bin of every
-    stretch they touch and anchors look at the few bins their window covers, so a pair meets on (chrom, bin);
-    only the first common bin reports it, which saves a distinct.
+    ``anchors`` has chrom and pos, ``intervals`` chrom, start and end.  Bins come in levels, each twice as wide as the
+    one before.  An interval is filed at the first level whose bins are no shorter than itself, so under two bins at
+    most; anchors look at the few bins their window covers at each level in use.  A pair meets on (chrom, level, bin)
+    and only the first common bin reports it, which saves a distinct.
     """
-    size = F.lit(int(bin_size or max(1, 2 * window)))
-    bin_of = lambda c: F.floor(c / size)
-    filed = intervals.withColumn("_bin", F.explode(F.sequence(bin_of(F.col("start")), bin_of(F.col("end")))))
+    base = F.lit(int(bin_size or max(1, 2 * window)))
+    level = F.ceil(F.log2(F.greatest((F.col("end") - F.col("start")) / base, F.lit(1.0)))).cast("int")
+    bin_of = lambda c: F.floor(c / (base * F.pow(F.lit(2.0), F.col("_level"))))
+    levels = F.sequence(F.lit(0), F.coalesce(intervals.agg(F.max(level)).scalar(), F.lit(0)))
+    filed = intervals.withColumn("_level", level).withColumn("_bin", F.explode(F.sequence(bin_of(F.col("start")), bin_of(F.col("end")))))
     asking = (
         anchors.filter("pos is not null")
         .withColumn("_left", F.col("pos") - window)
         .withColumn("_right", F.col("pos") + window)
+        .withColumn("_level", F.explode(levels))
         .withColumn("_bin", F.explode(F.sequence(bin_of(F.col("_left")), bin_of(F.col("_right")))))
     )
-    met = asking.join(filed, ["chrom", "_bin"]).filter((F.col("start") <= F.col("_right")) & (F.col("end") >= F.col("_left")))
+    met = asking.join(filed, ["chrom", "_level", "_bin"]).filter((F.col("start") <= F.col("_right")) & (F.col("end") >= F.col("_left")))
     first = F.greatest(bin_of(F.col("_left")), bin_of(F.col("start")))
-    return met.filter(F.col("_bin") == first).drop("_bin", "_left", "_right")
+    return met.filter(F.col("_bin") == first).drop("_bin", "_level", "_left", "_right")
 
 
 def two_tier_candidates(anchors: DataFrame, peaks: DataFrame, promoter_window: int = 2000, distal_window: int = 150_000) -> DataFrame:

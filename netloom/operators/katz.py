@@ -70,8 +70,9 @@ def column_mean_scale(values: DataFrame, group: list[str], out: str = "scaled")
 def propagate(coefficients: DataFrame, beta: DataFrame, alpha: float = 0.05, least_squares: bool = True) -> DataFrame:
     """Score per (module, cell, gene); cells without edges keep beta.
 
-    A graph has at most the genes of a module, so one small linear solve per cell covers acyclic and cyclic
-    graphs alike.  A singular system falls back to least squares if asked, else fails.
+    All cells of a batch are substituted at once along their edges.  An acyclic graph stands still after at most as
+    many steps as it has genes; graphs that do not are cyclic and solved one by one.  A singular system falls back
+    to least squares if asked, else fails.
     """
     key = [c for c in coefficients.columns if c not in ("src", "dst", "coef")]
     start = beta.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("gene", "beta"))).alias("_b"))
@@ -81,23 +82,42 @@ def propagate(coefficients: DataFrame, beta: DataFrame, alpha: float = 0.05, lea
         F.col("_a.src").alias("src"), F.col("_a.dst").alias("dst"), F.col("_a.coef").alias("coef"),
     )
 
+    def dense(b, s, d, step):
+        system = np.eye(len(b))
+        np.subtract.at(system, (s, d), step)
+        try:
+            return np.linalg.solve(system, b)
+        except np.linalg.LinAlgError:
+            if not least_squares:
+                raise
+            return np.linalg.lstsq(system, b, rcond=None)[0]
+
     @F.pandas_udf("array<double>")
     def solve(genes: pd.Series, beta: pd.Series, src: pd.Series, dst: pd.Series, coef: pd.Series) -> pd.Series:
-        def one(g, b, s, d, c):
-            b = np.asarray(b, dtype=float)
-            if s is None or len(s) == 0:
-                return b
-            place = {v: i for i, v in enumerate(g)}
-            system = np.eye(len(b))
-            np.subtract.at(system, ([place[v] for v in s], [place[v] for v in d]), alpha * np.asarray(c))
-            try:
-                return np.linalg.solve(system, b)
-            except np.linalg.LinAlgError:
-                if not least_squares:
-                    raise
-                return np.linalg.lstsq(system, b, rcond=None)[0]
-
-        return pd.Series([one(*row) for row in zip(genes, beta, src, dst, coef)])
+        none = np.empty(0)
+        src, dst, coef = ([none if x is None else x for x in column] for column in (src, dst, coef))
+        width, edges = np.array([len(g) for g in genes]), np.array([len(s) for s in src])
+        starts, edge_starts = np.r_[0, np.cumsum(width)], np.r_[0, np.cumsum(edges)]
+        fixed = np.concatenate([none, *beta]).astype(float)
+        nodes = pd.MultiIndex.from_arrays([np.repeat(np.arange(len(width)), width), np.concatenate(list(genes))])
+        v, left = fixed.copy(), np.empty(0, int)
+        if edges.any():
+            owner = np.repeat(np.arange(len(width)), edges)
+            ends = [nodes.get_indexer(pd.MultiIndex.from_arrays([owner, np.concatenate([p for p in part if len(p)])])) for part in (src, dst)]
+            if min(e.min() for e in ends) < 0:
+                raise KeyError("an edge names a gene without a value")
+            step = alpha * np.concatenate([c for c in coef if len(c)]).astype(float)
+            with np.errstate(over="ignore", invalid="ignore"):  # cyclic graphs may grow until they are set aside
+                for _ in range(int(width.max()) + 1):
+                    before = v
+                    v = fixed + np.bincount(ends[0], step * before[ends[1]], minlength=len(fixed))
+                    if np.array_equal(v, before):
+                        break
+            left = np.unique(np.repeat(np.arange(len(width)), width)[(v != before) | ~np.isfinite(v)])
+        for i in left:
+            own, arcs = slice(starts[i], starts[i + 1]), slice(edge_starts[i], edge_starts[i + 1])
+            v[own] = dense(fixed[own], ends[0][arcs] - starts[i], ends[1][arcs] - starts[i], step[arcs])
+        return pd.Series([v[starts[i]:starts[i + 1]] for i in range(len(width))])
 
     solved = rows.withColumn("score", solve("genes", "beta", "src", "dst", "coef"))
     return solved.select(*key, F.inline(F.arrays_zip(F.col("genes").alias("gene"), F.col("score"))))

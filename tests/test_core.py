@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netloom.functions import stats
-from netloom.operators import correlation, counts, graphs, katz, modules, motifs, neighborhoods, neighbors, orientation, ranks, skeleton
+from netloom.operators import correlation, counts, graphs, intervals, katz, modules, motifs, neighborhoods, neighbors, orientation, ranks, skeleton
 
 
 def long(spark, x, module="m"):
@@ -299,3 +299,26 @@ def test_truncated_svd_scores(spark):
     got = np.array([r.v for r in neighbors.truncated_svd(table, 4).orderBy("cell_id").collect()])
     u, s, _ = np.linalg.svd(x, full_matrices=False)
     assert np.allclose(np.abs(got), np.abs(u[:, :4] * s[:4]), atol=1e-6)
+
+
+def test_long_and_short_intervals(spark):
+    rng = np.random.default_rng(12)
+    spots = [(i, f"c{i % 2}", int(p)) for i, p in enumerate(rng.integers(0, 2_000_000, 200))]
+    spans = [(i, f"c{i % 2}", int(s), int(s + n)) for i, (s, n) in enumerate(zip(rng.integers(0, 2_000_000, 60), [0, 1, 2, 7, 900, 1_000_000] * 10))]
+    got = intervals.overlap_join(spark.createDataFrame(spots, "gene_id int, chrom string, pos long"),
+                                 spark.createDataFrame(spans, "peak_id int, chrom string, start long, end long"), 1).collect()
+    want = sorted((g, p) for g, c, x in spots for p, d, s, e in spans if c == d and s <= x + 1 and e >= x - 1)
+    assert sorted((r.gene_id, r.peak_id) for r in got) == want and want
+
+
+def test_propagation_on_mixed_graphs(spark):
+    arcs = {0: [(0, 1, 1.0), (1, 2, 2.0)], 1: [(0, 1, 1.0), (1, 0, 3.0)], 3: [(0, 1, 1.0), (1, 0, 4.0)]}
+    edges = spark.createDataFrame([("m", c, *a) for c, part in arcs.items() for a in part], "module string, cell_id bigint, src int, dst int, coef double")
+    beta = spark.createDataFrame([("m", c, g, float(c + g + 1)) for c in range(4) for g in range(3)], "module string, cell_id bigint, gene int, beta double")
+    score = {(r.cell_id, r.gene): r.score for r in katz.propagate(edges, beta, 0.5).collect()}
+    for c in range(4):
+        system, b = np.eye(3), np.array([c + 1.0, c + 2.0, c + 3.0])
+        for s, d, w in arcs.get(c, []):
+            system[s, d] -= 0.5 * w
+        want = np.linalg.lstsq(system, b, rcond=None)[0] if c == 3 else np.linalg.solve(system, b)
+        assert np.allclose([score[c, g] for g in range(3)], want)
