@@ -10,7 +10,8 @@ log(1 + items / items that have it), one outside the benchmark as much as one of
 The benchmark is taken in blocks of bounded size, each sent to the tasks and run against all documents; nothing of the
 documents is sent or shuffled. Defined results: null or empty texts match nothing; items of fewer than five words (and
 null ones) have no five-word shingle and are not searched for; equal items are each reported; of several windows the most
-similar one counts, then the earliest. Rows that repeat an id are each searched.
+similar one counts, then the earliest. Rows that repeat an id are each searched, but rows of equal id and equal shingles
+are one item: it is searched, counted and reported once.
 """
 
 from __future__ import annotations
@@ -197,7 +198,7 @@ def search(index: Index, words: Words) -> Iterator[tuple[int, dict[int, tuple[fl
 
 
 def _items(benchmark: DataFrame, n: int) -> DataFrame:
-    """item_id, number of words and shingles in order of the items that have shingles."""
+    """item_id, number of words and shingles in order of the items that have shingles; each (item_id, shingles) once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,7 +210,8 @@ def _items(benchmark: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(sizes, pa.int64()), pa.array(own, pa.list_(pa.int64()))], ["item_id", "n_words", "shingles"])
 
     kind = benchmark.schema["item_id"].dataType.simpleString()
-    return benchmark.select("item_id", "text").mapInArrow(run, f"item_id {kind}, n_words bigint, shingles array<bigint>").where(F.size("shingles") > 0)
+    found = benchmark.select("item_id", "text").mapInArrow(run, f"item_id {kind}, n_words bigint, shingles array<bigint>").where(F.size("shingles") > 0)
+    return found.dropDuplicates(["item_id", "shingles"])
 
 
 def indexes(benchmark: DataFrame, how: Search = Search()) -> list[Index]:

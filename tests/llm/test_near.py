@@ -162,6 +162,20 @@ def test_decontamination_equals_brute_force(spark, make_docs):
     assert decontam.matches(make_docs([]), benchmark).count() == 0
 
 
+def test_a_repeated_benchmark_row_is_one_item(spark, make_docs):
+    item, other = " ".join(words(801, 30, 3000)), " ".join(words(802, 25, 3000))
+    docs = make_docs([(1, item), (2, " ".join([*words(803, 20, 3000), *other.split(), *words(804, 20, 3000)])), (3, " ".join(words(805, 50, 3000)))])
+    once = [(1, item), (2, other), (3, item), (None, other)]
+    want = None
+    for items in (once, [*once, *once], [*once, (1, item.replace(" ", "  ")), (1, item)]):
+        benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+        for how in (decontam.Search(), decontam.Search(block_items=1)):
+            got = sorted(((r["doc_id"], r["item_id"] or 0, r["start"], r["similarity"]) for r in decontam.matches(docs, benchmark, how).collect()))
+            want = want or got
+            assert got == want and [r[:3] for r in got] == [(1, 1, 0), (1, 3, 0), (2, 0, 20), (2, 2, 20)] and min(r[3] for r in got) > 0.999
+            assert [r["doc_id"] for r in decontam.keep_clean(docs, benchmark, how).collect()] == [3]
+
+
 def test_hamming_blocks_find_all_within_the_radius():
     rng = np.random.default_rng(3)
     rows = [(k, 9, rng.integers(-(2**63), 2**63, 5).tolist(), [1.0] * 5) for k in range(300)]
