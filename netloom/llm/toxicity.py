@@ -279,8 +279,8 @@ def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for low in range(0, batch.num_rows, 200):
             part = batch.slice(low, 200)
             yield pa.RecordBatch.from_arrays(
-                [part.column("toxic"), part.column("opening"), pa.array([sorted(text_patterns(t)) for t in part.column("text").to_pylist()], pa.list_(pa.string()))],
-                ["toxic", "opening", "patterns"])
+                [part.column("toxic"), part.column("copy"), pa.array([sorted(text_patterns(t)) for t in part.column("text").to_pylist()], pa.list_(pa.string()))],
+                ["toxic", "copy", "patterns"])
 
 
 def mine(docs: DataFrame, labels: DataFrame, how: Weak) -> tuple[list[list[str]], list[str], float]:
@@ -288,10 +288,10 @@ def mine(docs: DataFrame, labels: DataFrame, how: Weak) -> tuple[list[list[str]]
     chosen, prior = _sampled_labels(labels, how)
     if chosen is None:
         return [], [], prior
-    # Copies and near copies of a row mostly open alike; one row for each opening keeps a large group from voting for its own words.
-    rows = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("opening", F.xxhash64(F.substring("text", 1, 60)))
-            .groupBy("opening").agg(F.max("toxic").alias("toxic"), F.max_by("text", F.struct("toxic", F.negative("doc_id"))).alias("text")))
-    made = rows.mapInArrow(_patterns, "toxic int, opening bigint, patterns array<string>")
+    # One row for each whole text keeps a large group of copies from voting for its own words.
+    rows = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("copy", F.sha2("text", 256))
+            .groupBy("copy").agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")))
+    made = rows.mapInArrow(_patterns, "toxic int, copy string, patterns array<string>")
     sizes = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
     t, c = sizes["t"] or 0, sizes["n"] - (sizes["t"] or 0)
     if not t:
@@ -308,9 +308,9 @@ def mine(docs: DataFrame, labels: DataFrame, how: Weak) -> tuple[list[list[str]]
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = Lookup(keep)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("opening"), pa.array([sorted(look(x)) for x in batch.column("text").to_pylist()], pa.list_(pa.string()))], ["opening", "hits"])
+            yield pa.RecordBatch.from_arrays([batch.column("copy"), pa.array([sorted(look(x)) for x in batch.column("text").to_pylist()], pa.list_(pa.string()))], ["copy", "hits"])
 
-    listed = rows.where("toxic = 1").select("opening", "text").mapInArrow(hits, "opening bigint, hits array<string>").orderBy("opening").collect()
+    listed = rows.where("toxic = 1").select("copy", "text").mapInArrow(hits, "copy string, hits array<string>").orderBy("copy").collect()
     return choose_lists([r["hits"] for r in listed], good, how), names, prior
 
 

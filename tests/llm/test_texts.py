@@ -64,6 +64,18 @@ def test_toxicity_edges(spark, make_docs):
     assert toxicity.scored(make_docs([]), empty).count() == 0
 
 
+def test_toxicity_learns_from_texts_with_one_opening(spark, make_docs):
+    header = "This site uses cookies. By reading on you accept all of our terms and conditions. "
+    rows = [(k, header + (f"grumzel entry {k} of the day" if k % 4 == 0 else f"calm entry {k} of the day")) for k in range(160)]
+    docs = make_docs([*rows, *((1000 + k, rows[0][1]) for k in range(40))], ["copy"])
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(160)] + [(1000 + k, 1) for k in range(40)], "doc_id bigint, toxic int")
+    mined, features, _ = toxicity.mine(docs, labels, toxicity.Weak())
+    assert "=grumzel" in features and mined and all(p.strip("=^$").startswith(("g", "umzel", "mzel")) for own in mined for p in own)
+    model, _ = toxicity.train(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, model).collect()}
+    assert min(got[k] for k, _ in rows if k % 4 == 0) > max(got[k] for k, _ in rows if k % 4)
+
+
 def test_label_model_finds_powers_and_correlation():
     rng = np.random.default_rng(1)
     n, prior = 200_000, 0.2
