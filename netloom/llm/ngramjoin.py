@@ -142,13 +142,13 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _links(sets: list[np.ndarray], bands: np.ndarray, band: int, block: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs at or above the threshold that this block is to count: of two different blocks or within one, and
-    not sharing an earlier band."""
+def _links(sets: list[np.ndarray], bands: np.ndarray, band: int, block: np.ndarray, low: int, high: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs at or above the threshold that the group of blocks ``low`` and ``high`` is to count: across the two or,
+    where they are one, within it, and not sharing an earlier band. A block may have no member."""
     m = len(sets)
     size = np.array([len(s) for s in sets])
     i, j = np.triu_indices(m, 1)
-    if block.min() != block.max():  # two blocks: pairs within one are counted where it meets itself
+    if low != high:  # two blocks: pairs within one are counted where it meets itself
         across = block[i] != block[j]
         i, j = i[across], j[across]
     near = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j])
@@ -190,7 +190,8 @@ def _decide(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         sets = [np.frombuffer(s, U64) for s in table.column("shingles").to_pylist()]
         listed = table.column("bands").combine_chunks()
         bands = listed.flatten().to_numpy(zero_copy_only=False).reshape(m, -1)
-        i, j = _links(sets, bands, table.column("band")[0].as_py(), table.column("block").to_numpy(), threshold)
+        band, low, high = (table.column(c)[0].as_py() for c in ("band", "low", "high"))
+        i, j = _links(sets, bands, band, table.column("block").to_numpy(), low, high, threshold)
         if not len(i):
             continue
         n = table.column("n").to_numpy()

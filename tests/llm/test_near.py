@@ -74,6 +74,17 @@ def test_hot_bucket_is_split_and_counts_once(make_docs, monkeypatch):
         assert got[a]["class_id"] == (0 if got[a]["n_links"] else a)
 
 
+def test_blocks_without_members_count_once(make_docs, monkeypatch):
+    base = words(13, 60)
+    own = [(k, " ".join([*base[:57], f"z{k}", *base[58:]])) for k in range(3)]
+    sets = {i: shingles(t) for i, t in own}
+    near = {a: sum(jaccard(sets[a], sets[b]) >= 0.8 for b in sets if b != a) for a in sets}
+    for weight in (1 << 20, 100, 30, 9):
+        monkeypatch.setattr(ngramjoin, "BLOCK_SHINGLES", weight)
+        got = {r["doc_id"]: (r["n_links"], r["n_linked_texts"], r["class_id"]) for r in ngramjoin.link_report(make_docs(own)).collect()}
+        assert got == {a: (near[a], near[a], 0) for a in sets} and set(near.values()) == {2}
+
+
 def test_band_shape_meets_the_recall():
     for recall in (0.9, 0.99, 0.9999):
         how = ngramjoin.Join(recall=recall)
