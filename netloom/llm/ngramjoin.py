@@ -243,7 +243,12 @@ def link_report(docs: DataFrame, how: Join = Join()) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, how: Join = Join()) -> DataFrame:
-    """The documents, all columns, less those for which another one of their class stands."""
+    """The documents, all columns, less those for which another one of their class stands. Of rows with equal id (or none)
+    and equal text one stays, where other columns differ the one whose hash of them is smallest."""
     found = near_classes(docs.select("doc_id", "text"), how)
-    gone = found.where(~F.struct("doc_id", "text_hash").eqNullSafe(F.col("leader"))).select(F.col("doc_id").alias("__gone_id"), F.col("text_hash").alias("__gone_hash"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone_id")) & (F.xxhash64("text") == F.col("__gone_hash")), "left_anti")
+    name = [F.xxhash64(F.col("doc_id").isNull(), "doc_id"), F.col("text_hash")]
+    gone = found.where(~F.struct("doc_id", "text_hash").eqNullSafe(F.col("leader"))).select(*(x.alias(f"__gone{k}") for k, x in enumerate(name)))
+    # The two hashes deal the rows out for both the aggregate and the join, so texts are shuffled once.
+    rows = (docs.select(name[0].alias("__key0"), F.xxhash64("text").alias("__key1"), F.struct(*(docs[c] for c in docs.columns)).alias("__row"))
+            .groupBy("__key0", "__key1").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row")))
+    return rows.join(gone, (F.col("__key0") == F.col("__gone0")) & (F.col("__key1") == F.col("__gone1")), "left_anti").select("__row.*")
