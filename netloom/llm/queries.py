@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, fingerprints, langid, linededup, maintext, ngramjoin, packing, substrings, toxicity
+from . import chat, decontam, fingerprints, langid, linededup, maintext, ngramjoin, packing, spelling, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -71,3 +71,8 @@ def op6_chat_formatting(spark, sf):
 @query
 def op4_substring_dedup(spark, sf):
     return substrings.without_repeats(table(spark, sf, "documents"), texts=False)
+
+
+@query
+def op11_spelling_variants(spark, sf):
+    return spelling.spelling_report(table(spark, sf, "documents"))
