@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, fingerprints, langid, linededup, maintext, ngramjoin, packing, spelling, substrings, toxicity
+from . import chat, decontam, fingerprints, langid, linededup, maintext, ngramjoin, packing, spelling, substrings, toxicity, vectorcodes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -76,3 +76,8 @@ def op4_substring_dedup(spark, sf):
 @query
 def op11_spelling_variants(spark, sf):
     return spelling.spelling_report(table(spark, sf, "documents"))
+
+
+@query
+def op12_vector_codes(spark, sf):
+    return vectorcodes.code_report(table(spark, sf, "embeddings"))
