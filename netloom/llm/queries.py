@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, fingerprints, langid, linededup, maintext, ngramjoin, packing, spelling, substrings, toxicity, vectorcodes
+from . import chat, decontam, fingerprints, langid, linededup, maintext, ngramjoin, packing, spelling, substrings, toxicity, vectorcodes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -81,3 +81,8 @@ def op11_spelling_variants(spark, sf):
 @query
 def op12_vector_codes(spark, sf):
     return vectorcodes.code_report(table(spark, sf, "embeddings"))
+
+
+@query
+def op13_warc(spark, sf):
+    return warc.archive_report(table(spark, sf, "pages"))
