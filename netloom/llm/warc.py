@@ -437,12 +437,12 @@ def page_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     of their payload in one join, which adaptive execution may split where one payload is frequent."""
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), html.alias("payload"))
-    rows = rows.select("page_id", "url", "payload", F.octet_length("payload").cast("long").alias("n"), digest_column(F.col("payload")).alias("digest"))
+    rows = rows.select("page_id", "url", "payload", F.octet_length("payload").cast("long").alias("n"), F.coalesce(digest_column(F.col("payload")), F.lit("")).alias("digest"))
     key = F.struct(F.col("page_id").isNull().alias("no_id"), F.col("page_id").alias("id"), F.col("url").isNull().alias("no_url"), F.col("url").alias("u"))
     same = rows.where(F.col("n") >= least_bytes).groupBy("digest", key.alias("key")).agg(F.count("*").alias("c"))
     first = same.groupBy("digest").agg(F.min(F.struct("key", "c")).alias("f"), F.sum("c").alias("all")).where(F.col("all") > 1)
     met = rows.join(first.select("digest", "f"), "digest", "left")
-    is_first = F.col("f").isNull() | (key == F.col("f.key"))
+    is_first = F.col("f").isNull() | (key <= F.col("f.key"))  # no smaller key exists; as an equality it would become a join key and a second shuffle
     own = F.coalesce(F.col("f.c"), F.lit(1)) == 1
     # Of several wholly equal first rows one is the response.
     again = met.where(is_first & ~own).groupBy("digest", "page_id", "url").agg(F.first("payload").alias("payload"), F.first("n").alias("n"), F.first("f").alias("f"))
