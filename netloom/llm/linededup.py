@@ -83,6 +83,8 @@ def line_report(docs: DataFrame, min_sites: int = 10) -> DataFrame:
 
 
 def drop_boilerplate(docs: DataFrame, min_sites: int = 10) -> DataFrame:
-    """The documents, all columns, with boilerplate lines taken out of the text; n_chars follows where there is such a column."""
-    out = [F.col("__kept").alias(c) if c == "text" else F.char_length("__kept").cast("bigint").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return dedup_lines(docs, min_sites).select(*out)
+    """The documents, all columns, with boilerplate lines taken out of the text; n_chars follows where there is such a column.
+    Rows travel as one struct, so their other columns may have any name."""
+    row = docs.select("doc_id", "text", "source", F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias("__row"))
+    new = {"text": F.col("__kept"), "n_chars": F.char_length("__kept").cast("bigint")}
+    return dedup_lines(row, min_sites).select(*(new.get(c, F.col("__row").getField(c)).alias(c) for c in docs.columns))

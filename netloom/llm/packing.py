@@ -17,7 +17,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
@@ -88,13 +89,16 @@ def best_fit(lengths: np.ndarray, how: Pack, rule: str) -> tuple[np.ndarray, np.
     return bins, offsets, [next(c for c in sizes if c >= u) for u in used]
 
 
-def pack_shard(rows: pd.DataFrame, how: Pack) -> pd.DataFrame:
-    """Adds bin, offset and capacity to the rows (doc_id, piece, length) of one shard."""
-    rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], na_position="first", kind="stable").reset_index(drop=True)
+def pack_shard(rows: pa.Table, how: Pack) -> pa.Table:
+    """Adds bin, offset and capacity to the rows (doc_id, piece, length) of one shard. Ids keep their type: they are only sorted."""
+    keys = [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")]
+    rows = rows.take(pc.sort_indices(rows, sort_keys=keys, null_placement="at_start"))
     lengths = rows["length"].to_numpy()
     outcomes = [best_fit(lengths, how, rule) for rule in ("expected", "largest", "smallest")]
     bins, offsets, capacity = min(outcomes, key=lambda o: sum(map(how.cost, o[2])))
-    return rows.assign(bin=bins, offset=offsets, capacity=np.array(capacity, np.int64)[bins])
+    for name, column in (("bin", bins), ("offset", offsets), ("capacity", np.array(capacity, np.int64)[bins])):
+        rows = rows.append_column(name, pa.array(column, pa.int64()))
+    return rows
 
 
 def packed(docs: DataFrame, how: Pack = Pack()) -> DataFrame:
@@ -103,11 +107,10 @@ def packed(docs: DataFrame, how: Pack = Pack()) -> DataFrame:
     shards = -(-rows.count() // how.shard_pieces) or 1
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        shard = int(pdf["shard"].iloc[0])
-        out = pack_shard(pdf.drop(columns="shard"), how)
-        out["bin_id"] = [f"{shard}-{b}" for b in out["bin"]]
-        return out[["doc_id", "piece", "length", "bin_id", "offset", "capacity"]]
+    def run(shard: pa.Table) -> pa.Table:
+        out, name = pack_shard(shard.drop_columns("shard"), how), shard["shard"][0].as_py()
+        out = out.append_column("bin_id", pa.array([f"{name}-{b}" for b in out["bin"].to_pylist()], pa.string()))
+        return out.select(["doc_id", "piece", "length", "bin_id", "offset", "capacity"])
 
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(run, f"doc_id {kind}, piece bigint, length bigint, bin_id string, offset bigint, capacity bigint")
+    return dealt.groupBy("shard").applyInArrow(run, f"doc_id {kind}, piece bigint, length bigint, bin_id string, offset bigint, capacity bigint")

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 
 import corpus_pipeline
 from netloom.llm import linededup, packing
@@ -79,7 +79,7 @@ def test_packing_is_near_the_least_cost():
     made = best = 0.0
     for _ in range(60):
         lengths = sorted(rng.integers(1, 17, 6).tolist(), reverse=True)
-        out = packing.pack_shard(pd.DataFrame({"doc_id": range(6), "piece": 0, "length": lengths}), how)
+        out = packing.pack_shard(pa.table({"doc_id": range(6), "piece": [0] * 6, "length": lengths}), how).to_pandas()
         made += out.groupby("bin").capacity.first().map(how.cost).sum()
         best += least_cost(lengths, how)
     assert best <= made <= 1.1 * best
@@ -109,6 +109,22 @@ def test_packing_places_everything(make_docs):
     assert packing.packed(make_docs([])).count() == 0
 
 
+def test_packing_keeps_ids_beside_a_null(make_docs):
+    ids = [2**53 + 1, 2**53 + 3, None, 2**62 + 1, -(2**60) - 1]
+    got = packing.packed(make_docs([(i, "a b") for i in ids])).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(ids) and {r["length"] for r in got} == {3}
+
+
+def test_lines_leave_columns_of_any_name(make_docs):
+    names = ["__id", "__text_hash", "__kept", "__gone", "__row", "__pos", "a.b", "c`d"]
+    docs = make_docs([(k, "shared line here\nown %d" % k, "en", "site%d" % k) for k in range(20)], names)
+    got = linededup.drop_boilerplate(docs)
+    assert got.columns == docs.columns
+    rows = sorted(got.collect(), key=lambda r: r["doc_id"])
+    assert [r["text"] for r in rows] == ["shared line here\nown 0", *("own %d" % k for k in range(1, 20))]
+    assert all(r[n] == "clash" for r in rows for n in names)
+
+
 def test_pipeline_stages(spark, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "ngram_jaccard_join", "decontamination", "best_fit_packing"]
