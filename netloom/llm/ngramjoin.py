@@ -41,13 +41,13 @@ class Join:
     most_bands: int = 24
 
     def shape(self) -> tuple[int, int]:
-        """The most rows a band can have while the bands needed for the recall stay within ``most_bands``."""
-        best = (1, 1)
-        for rows in range(1, 20):
-            bands = max(1, math.ceil(math.log(1 - self.recall) / math.log(1 - self.threshold**rows))) if self.threshold < 1 else 1
-            if bands <= self.most_bands:
-                best = (bands, rows)
-        return best
+        """(bands, rows a band): the most rows whose bands for the recall stay within ``most_bands``; where even one row needs
+        more bands than that, as at low thresholds, it gets them."""
+        if self.threshold >= 1:
+            return 1, 19
+        needed = {rows: max(1, math.ceil(math.log(1 - self.recall) / math.log1p(-(self.threshold**rows)))) for rows in range(1, 20)}
+        rows = max((r for r, bands in needed.items() if bands <= self.most_bands), default=1)
+        return needed[rows], rows
 
 
 def _sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
