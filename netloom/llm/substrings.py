@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import cut_lineage
 from .words import U64, Words, grams, mix, text_buffer, words_of
 
 WINDOW, PREFIX = 20, 6
@@ -284,14 +285,15 @@ def _keep(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordB
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a key: one number for each row that orders them as the contract says."""
+    """doc_id, text and a key: one number for each row that orders them as the contract says. Where ids repeat or are null, rows
+    are put in order once (null ids first, equal ids by text) and numbered by their place there, so any 64-bit id will do."""
     rows = docs.select("doc_id", "text")
-    size = rows.groupBy("doc_id").count().agg(F.max("count").alias("most"), F.count_if(F.col("doc_id").isNull()).alias("nulls"), F.min("doc_id").alias("least")).first()
+    size = rows.groupBy("doc_id").count().agg(F.max("count").alias("most"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
     if (size["most"] or 1) == 1 and not size["nulls"]:
         return rows.select(F.col("doc_id").cast("bigint").alias("key"), "doc_id", "text")
-    within = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")) - 1
-    number = F.coalesce(F.col("doc_id").cast("bigint"), F.lit((size["least"] or 0) - 1))
-    return rows.select((number * size["most"] + within).alias("key"), "doc_id", "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    placed = cut_lineage(rows.repartitionByRange(*order).sortWithinPartitions(*order, "text"))
+    return placed.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text")
 
 
 def marks_of(docs: DataFrame, group: int = GROUP) -> DataFrame:
