@@ -5,11 +5,12 @@ A window has as many words as the item it is compared with (the whole document w
 single five-word shingle of the benchmark have similarity 0 and get no fingerprint. A 64-bit fingerprint is cut into
 ``BLOCKS`` parts; two within ``radius`` bits differ by at most radius // BLOCKS bits in one part, so looking up every part
 with that many bits flipped finds all of them. Similarity is weighted Jaccard of the shingle multisets; a shingle weighs
-log(1 + items / items that have it), one outside the benchmark as much as one of a single item.
+log(1 + items / items that have it), one outside the benchmark as much as one of a single item. Fingerprints add up the
+square roots of the weights: their cosine then follows the weights themselves, as the weighted Jaccard does.
 
 The benchmark is taken in blocks of bounded size, each sent to the tasks and run against all documents; nothing of the
-documents is sent or shuffled. Defined results: null or empty texts match nothing; items of fewer than five words (and
-null ones) have no five-word shingle and are not searched for; equal items are each reported; of several windows the most
+documents is sent or shuffled. Defined results: null or empty texts match nothing; an item of fewer than five words is one shingle
+of all its words and is found where they stand in a row; null and empty items are not searched for; equal items are each reported; of several windows the most
 similar one counts, then the earliest. Rows that repeat an id are each searched, but rows of equal id and equal shingles
 are one item: it is searched, counted and reported once.
 """
@@ -24,12 +25,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .words import U64, Words, grams, words_of
+from .words import U64, Words, grams, mix, multipliers, words_of
 
 BITS, BLOCKS, FILTER = 64, 6, 20
-SCALE = 16  # weights are whole numbers in fingerprints, so sums do not depend on their order
+SCALE = 256  # weights are whole numbers in fingerprints, so sums do not depend on their order
 
 
 @dataclass(frozen=True)
@@ -57,6 +60,7 @@ class Index:
     totals: np.ndarray = field(default_factory=lambda: np.zeros(0))
     filter: np.ndarray = field(default_factory=lambda: np.zeros(1 << FILTER, bool))
     parts: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
+    short: dict[int, dict[int, list[int]]] = field(default_factory=dict)  # by words: shingle of all words, places in items
 
 
 def _signs(shingles: np.ndarray) -> np.ndarray:
@@ -70,7 +74,7 @@ def _pack(sums: np.ndarray) -> np.ndarray:
 
 
 def _whole(weights: np.ndarray | float) -> np.ndarray:
-    return np.maximum(1, np.rint(np.asarray(weights) * SCALE)).astype(np.int32)
+    return np.maximum(1, np.rint(np.sqrt(np.asarray(weights)) * SCALE)).astype(np.int32)
 
 
 def _flips(width: int, most: int) -> np.ndarray:
@@ -82,6 +86,8 @@ def build_index(rows: list[tuple[object, int, list[int], list[float]]], outside:
     known: dict[int, float] = {}
     owners: dict[int, set[int]] = {}
     shingles = []
+    few = [r for r in rows if r[1] < how.words]
+    rows = [r for r in rows if r[1] >= how.words]
     for k, (_, _, own, weights) in enumerate(rows):
         own = [int(s) & (2**64 - 1) for s in own]
         known.update(zip(own, weights))
@@ -95,8 +101,10 @@ def build_index(rows: list[tuple[object, int, list[int], list[float]]], outside:
         s = np.array(list(own), U64)
         w = _whole([known[int(x)] for x in s]) * np.array(list(own.values()), np.int32)
         prints.append(_pack((_signs(s) * w[:, None]).sum(axis=0, keepdims=True))[0])
-    index = Index([r[0] for r in rows], np.array([r[1] for r in rows], np.int64), shingles, vocabulary, weights, outside,
+    index = Index([r[0] for r in rows + few], np.array([r[1] for r in rows], np.int64), shingles, vocabulary, weights, outside,
                   [np.array(sorted(owners[int(s)]), np.int64) for s in vocabulary], np.array(prints, U64), how)
+    for k, (_, n, own, _) in enumerate(few):
+        index.short.setdefault(n, {}).setdefault(int(own[0]) & (2**64 - 1), []).append(len(rows) + k)
     index.totals = np.array([sum(known[s] * n for s, n in own.items()) for own in shingles])
     index.filter[(vocabulary >> U64(64 - FILTER)).astype(np.int64)] = True
     edges = np.linspace(0, BITS, BLOCKS + 1).astype(int)
@@ -184,6 +192,41 @@ def search_document(index: Index, g: np.ndarray, n_words: int, hits: np.ndarray,
 
 def search(index: Index, words: Words) -> Iterator[tuple[int, dict[int, tuple[float, int, int, int]]]]:
     """Row and matches of each document of the piece that has any."""
+    found = _whole_items(index, words)
+    if len(index.vocabulary):
+        for d, more in _windows(index, words):
+            found.setdefault(d, {}).update(more)
+    for d in sorted(found):
+        yield words.row + d, found[d]
+
+
+def _whole_items(index: Index, words: Words) -> dict[int, dict[int, tuple[float, int, int, int]]]:
+    """Items of fewer words than a shingle, by document: the first place where all their words stand in a row."""
+    out: dict[int, dict[int, tuple[float, int, int, int]]] = {}
+    for length, known in index.short.items():
+        g, first = word_runs(words, length)
+        hits = np.flatnonzero(np.isin(g, np.array(list(known), U64)))
+        owner = np.searchsorted(first, hits, "right") - 1
+        for at, d in zip(hits.tolist(), owner.tolist()):
+            for item in known[int(g[at])]:
+                out.setdefault(d, {}).setdefault(item, (1.0, at - int(first[d]), length, 0))
+    return out
+
+
+def word_runs(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of n words, as a text of just these words has for its one shingle, and each document's first."""
+    number = np.maximum(np.diff(words.first) - n + 1, 0)
+    weights = multipliers(n, 5)
+    total = max(len(words.hashes) - n + 1, 0)
+    rolled = np.full(total, U64(n))
+    for j in range(n):
+        rolled += words.hashes[j : j + total] * weights[j]
+    first = np.concatenate(([0], np.cumsum(number)))
+    at = np.arange(first[-1]) - np.repeat(first[:-1], number) + np.repeat(words.first[:-1], number)
+    return mix(rolled[at]), first
+
+
+def _windows(index: Index, words: Words) -> Iterator[tuple[int, dict[int, tuple[float, int, int, int]]]]:
     g, first = grams(words, index.how.words, short=False)
     maybe = np.flatnonzero(index.filter[(g >> U64(64 - FILTER)).astype(np.int64)])
     place = np.minimum(np.searchsorted(index.vocabulary, g[maybe]), len(index.vocabulary) - 1)
@@ -194,17 +237,17 @@ def search(index: Index, words: Words) -> Iterator[tuple[int, dict[int, tuple[fl
         own = owner == d
         found = search_document(index, g[first[d] : first[d + 1]], int(words.first[d + 1] - words.first[d]), hits[own] - first[d], place[own])
         if found:
-            yield words.row + d, found
+            yield d, found
 
 
 def _items(benchmark: DataFrame, n: int) -> DataFrame:
-    """item_id, number of words and shingles in order of the items that have shingles; each (item_id, shingles) once."""
+    """item_id, number of words and shingles in order of the items that have words; each (item_id, shingles) once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, own = [], []
             for words in words_of(batch.column("text")):
-                g, first = grams(words, n, short=False)
+                g, first = grams(words, n)
                 sizes += np.diff(words.first).tolist()
                 own += [g[a:b].view(np.int64) for a, b in zip(first[:-1], first[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(sizes, pa.int64()), pa.array(own, pa.list_(pa.int64()))], ["item_id", "n_words", "shingles"])
@@ -217,20 +260,20 @@ def _items(benchmark: DataFrame, n: int) -> DataFrame:
 def indexes(benchmark: DataFrame, how: Search = Search()) -> list[Index]:
     """The benchmark in blocks; each holds at most about ``block_items`` items and ``block_bytes`` of shingles."""
     items = _items(benchmark, how.words)
-    size = items.agg(F.count("*").alias("n"), F.sum(8 * F.size("shingles")).alias("bytes")).first()
+    size = items.agg(F.count("*").alias("n"), F.count_if(F.col("n_words") >= how.words).alias("long"), F.sum(8 * F.size("shingles")).alias("bytes")).first()
     if not size["n"]:
         return []
     blocks = max(math.ceil(size["n"] / how.block_items), math.ceil(size["bytes"] / how.block_bytes))
     each = items.withColumn("row", F.xxhash64("item_id", "shingles"))
     exploded = each.select("row", "item_id", "n_words", F.posexplode("shingles").alias("pos", "s"))
     df = exploded.groupBy("s").agg(F.count_distinct("row").alias("df"))
-    weighed = (exploded.join(df, "s").withColumn("w", F.log(1 + F.lit(size["n"]) / F.col("df")))
+    weighed = (exploded.join(df, "s").withColumn("w", F.log(1 + F.lit(size["long"]) / F.col("df")))
                .groupBy("row", "item_id", "n_words").agg(F.sort_array(F.collect_list(F.struct("pos", "s", "w"))).alias("own")))
     out = []
     for k in range(blocks):
         rows = weighed.where(F.pmod("row", F.lit(blocks)) == k).orderBy("item_id", "row").collect()
         if rows:
-            out.append(build_index([(r["item_id"], r["n_words"], [x["s"] for x in r["own"]], [x["w"] for x in r["own"]]) for r in rows], math.log(1 + size["n"]), how))
+            out.append(build_index([(r["item_id"], r["n_words"], [x["s"] for x in r["own"]], [x["w"] for x in r["own"]]) for r in rows], math.log(1 + size["long"]), how))
     return out
 
 
@@ -241,14 +284,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, how: Search = Search()) -> Da
     rows = docs.select("doc_id", "text")
     out = None
     for index in indexes(benchmark, how):
-        part = rows.mapInArrow(_matcher(docs.sparkSession.sparkContext.broadcast(index)), schema)
+        part = rows.mapInArrow(_matcher(_sent(docs, index), to_arrow_type(benchmark.schema["item_id"].dataType)), schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def _matcher(held):
+def _sent(docs: DataFrame, index: Index):
+    """Broadcast of a block, its class by value, so that executors need not have the package."""
+    return docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(index))
+
+
+def _matcher(held, item_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = held.value
+        index = cloudpickle.loads(held.value)
         for batch in batches:
             rows, out = [], []
             for words in words_of(batch.column("text")):
@@ -258,7 +306,7 @@ def _matcher(held):
                         rows.append(row)
                         out.append((index.items[item], start, length, distance, s))
             columns = list(zip(*out)) or [()] * 5
-            kinds = [pa.array(index.items).type, pa.int64(), pa.int64(), pa.int32(), pa.float64()]
+            kinds = [item_type, pa.int64(), pa.int64(), pa.int32(), pa.float64()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(rows, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds))],
                 ["doc_id", "item_id", "start", "n_words", "hamming", "similarity"])
@@ -269,16 +317,17 @@ def _matcher(held):
 def keep_clean(docs: DataFrame, benchmark: DataFrame, how: Search = Search()) -> DataFrame:
     """The documents, all columns, in which no benchmark item was found."""
     for index in indexes(benchmark, how):
-        docs = docs.mapInArrow(_cleaner(docs.sparkSession.sparkContext.broadcast(index)), docs.schema)
+        docs = docs.mapInArrow(_cleaner(_sent(docs, index)), docs.schema)
     return docs
 
 
 def _cleaner(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = cloudpickle.loads(held.value)
         for batch in batches:
             out = np.ones(batch.num_rows, bool)
             for words in words_of(batch.column("text")):
-                for row, _ in search(held.value, words):
+                for row, _ in search(index, words):
                     out[row] = False
             yield batch.filter(pa.array(out))
 

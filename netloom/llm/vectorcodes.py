@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
@@ -148,7 +148,7 @@ def _split(position: int, parts: np.ndarray, entry: np.ndarray, spread: int, sal
 def _dealt(length: int, parts: int, book, salts: int):
     """Blocks of the members of each entry of the first codebook."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codebook, spread = book.value, TaskContext.get().partitionId() * 7919
+        codebook, spread = cloudpickle.loads(book.value), TaskContext.get().partitionId() * 7919
         for batch in batches:
             for low in range(0, batch.num_rows, ROWS):
                 x = integers(cut(_matrix(batch.column(0).slice(low, ROWS), length), parts))
@@ -162,7 +162,7 @@ def _dealt(length: int, parts: int, book, salts: int):
 def _moved(book, salts: int):
     """Residents stay in their block; members that another entry is nearer to leave in blocks of their own."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codebook, spread = book.value, TaskContext.get().partitionId() * 7919
+        codebook, spread = cloudpickle.loads(book.value), TaskContext.get().partitionId() * 7919
         for batch in batches:
             for r in batch.to_pylist():
                 members = unpack(r["kind"], r["data"], r["n"])
@@ -224,14 +224,14 @@ def train(vectors: DataFrame, parts: int = 16, entries: int = 64, rounds: int =
     context = vectors.sparkSession.sparkContext
     rows = rows.where(F.size("x") == codebook.length).select("x")
     salts = int(min(SALTS, rows.count() // (OWNED * entries // 8) + 8))  # an entry may attract many times its share
-    sent = context.broadcast(codebook)
+    sent = context.broadcast(cloudpickle.dumps(codebook))  # its class by value
     dealt = rows.mapInArrow(_dealt(codebook.length, parts, sent, salts), _BLOCK)
     members = cut_lineage(dealt.repartition("position", "entry", "salt"))
     sent.unpersist()
     for k in range(rounds):
         codebook = _updated(members, codebook)
         if k + 1 < rounds:
-            sent = context.broadcast(codebook)
+            sent = context.broadcast(cloudpickle.dumps(codebook))  # its class by value
             seen = cut_lineage(members.mapInArrow(_moved(sent, salts), _BLOCK))
             sent.unpersist()
             members = seen.where(~F.col("moved")).unionByName(seen.where("moved").repartition("position", "entry", "salt"))
@@ -240,7 +240,7 @@ def train(vectors: DataFrame, parts: int = 16, entries: int = 64, rounds: int =
 
 def _coded(book, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codebook = book.value
+        codebook = cloudpickle.loads(book.value)
         digits = -(-(max(len(b) for b in codebook.books) - 1).bit_length() // 4)
         for batch in batches:
             for low in range(0, batch.num_rows, ROWS):
@@ -259,7 +259,7 @@ def encode(vectors: DataFrame, codebook: Codebook) -> DataFrame:
     and the squared distances summed over the parts. No shuffle."""
     rows = kept(vectors).where(F.size("x") == codebook.length)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    sent = vectors.sparkSession.sparkContext.broadcast(codebook)
+    sent = vectors.sparkSession.sparkContext.broadcast(cloudpickle.dumps(codebook))
     return rows.mapInArrow(_coded(sent, codebook.width), f"vec_id {kinds['vec_id']}, label {kinds['label']}, code string, error long")
 
 

@@ -101,6 +101,20 @@ def test_band_shape_meets_the_recall():
         assert 1 - (1 - how.threshold**r) ** bands >= recall and bands <= how.most_bands
 
 
+@pytest.mark.parametrize("threshold", [0.05, 0.1, 0.2, 0.3, 0.31, 0.5, 0.8, 0.95, 1.0])
+def test_band_shape_at_any_threshold(threshold):
+    how = ngramjoin.Join(threshold=threshold)
+    bands, r = how.shape()
+    assert 1 - (1 - threshold**r) ** bands >= how.recall
+
+
+def test_join_at_a_low_threshold(make_docs):
+    shared = words(71, 40, 3000)
+    docs = make_docs([(k, " ".join(shared + words(80 + k, 35, 3000))) for k in range(4)])  # about 0.33 alike
+    got = {r["doc_id"]: r["n_links"] for r in ngramjoin.link_report(docs, ngramjoin.Join(threshold=0.3)).collect()}
+    assert got == dict.fromkeys(range(4), 3)
+
+
 def test_join_of_nothing(make_docs):
     assert ngramjoin.link_report(make_docs([])).count() == 0
     assert ngramjoin.drop_near_copies(make_docs([(None, None)])).count() == 1
@@ -196,6 +210,38 @@ def test_a_repeated_benchmark_row_is_one_item(spark, make_docs):
             assert [r["doc_id"] for r in decontam.keep_clean(docs, benchmark, how).collect()] == [3]
 
 
+@pytest.mark.parametrize("kind", ["int", "smallint", "bigint", "string"])
+def test_short_items_and_narrow_ids(spark, make_docs, kind):
+    benchmark = spark.createDataFrame([(1, "two plus two"), (2, "yes"), (3, None), (4, ""), (5, "plus two plus two")], "item_id int, text string")
+    benchmark = benchmark.withColumn("item_id", benchmark.item_id.cast(kind))
+    docs = make_docs([(1, "two plus two"), (2, "what is two  plus\ntwo then"), (3, "two plus"), (4, "two plus one two"), (5, None), (6, "oh yes yes")])
+    got = sorted((r["doc_id"], int(r["item_id"]), r["start"], r["n_words"], r["similarity"]) for r in decontam.matches(docs, benchmark).collect())
+    assert got == [(1, 1, 0, 3, 1.0), (2, 1, 2, 3, 1.0), (6, 2, 1, 1, 1.0)]
+    assert decontam.matches(docs, benchmark).schema["item_id"].dataType == benchmark.schema["item_id"].dataType
+    assert sorted(r["doc_id"] for r in decontam.keep_clean(docs, benchmark).collect()) == [3, 4, 5]
+
+
+def test_radius_keeps_templated_items():
+    """Items that share a template and have one shingle of their own, that one replaced: the exact similarity is above 0.8."""
+    rng = np.random.default_rng(8)
+    template = rng.integers(-(2**63), 2**63, 38).tolist()
+    rows, n = [], 160
+    for k in range(n):
+        own = [*template, int(rng.integers(-(2**63), 2**63))] if k < n // 2 else rng.integers(-(2**63), 2**63, 39).tolist()
+        rows.append((k, 43, own, [math.log(1 + n / (n / 2))] * 38 + [math.log(1 + n)] if k < n // 2 else [math.log(1 + n)] * 39))
+    index = decontam.build_index(rows, math.log(1 + n), decontam.Search())
+    template_weight = [math.log(3)] * 38
+    lost = tried = 0
+    for k in range(600):
+        window = np.array([*template, int(rng.integers(-(2**63), 2**63))], np.int64).astype(np.uint64)
+        weights = np.array([*template_weight, math.log(1 + n)])
+        assert decontam.similarity(index, window, weights, k % 80) >= 0.8
+        prints = decontam._pack((decontam._signs(window) * decontam._whole(weights)[:, None]).sum(axis=0, keepdims=True))
+        which, item, _ = decontam.within_radius(index, prints)
+        tried, lost = tried + 1, lost + (k % 80 not in item.tolist())
+    assert lost <= 0.1 * tried
+
+
 def test_hamming_blocks_find_all_within_the_radius():
     rng = np.random.default_rng(3)
     rows = [(k, 9, rng.integers(-(2**63), 2**63, 5).tolist(), [1.0] * 5) for k in range(300)]
@@ -238,3 +284,10 @@ def test_substrings_of_repeated_ids(make_docs):
     assert sorted(r["n_removed"] for r in got if r["doc_id"] == 1)[1] == 50 and [r["n_removed"] for r in got if r["doc_id"] == 2] == [50]
     assert [r["n_removed"] for r in got if r["doc_id"] is None] == [0]
     assert substrings.without_repeats(make_docs([])).count() == 0
+
+
+def test_substrings_of_large_ids_that_repeat(make_docs):
+    text, other = " ".join(words(8, 50)), " ".join(words(9, 30))
+    large = [2**63 - 1, 2**62 + 5, -(2**63), 2**62 + 5]
+    got = substrings.without_repeats(make_docs([*((i, text) for i in large), (None, other), (2**62, other)])).collect()
+    assert sorted((str(r["doc_id"]), r["n_removed"]) for r in got) == sorted([(str(2**63 - 1), 50), (str(2**62 + 5), 50), (str(2**62 + 5), 50), (str(-(2**63)), 0), ("None", 0), (str(2**62), 30)])

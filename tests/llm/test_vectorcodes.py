@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from netloom.llm import vectorcodes
@@ -93,7 +94,9 @@ def test_given_table(spark, tiny):
 def test_only_changed_members_leave(spark, tiny):
     df = vectorcodes.kept(spark.read.parquet(f"{tiny}/embeddings.parquet")).select("x")
     book = vectorcodes.first_codebook(vectorcodes.kept(spark.read.parquet(f"{tiny}/embeddings.parquet")), 16, 64)
-    send = spark.sparkContext.broadcast
+    def send(book):
+        return spark.sparkContext.broadcast(cloudpickle.dumps(book))
+
     members = df.mapInArrow(vectorcodes._dealt(64, 16, send(book), 8), vectorcodes._BLOCK)
     same = members.mapInArrow(vectorcodes._moved(send(book), 8), vectorcodes._BLOCK)
     assert same.where("moved").count() == 0 and same.agg(F.sum("n")).first()[0] == 16 * df.count()
