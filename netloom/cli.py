@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 import json
 from dataclasses import MISSING, fields
-from pathlib import Path
 
 from .config import CHOICES, PreprocessConfig, RunConfig
 from .plans.preprocess import build_modules
@@ -57,8 +56,8 @@ def main(argv: list[str] | None = None) -> None:
     if args.command == "preprocess":
         payload = build_modules(spark, _config(args, PreprocessConfig), args.outdir)
     elif args.command == "run":
-        only = Path(args.module_csv).stem if args.module_csv else None
-        folder = str(Path(args.module_csv).parent) if args.module_csv else args.module_dir
+        parent, _, name = (args.module_csv or "").rstrip("/").rpartition("/")
+        only, folder = (name.removesuffix(".csv"), parent or ".") if args.module_csv else (None, args.module_dir)
         payload = run_directory(spark, folder, args.result_dir, _config(args, RunConfig), only)
     else:
         wide = build_scores(spark, args.module_dir, args.result_dir, args.out_csv, args.alpha, args.beta_mode, args.beta_lambda,

@@ -123,21 +123,3 @@ def topological_overlap(adj: DataFrame, n_genes: int) -> DataFrame:
         .join(degree.select("module", F.col("i").alias("j"), F.col("k").alias("k_j")), ["module", "j"])
         .select("module", "i", "j", F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(overlap).alias("tom"))
     )
-
-
-def pair_correlations(pairs: DataFrame, left: DataFrame, right: DataFrame, by: str = "cell_id") -> DataFrame:
-    """Pearson of chosen (left_id, right_id) series; 0 if either is constant.
-
-    Each side is reduced to its means first, then only products of listed pairs are summed, map side first.
-    """
-    facts = lambda df, name: df.groupBy(f"{name}_id").agg(
-        F.avg(name).alias(f"{name}_mean"), F.var_pop(name).alias(f"{name}_var"), F.count(F.lit(1)).alias(f"{name}_n"))
-    products = (
-        pairs.join(left, "left_id").join(right, ["right_id", by])
-        .groupBy("left_id", "right_id").agg(F.sum(F.col("left") * F.col("right")).alias("_xy"))
-    )
-    joined = products.join(facts(left, "left"), "left_id").join(facts(right, "right"), "right_id")
-    n = F.col("left_n")
-    scale = n * F.sqrt(F.col("left_var") * F.col("right_var"))
-    corr = (F.col("_xy") - n * F.col("left_mean") * F.col("right_mean")) / scale
-    return joined.select("left_id", "right_id", F.when(scale > TINY, corr).otherwise(F.lit(0.0)).alias("corr"))

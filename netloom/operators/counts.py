@@ -17,11 +17,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .neighborhoods import KEYS, cell_neighborhoods, tie_neighborhoods
 from .ranks import running_total
+from .sparse import sparse_neighborhoods
 
 MEMBER_BLOCK = 4096
 KEY_BLOCK = 128
@@ -273,16 +274,31 @@ def set_counts(vectors: DataFrame, sets: DataFrame) -> DataFrame:
     return counted.select(*CELL, F.inline(F.arrays_zip("genes", "counts"))).withColumnRenamed("counts", "members")
 
 
-def joint_vectors(first: DataFrame, second: DataFrame, fraction: float, floor_at: float = 0.0) -> DataFrame:
-    """Cell vectors of two modalities side by side: gene g of the second follows as g + offset.
+def joint_vectors(first: DataFrame, second: DataFrame, fraction: float, floor_at: float = 0.0, listed: DataFrame | None = None) -> DataFrame:
+    """Cell vectors of two modalities side by side: the listed genes of the second follow those of the first, in gene order.
 
-    A gene without a profile in ``second`` keeps only its first modality.
+    ``second`` may leave out zeros; ``listed`` (module, gene) names its genes, those with entries if None.  All zeros of a gene
+    share one neighbourhood, so a module's zero entries are one array, into which a cell's stored entries are set.
     """
-    offset = F.lit(1 << 20)
-    both = cell_neighborhoods(first, fraction).unionByName(
-        cell_neighborhoods(second, fraction, floor_at).withColumn("gene", F.col("gene") + offset)
-    )
-    return cell_vectors(both)
+    base = cell_vectors(cell_neighborhoods(first, fraction))
+    sizes = first.groupBy("module", "gene").agg(F.count(F.lit(1)).alias("n")).groupBy("module").agg(F.max("n").alias("n"))
+    genes = (second if listed is None else listed).select("module", "gene").distinct().join(sizes, "module")
+    near, zeros = sparse_neighborhoods(second, genes, "n", fraction, floor_at)
+    ends = ("tie_start", "lo_start", "hi_start")
+    entry = F.struct("_at", *[F.col(e).cast("int").alias(e) for e in ends])
+    place = F.row_number().over(W.partitionBy("module").orderBy("gene")) - 1  # a module's genes are few
+    placed = genes.select("module", "gene", place.alias("_at"))
+    blank = placed.join(zeros.drop("n"), ["module", "gene"], "left").groupBy("module").agg(F.array_sort(F.collect_list(entry)).alias("_z"))
+    own = near.join(placed, ["module", "gene"]).groupBy(*CELL).agg(F.array_sort(F.collect_list(entry)).alias("_e"))
+    both = base.join(own, list(CELL), "left").join(blank, "module", "left")
+    none = F.array().cast("array<struct<_at: int, tie_start: int, lo_start: int, hi_start: int>>")
+    both = both.withColumns({"_e": F.coalesce("_e", none), "_z": F.coalesce("_z", none)})
+    before = lambda k: F.coalesce(F.get("_e", k)["_at"], F.lit(-1))
+    set_in = F.flatten(F.transform("_e", lambda e, k: F.concat(F.slice("_z", before(k - 1) + 2, e["_at"] - before(k - 1) - 1), F.array(e))))
+    last = before(F.size("_e") - 1)
+    full = F.concat(set_in, F.slice("_z", last + 2, F.size("_z") - last - 1))
+    joined = both.withColumn("_f", full)
+    return joined.select(*CELL, "n", F.concat("own", "_f.tie_start").alias("own"), F.concat("lo", "_f.lo_start").alias("lo"), F.concat("hi", "_f.hi_start").alias("hi"))
 
 
 def dyadic_pair_counts(ties: DataFrame, points: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import anchor_distance, canonical_token, format_interval, parse_interval, strip_version
-from .correlation import pair_correlations
-from .ranks import average_rank, quantile, top_k
+from .ranks import top_k
+from .sparse import centred_ranks, sparse_rank_correlations, stored, zero_filled_quantile
 
 # Decay length of distal links, smallest usable sum.
 DECAY = 200_000.0
@@ -96,38 +96,38 @@ def anchor_histogram(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy("anchor_source").agg(F.count(F.lit(1)).alias("genes"))
 
 
-def ranked_series(df: DataFrame, ident: str, value: str, out_id: str, out: str) -> DataFrame:
-    """Average ranks of each series, as (out_id, cell_id, out)."""
-    return average_rank(df, [ident], value, out).select(F.col(ident).alias(out_id), "cell_id", out)
+def _series(df: DataFrame, ident: str, listed: DataFrame, n_cells, out_id: str) -> tuple[DataFrame, DataFrame]:
+    """Ranks and facts of sparse series, named for one side of a pair."""
+    rows = df.select(F.col(ident).alias(out_id), "cell_id", F.col("value").cast("double").alias("value"))
+    return centred_ranks(rows, listed.select(F.col(ident).alias(out_id)), [out_id], n_cells)
 
 
-def peak_medians(access: DataFrame, peak: str = "peak_id", value: str = "count") -> DataFrame:
-    """Median per peak over all cells of a dense long matrix."""
-    return quantile(access, [peak], 0.5, value, "peak_accessibility_median")
+def peak_medians(access: DataFrame, listed: DataFrame, n_cells, peak: str = "peak_id", value: str = "value") -> DataFrame:
+    """Median of each listed peak over all cells; entries that are not stored are 0."""
+    return zero_filled_quantile(access, listed, [peak], n_cells, 0.5, value, "peak_accessibility_median")
 
 
-def peak_gene_links(genes: DataFrame, peaks: DataFrame, expression: DataFrame, access: DataFrame,
+def peak_gene_links(genes: DataFrame, peaks: DataFrame, expression: DataFrame, access: DataFrame, n_cells,
                     window: int = 250_000, threshold: float = 0.1) -> DataFrame:
     """Peaks near a gene's anchor whose accessibility follows its expression: Spearman above ``threshold``.
 
     ``genes`` has gene_id, anchor and labels; ``peaks`` peak_id, peak_name, chrom, start, end; ``expression`` and
-    ``access`` are dense long matrices (gene_id / peak_id, cell_id, value).  Series are joined for nearby pairs only.
+    ``access`` are long matrices (gene_id / peak_id, cell_id, value) of ``n_cells`` cells in which zeros may be left out.
+    Series are joined for nearby pairs only, in cells where both have an entry.
     """
     near = overlap_join(
         genes.filter("anchor is not null").select("gene_id", F.col("anchor.chrom").alias("chrom"), F.col("anchor.start").alias("pos")),
         peaks.select("peak_id", "chrom", "start", "end"), window,
     ).select(F.col("gene_id").alias("left_id"), F.col("peak_id").alias("right_id"))
-    corr = pair_correlations(
-        near,
-        ranked_series(expression, "gene_id", "value", "left_id", "left"),
-        ranked_series(access, "peak_id", "value", "right_id", "right"),
+    corr = sparse_rank_correlations(
+        near, _series(expression, "gene_id", genes, n_cells, "left_id"), _series(access, "peak_id", peaks, n_cells, "right_id"), n_cells,
     ).filter(F.col("corr") > threshold)
     interval = F.struct("chrom", "start", "end")
     return (
         corr.select(F.col("left_id").alias("gene_id"), F.col("right_id").alias("peak_id"), F.col("corr").alias("peak_gene_corr"))
         .join(genes, "gene_id")
         .join(peaks, "peak_id")
-        .join(peak_medians(access, value="value"), "peak_id")
+        .join(peak_medians(access, peaks, n_cells), "peak_id")
         .withColumn("peak_interval", format_interval(interval))
         .withColumn("distance_to_tss", anchor_distance(F.col("anchor"), interval))
         .withColumn("association_pass", F.lit(True))
@@ -146,25 +146,22 @@ def best_distal_links(scored: DataFrame, k: int = 5) -> DataFrame:
     return kept.join(total, "gene_id").withColumn("share", F.col("score") / F.col("_total")).drop("_total")
 
 
-def gene_access_support(candidates: DataFrame, expression: DataFrame, access: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Gene activity per cell (promoter mean plus share-weighted distal signal) and the links behind it."""
+def gene_access_support(candidates: DataFrame, expression: DataFrame, access: DataFrame, n_cells, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Gene activity per cell (promoter mean plus share-weighted distal signal) and the links behind it.
+
+    Both matrices may leave out zeros; so does the activity: a gene and cell without a row have activity 0.
+    """
     promoter = candidates.filter("tier = 'promoter'")
     distal = candidates.filter("tier = 'distal'").withColumn(
         "distance", F.abs(F.floor((F.col("start") + F.col("end")) / 2) - F.col("pos")).cast("double"))
     pairs = distal.select(F.col("gene_id").alias("left_id"), F.col("peak_id").alias("right_id"))
-    corr = pair_correlations(
-        pairs,
-        ranked_series(expression, "gene_id", "value", "left_id", "left"),
-        ranked_series(access, "peak_id", "value", "right_id", "right"),
+    corr = sparse_rank_correlations(
+        pairs, _series(expression, "gene_id", candidates, n_cells, "left_id"), _series(access, "peak_id", candidates, n_cells, "right_id"), n_cells,
     ).select(F.col("left_id").alias("gene_id"), F.col("right_id").alias("peak_id"), "corr")
     kept = best_distal_links(distal_scores(distal.join(corr, ["gene_id", "peak_id"])), k)
     shares = promoter.join(promoter.groupBy("gene_id").agg((1.0 / F.count(F.lit(1))).alias("share")), "gene_id") \
         .select("gene_id", "peak_id", "share").unionByName(kept.select("gene_id", "peak_id", "share"))
-    signal = (
-        shares.join(access, "peak_id").groupBy("gene_id", "cell_id").agg(F.sum(F.col("share") * F.col("value")).alias("_signal"))
-    )
-    activity = expression.select("gene_id", "cell_id").join(signal, ["gene_id", "cell_id"], "left").select(
-        "gene_id", "cell_id", F.coalesce("_signal", F.lit(0.0)).alias("activity"))
+    activity = shares.join(stored(access), "peak_id").groupBy("gene_id", "cell_id").agg(F.sum(F.col("share") * F.col("value")).alias("activity"))
     distance = F.abs(F.floor((F.col("start") + F.col("end")) / 2) - F.col("pos")).cast("double")
     links = promoter.select(
         "gene_id", "peak_id", F.lit("promoter").alias("link_kind"), distance.alias("distance_to_anchor"),

@@ -29,6 +29,16 @@ def covariances(expr: DataFrame, n_genes: int) -> DataFrame:
     return gram(dense_vectors(centred, "cell_id", "gene", "_c", n_genes), n_genes).withColumnRenamed("product", "cov")
 
 
+def sparse_covariances(expr: DataFrame, n_genes: int, n_cells: int) -> DataFrame:
+    """The same over ``n_cells`` cells where ``expr`` leaves out zeros: products of stored entries less those of the means."""
+    product = gram(dense_vectors(expr, "cell_id", "gene", "value", n_genes), n_genes)
+    sums = expr.groupBy("module", "gene").agg(F.sum("value").alias("_s"))
+    side = lambda g: sums.select("module", F.col("gene").alias(g), F.col("_s").alias(f"_{g}"))
+    joined = product.join(side("i"), ["module", "i"], "left").join(side("j"), ["module", "j"], "left")
+    taken = F.coalesce(F.col("_i") * F.col("_j") / F.lit(float(n_cells)), F.lit(0.0))
+    return joined.select("module", "i", "j", (F.col("product") - taken).alias("cov"))
+
+
 def average_linkage(distance: np.ndarray) -> list[tuple[int, int, float]]:
     """Merges (kept, absorbed, height) in order; the lowest index pair goes first on ties."""
     d = distance.astype(float).copy()

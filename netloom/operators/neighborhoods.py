@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .ranks import POSITIONS_PER_CHUNK, join_ties, tie_blocks
+from .ranks import POSITIONS_PER_CHUNK, blocks_of_ties, counted_ties, join_ties
 
 KEYS = ("module", "gene")
 
@@ -22,12 +22,19 @@ def tie_neighborhoods(
     expr: DataFrame, fraction: float = 0.1, group: Sequence[str] = KEYS, value: str = "value", floor_at: float = 0.0
 ) -> DataFrame:
     """One row per (group, value): value range ``lo``..``hi`` and the tie starts ``lo_start``..``hi_start`` of its ends."""
+    return neighborhoods_of_ties(counted_ties(expr, group, value), fraction, group, value, floor_at)
+
+
+def neighborhoods_of_ties(
+    counted: DataFrame, fraction: float = 0.1, group: Sequence[str] = KEYS, value: str = "value", floor_at: float = 0.0
+) -> DataFrame:
+    """The same from distinct values and their sizes (group, value, tie_size)."""
     group = list(group)
     span = F.col("tie_start") + F.col("tie_size")
     width = F.floor(F.lit(float(fraction)) * F.col("n"))
     floor_pos = F.when((F.col("n_floor") > width) & (F.col("n_floor") < F.col("n")), F.col("n_floor")).otherwise(F.lit(0))
     asks = (
-        tie_blocks(expr, group, value, floor_at)
+        blocks_of_ties(counted, group, value, floor_at)
         .withColumn("_w", width)
         .withColumn("_floor", floor_pos)
         .withColumn("_own", F.col("tie_size") > F.col("_w"))

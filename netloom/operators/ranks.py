@@ -102,9 +102,19 @@ def tie_blocks(df: DataFrame, group: Sequence[str], value: str = "value", floor_
     Columns added: ``tie_start`` (values below), ``tie_size``, ``n`` (group size), ``n_floor`` (values at or
     under ``floor_at``), ``v_min``, ``v_max`` with its start ``v_max_start``, and ``v_floor`` (least value above ``floor_at``).
     """
+    return blocks_of_ties(counted_ties(df, group, value), group, value, floor_at)
+
+
+def counted_ties(df: DataFrame, group: Sequence[str], value: str = "value") -> DataFrame:
+    """(group, value, tie_size): how many rows hold each distinct value."""
+    return df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("tie_size"))
+
+
+def blocks_of_ties(counted: DataFrame, group: Sequence[str], value: str = "value", floor_at: float = 0.0) -> DataFrame:
+    """The columns of ``tie_blocks`` from distinct values and their sizes, wherever these come from."""
     group = list(group)
     v = F.col(value)
-    ties = with_chunks(df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("tie_size")), group, value)
+    ties = with_chunks(counted, group, value)
     over_chunks = W.partitionBy(*group)
     before = over_chunks.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     totals = (
@@ -140,11 +150,16 @@ def tie_blocks(df: DataFrame, group: Sequence[str], value: str = "value", floor_
 
 def quantile(df: DataFrame, group: Sequence[str], q: float, value: str = "value", out: str = "quantile") -> DataFrame:
     """Exact linearly interpolated quantile per group, read off the tie blocks instead of a per-group buffer."""
+    return quantile_of_ties(counted_ties(df.filter(F.col(value).isNotNull()), group, value), group, q, value, out)
+
+
+def quantile_of_ties(counted: DataFrame, group: Sequence[str], q: float, value: str = "value", out: str = "quantile") -> DataFrame:
+    """The same from distinct values and their sizes."""
     group = list(group)
     at = F.lit(float(q)) * (F.col("n") - 1)
     below, above = F.floor(at), F.ceil(at)
     covers = lambda p: (F.col("tie_start") <= p) & (p < F.col("tie_start") + F.col("tie_size"))
-    ends = tie_blocks(df.filter(F.col(value).isNotNull()), group, value).groupBy(*group).agg(
+    ends = blocks_of_ties(counted, group, value).groupBy(*group).agg(
         F.max(F.when(covers(below), F.col(value))).alias("_lo"),
         F.max(F.when(covers(above), F.col(value))).alias("_hi"),
         F.max(at - below).alias("_part"),

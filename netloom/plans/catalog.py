@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import stats, text
 from ..operators import (
     correlation, counts, features, graphs, intervals, katz, modules, motifs, neighborhoods, neighbors, normalize,
-    orientation, priors, ranks, skeleton,
+    orientation, priors, ranks, skeleton, sparse,
 )
 from ..session import cut_lineage
 from ..sources import views
@@ -364,8 +364,8 @@ def keep_threshold(spark, sf):
 
 @query
 def peak_median(spark, sf):
-    dense = views.expression(spark, sf, relu=False)
-    return intervals.peak_medians(dense, "gene", "value").select("gene", r6("peak_accessibility_median").alias("median"))
+    raw = views.expression(spark, sf, relu=False)
+    return intervals.peak_medians(raw, raw, views.table(spark, sf, "embeddings").count(), "gene", "value").select("gene", r6("peak_accessibility_median").alias("median"))
 
 
 @query
@@ -578,7 +578,7 @@ def peak_gene_links(spark, sf):
                          F.lit("chr1").alias("chrom"), (F.col("gene_id") * 1000).cast("bigint").alias("start"),
                          (F.col("gene_id") * 1000 + 400).cast("bigint").alias("end"))
     dense = lambda relu, name: views.expression(spark, sf, relu).select(F.col("gene").alias(name), "cell_id", "value")
-    found = intervals.peak_gene_links(genes, peaks, dense(True, "gene_id"), dense(False, "peak_id"), 4000, 0.05)
+    found = intervals.peak_gene_links(genes, peaks, dense(True, "gene_id"), dense(False, "peak_id"), views.table(spark, sf, "embeddings").count(), 4000, 0.05)
     return found.select("gene_id", "peak_name", "peak_interval", r6("peak_gene_corr").alias("corr"), "distance_to_tss",
                         r6("peak_accessibility_median").alias("median"))
 
@@ -591,8 +591,29 @@ def gene_activity(spark, sf):
                          (F.col("gene_id") * 1000).cast("bigint").alias("start"), (F.col("gene_id") * 1000 + 400).cast("bigint").alias("end"))
     near = intervals.two_tier_candidates(anchors, peaks, 500, 6000)
     dense = lambda relu, name: views.expression(spark, sf, relu).select(F.col("gene").alias(name), "cell_id", "value")
-    activity, _ = intervals.gene_access_support(near, dense(True, "gene_id"), dense(True, "peak_id"), 5)
-    return activity.select("gene_id", "cell_id", r6("activity").alias("activity"))
+    activity, _ = intervals.gene_access_support(near, dense(True, "gene_id"), dense(True, "peak_id"), views.table(spark, sf, "embeddings").count(), 5)
+    every = dense(True, "gene_id").select("gene_id", "cell_id").join(activity, ["gene_id", "cell_id"], "left")  # the view names every cell
+    return every.select("gene_id", "cell_id", r6(F.coalesce("activity", F.lit(0.0))).alias("activity"))
+
+
+def _part_profiles(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Brand and size as a gene, its parts as peaks, quantity sold per supplier as access: sparse profiles and the profiled genes."""
+    access = views.part_counts(spark, sf).withColumn("peak_name", F.col("feature_id").cast("string"))
+    name = F.concat_ws("/", "p_brand", "p_size")
+    links = views.table(spark, sf, "part").select(name.alias("gene_module_column"), F.col("p_partkey").cast("string").alias("peak_name"), (F.col("p_size") / 50.0).alias("peak_gene_corr"))
+    genes = links.select(F.lit("all").alias("module"), F.col("gene_module_column").alias("gene"), F.col("gene_module_column").alias("name")).distinct()
+    usable = priors.usable_links(links, genes)
+    scaled = normalize.open_scale(access, "peak_name").select("peak_name", "cell_id", "access")
+    return priors.gene_profiles(usable, scaled, "max", 0.6).filter("value <> 0"), usable.select("module", "gene").distinct()
+
+
+@query
+def joint_profiles(spark, sf):
+    """Stored profile values with their neighbourhoods; the zeros of a gene are one row without a cell."""
+    profiles, listed = _part_profiles(spark, sf)
+    near, zeros = sparse.sparse_neighborhoods(profiles, listed, views.table(spark, sf, "supplier").count(), FRACTION, 0.6)
+    shown = ("gene", "cell_id", r6("value").alias("value"), r6("lo").alias("lo"), r6("hi").alias("hi"))
+    return near.select(*shown).unionByName(zeros.withColumn("cell_id", F.lit(None).cast("bigint")).select(*shown))
 
 
 @query

@@ -369,3 +369,14 @@ best AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c
 add("knn", f"SELECT cell_id, other, rank::INT AS rank, {r6('d')} AS distance FROM best", NEAR)
 add("knn_graph", f"SELECT cell_id, other, {r6('1.0::DOUBLE / count(*) OVER (PARTITION BY cell_id)')} AS weight FROM link", NEAR,
     "link AS (SELECT cell_id, other FROM best UNION SELECT other, cell_id FROM best UNION SELECT vec_id, vec_id FROM embeddings)")
+
+
+add("joint_profiles", f"""SELECT gene, cell_id, {r6('value')} AS value, {r6('lo')} AS lo, {r6('hi')} AS hi FROM nbr WHERE value <> 0
+UNION ALL SELECT gene, NULL, 0.0, {r6('min(lo)')}, {r6('min(hi)')} FROM nbr WHERE value = 0 GROUP BY gene""", """sold AS (
+  SELECT l_suppkey AS cell_id, l_partkey AS part, sum(l_quantity) AS c FROM lineitem GROUP BY ALL),
+high AS (SELECT part, quantile_cont(c, 0.95) AS p95 FROM sold WHERE c > 0 GROUP BY part),
+scaled AS (SELECT cell_id, part, CASE WHEN p95 > 0 THEN least(greatest(ln(1 + c) / ln(1 + p95), 0.0), 1.0) ELSE 0.0 END AS access FROM sold JOIN high USING (part)),
+linked AS (SELECT DISTINCT p_brand || '/' || p_size AS gene, p_partkey AS part FROM part WHERE p_size > 0),
+profile AS (SELECT gene, cell_id, CASE WHEN max(access) <= 0.6 THEN 0.0 ELSE max(access) END AS value FROM linked JOIN scaled USING (part) GROUP BY ALL),
+grid AS (SELECT 'all' AS module, g.gene, s.s_suppkey AS cell_id, coalesce(p.value, 0.0) AS value
+  FROM (SELECT DISTINCT gene FROM linked) g CROSS JOIN supplier s LEFT JOIN profile p ON p.gene = g.gene AND p.cell_id = s.s_suppkey)""", bounds("grid").replace("value <= 0", "value <= 0.6"))

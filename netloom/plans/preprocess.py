@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import asdict
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -14,8 +13,9 @@ from ..session import cut_lineage
 from ..sources import files
 
 
-def _modules(expr: DataFrame, n_genes: int, config: PreprocessConfig) -> DataFrame:
-    cov = modules.covariances(expr, n_genes)
+def _modules(expr: DataFrame, n_genes: int, config: PreprocessConfig, cells: DataFrame | None = None) -> DataFrame:
+    """Modules of the genes; with ``cells``, entries that ``expr`` lacks are 0 in each of them."""
+    cov = modules.covariances(expr, n_genes) if cells is None else modules.sparse_covariances(expr, n_genes, cells.count())
     found = modules.gene_modules(cov, config.soft_power, config.cut_height, config.module_min_size, config.module_max_size)
     return cut_lineage(found.withColumn("module_id", modules.module_label()))
 
@@ -33,13 +33,13 @@ def _export(spark, out: str, expr: DataFrame, genes: DataFrame, cells: DataFrame
     labelled = expr.join(cells, "cell_id").join(genes.select("gene", "name"), "gene").select("barcode", "gene", "name", "value")
     for module, members in by_module.items():
         part = labelled.filter(F.col("gene").isin([r["ordinal"] for r in members]))
-        wide = part.groupBy("barcode").pivot("name", [r["gene"] for r in members]).agg(F.first("value"))
+        wide = cells.select("barcode").join(part.groupBy("barcode").pivot("name", [r["gene"] for r in members]).agg(F.first("value")), "barcode", "left").fillna(0.0)
         wide.coalesce(1).write.mode("overwrite").csv(f"{out}/module_{module}_expression.csv", header=True)
         if priors_by_module is not None:
             files.write_csv(priors_by_module.filter(F.col("module_id") == module), f"{out}/module_{module}_expression_tf_target_prior.csv")
     if config.analysis_mode == "representation":
         names = [r["name"] for r in genes.orderBy("gene").select("name").toLocalIterator()]
-        files.write_csv(labelled.groupBy("barcode").pivot("name", names).agg(F.first("value")), f"{out}/{config.prefix}_representation_input.csv")
+        files.write_csv(cells.select("barcode").join(labelled.groupBy("barcode").pivot("name", names).agg(F.first("value")), "barcode", "left").fillna(0.0), f"{out}/{config.prefix}_representation_input.csv")
     files.write_csv(named.drop("ordinal", "gene_symbol"), f"{out}/gene_module_mapping.csv")
     files.write_csv(named.select("module_id", F.col("gene").alias("module_column"), "gene_id", "gene_symbol", "order_in_module"), f"{out}/gene_alias_mapping.csv")
     sizes = membership.groupBy("module_id").agg(F.count(F.lit(1)).alias("gene_count"))
@@ -48,8 +48,8 @@ def _export(spark, out: str, expr: DataFrame, genes: DataFrame, cells: DataFrame
         files.write_csv(table, f"{out}/{name}.csv")
     summary = features.module_summary(membership, "module_id").first().asDict()
     manifest = {**asdict(config), **manifest, "modules": summary}
-    files.write_json(f"{out}/sensitivity_report.json", [{"setting": "wgcna_default", **summary}])
-    files.write_json(f"{out}/preprocess_manifest.json", manifest)
+    files.write_json(spark, f"{out}/sensitivity_report.json", [{"setting": "wgcna_default", **summary}])
+    files.write_json(spark, f"{out}/preprocess_manifest.json", manifest)
     return manifest
 
 
@@ -67,13 +67,6 @@ def prepare_expression(spark: SparkSession, config: PreprocessConfig, out: str)
                    {"normalization_mode": mode, "selected_shape": [cells.count(), len(names)]}, {})
 
 
-def _dense(counts: DataFrame, cells: DataFrame, listed: DataFrame, key: str, value: str) -> DataFrame:
-    """Every (cell, selected feature) with absent counts as 0; the selection is bounded by the top_* options."""
-    grid = cells.select("cell_id").withColumn("_f", F.explode(listed.agg(F.collect_list(key)).scalar())).withColumnRenamed("_f", key)
-    return grid.join(counts.select("cell_id", key, F.col(value).cast("double").alias("value")), ["cell_id", key], "left").withColumn(
-        "value", F.coalesce("value", F.lit(0.0)))
-
-
 def prepare_multiome(spark: SparkSession, config: PreprocessConfig, out: str) -> dict:
     """Paired expression and access counts: selection, modules, peak links and optional motif priors."""
     counts, listed, barcodes = files.read_coordinates(spark, config.input_path)
@@ -98,16 +91,18 @@ def prepare_multiome(spark: SparkSession, config: PreprocessConfig, out: str) ->
     genes = cut_lineage(features.unique_names(ordered, order="gene").select(
         "gene", "_id", F.col("unique_name").alias("name"), F.col("feature_id").alias("gene_id"), "gene_symbol", "anchor", "anchor_source"))
     n_genes = genes.count()
-    expr = cut_lineage(_dense(logged.join(genes.select(F.col("_id").alias("feature_id"), "gene"), "feature_id"), cells, genes, "gene", "value")
-                       .withColumn("module", F.lit("all")))
-    membership = _modules(expr, n_genes, config)
+    # Zeros are not stored: covariances fill vectors, the bundle fills rows, ranks count the zero block.
+    expr = cut_lineage(logged.join(genes.select(F.col("_id").alias("feature_id"), "gene"), "feature_id").join(cells.select("cell_id"), "cell_id").select(
+        F.lit("all").alias("module"), "cell_id", "gene", "value"))
+    membership = _modules(expr, n_genes, config, cells)
     where = parse_interval(F.col("interval"))
     spots = listed.join(top_peaks.select("feature_id"), "feature_id").select(
         F.col("feature_id").alias("peak_id"), F.col("name").alias("peak_name"), where.alias("w")).filter("w is not null").select("peak_id", "peak_name", "w.*")
-    access = _dense(peaks.withColumnRenamed("feature_id", "peak_id"), cells, top_peaks.withColumnRenamed("feature_id", "peak_id"), "peak_id", "count")
+    access = cut_lineage(peaks.join(top_peaks.select("feature_id"), "feature_id", "left_semi").select(
+        F.col("feature_id").alias("peak_id"), "cell_id", F.col("count").cast("double").alias("value")))
     found = cut_lineage(intervals.peak_gene_links(
         genes.select(F.col("gene").alias("gene_id"), "anchor", "anchor_source", "gene_symbol", "name", F.col("gene_id").alias("gene_gene_id")),
-        spots, expr.select(F.col("gene").alias("gene_id"), "cell_id", "value"), access, config.peak_gene_window, config.peak_gene_corr_threshold))
+        spots, expr.select(F.col("gene").alias("gene_id"), "cell_id", "value"), access, n_cells, config.peak_gene_window, config.peak_gene_corr_threshold))
     links = found.select(F.col("name").alias("gene_module_column"), "gene_gene_id", "gene_symbol", "peak_name", "peak_interval", "peak_gene_corr",
                          "distance_to_tss", "peak_accessibility_median", "association_pass", "anchor_source")
     tables, by_module, facts = {"gene_peak_links": links}, None, {}
@@ -117,6 +112,9 @@ def prepare_multiome(spark: SparkSession, config: PreprocessConfig, out: str) ->
         tables["tf_peak_gene_triplets"] = triplets
         facts = {"motif_triplet_count": triplets.count(), "motif_target_pair_count": by_module.count(),
                  "motif_symbol_count": by_module.select("tf_symbol").distinct().count()}
+    named = listed.select("feature_id", F.col("name").alias("peak_name"))
+    selected = features.of_type(counts, listed, "Peaks").join(top_peaks.select("feature_id"), "feature_id", "left_semi")
+    facts |= files.write_access(selected.join(named, "feature_id").join(barcodes, "cell_id"), named.join(top_peaks.select("feature_id"), "feature_id", "left_semi"), barcodes, out)
     hist = {r["anchor_source"]: r["genes"] for r in intervals.anchor_histogram(genes).collect()}  # at most three labels
     manifest = {"selected_shape": [n_cells, n_genes], "top_peaks_selected": top_peaks.count(), "anchor_source_counts": hist,
                 "peak_gene_link_count": links.count(), **facts}
@@ -139,5 +137,4 @@ def _motif_triplets(spark, config, genes, membership, links, spots, aliases) ->
 
 def build_modules(spark: SparkSession, config: PreprocessConfig, out: str) -> dict:
     config.validate()
-    Path(out).mkdir(parents=True, exist_ok=True)
     return (prepare_expression if config.input_modality == "scrna" else prepare_multiome)(spark, config, out)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -32,22 +31,24 @@ def named_pairs(pairs: DataFrame, genes: DataFrame) -> DataFrame:
 
 
 def run_modules(expr: DataFrame, genes: DataFrame, config: RunConfig, pair_prior: DataFrame | None = None,
-                target_prior: DataFrame | None = None, profiles: DataFrame | None = None, listed_modules: list[str] | None = None) -> RunResult:
+                target_prior: DataFrame | None = None, profiles: DataFrame | None = None, listed_modules: list[str] | None = None,
+                profiled: DataFrame | None = None) -> RunResult:
     """Directed graphs (module, cell_id, n_genes, node_ptr, targets, topo_order).
 
     ``pair_prior`` is (module, a, b, w) by name, ``target_prior`` the raw directed listing, ``profiles`` the second
-    modality (module, cell_id, gene, value) of genes that have one.  In hard mode only ``listed_modules`` (all, if
+    modality (module, cell_id, gene, value; zeros may be left out) of the genes in ``profiled`` (module, gene; those
+    with a value if None).  In hard mode only ``listed_modules`` (all, if
     None) are restricted to their pairs; a module without a list keeps all of its own.
     """
     config.validate()
     alpha = config.significance_level
-    near = neighborhoods.cell_neighborhoods(expr, config.window_fraction)
     joint = config.joint_mode == "joint_modality" and profiles is not None
-    vectors = counts.joint_vectors(expr, profiles, config.window_fraction, config.joint_open_threshold) if joint \
-        else counts.cell_vectors(near)
     second = None
-    if joint:
-        order = profiles.select("module", "gene").distinct()
+    if not joint:
+        vectors = counts.cell_vectors(neighborhoods.cell_neighborhoods(expr, config.window_fraction))
+    else:
+        order = (profiles if profiled is None else profiled).select("module", "gene").distinct()
+        vectors = counts.joint_vectors(expr, profiles, config.window_fraction, config.joint_open_threshold, order)
         second = order.groupBy("module").agg(F.array_sort(F.collect_list("gene")).alias("second"))
     forbidden = allowed = soft = motif = weights = None
     if pair_prior is not None:
@@ -87,27 +88,30 @@ def run_modules(expr: DataFrame, genes: DataFrame, config: RunConfig, pair_prior
     return RunResult(graphs.topological_orders(graphs.pack_graphs(edges, nodes)), totals)
 
 
-def finished_modules(result_dir: str, modules) -> set[str]:
+def finished_modules(spark: SparkSession, result_dir: str, modules) -> set[str]:
     """Modules with both a result and a manifest."""
-    return {m for m in modules if Path(result_dir, m, GRAPHS).exists() and Path(result_dir, m, MANIFEST).exists()}
+    return {m for m in modules if files.exists(spark, f"{result_dir}/{m}/{GRAPHS}") and files.exists(spark, f"{result_dir}/{m}/{MANIFEST}")}
 
 
-def joint_profiles(spark: SparkSession, module_dir: str, genes: DataFrame, cells: DataFrame, config: RunConfig) -> DataFrame:
-    """Second-modality profiles from gene_peak_links.csv and peak_access.parquet (peak_name, barcode, count)."""
+def joint_profiles(spark: SparkSession, module_dir: str, genes: DataFrame, cells: DataFrame, config: RunConfig) -> tuple[DataFrame, DataFrame]:
+    """Second-modality profiles (module, cell_id, gene, value), zeros left out, and the genes that have one (module, gene).
+
+    Links come from gene_peak_links.csv, access from the table and barcode list that the preprocess manifest names.  A
+    cell that the list lacks is an error; one that is listed without counts holds 0.  A gene has a profile if one of its
+    peaks is known, with or without counts.
+    """
     links = spark.read.csv(f"{module_dir}/gene_peak_links.csv", header=True, inferSchema=True)
-    usable = priors.usable_links(links, genes)
-    raw = spark.read.parquet(f"{module_dir}/peak_access.parquet")
-    missing = cells.join(raw.select("barcode").distinct(), "barcode", "left_anti")
-    if not missing.isEmpty():
-        raise ValueError(f"peak_access.parquet lacks barcodes such as {missing.first()['barcode']}")
-    wanted = raw.join(usable.select("peak_name").distinct(), "peak_name", "left_semi").join(cells, "barcode")
+    usable = cut_lineage(priors.usable_links(links, genes))
+    raw, known, barcodes = files.read_access(spark, module_dir)
+    missing = cells.join(barcodes, "barcode", "left_anti")
+    few = [r["barcode"] for r in missing.orderBy("barcode").limit(5).collect()]
+    if few:
+        raise ValueError(f"{missing.count()} cells are not in the access table, such as {', '.join(few)}")
+    asked = usable.select("peak_name").distinct()
+    wanted = raw.filter("count > 0").join(asked, "peak_name", "left_semi").join(cells, "barcode")
     access = open_scale(wanted, "peak_name").select("peak_name", "cell_id", "access")
-    found = priors.gene_profiles(usable, access, config.joint_profile_mode, config.joint_open_threshold)
-    # A profiled gene has a value in every cell: cells without counts in its peaks hold 0.
-    profiled = found.select("module", "gene").distinct()
-    members = cells.select("cell_id").withColumn("_g", F.explode(profiled.agg(F.collect_list(F.struct("module", "gene"))).scalar()))
-    dense = members.select("cell_id", "_g.*").join(found, ["module", "cell_id", "gene"], "left")
-    return dense.withColumn("value", F.coalesce("value", F.lit(0.0)))
+    profiled = usable.join(known, "peak_name", "left_semi").select("module", "gene").distinct()
+    return priors.gene_profiles(usable, access, config.joint_profile_mode, config.joint_open_threshold).filter("value <> 0"), profiled
 
 
 def factor_nodes(expr: DataFrame, genes: DataFrame, config: RunConfig) -> tuple[DataFrame, DataFrame, dict[str, int]]:
@@ -130,10 +134,11 @@ def factor_nodes(expr: DataFrame, genes: DataFrame, config: RunConfig) -> tuple[
 def run_directory(spark: SparkSession, module_dir: str, result_dir: str, config: RunConfig, only: str | None = None) -> dict[str, dict]:
     """Run the modules of a folder that have no result yet; returns each module's manifest."""
     config.validate()
-    listed = files.module_files(module_dir)
+    listed = files.module_files(spark, module_dir)
     if only:
         listed = {only: listed[only]}
-    pending = {m: p for m, p in listed.items() if m not in finished_modules(result_dir, listed)}
+    finished = finished_modules(spark, result_dir, listed)
+    pending = {m: p for m, p in listed.items() if m not in finished}
     if pending:
         expr, genes, cells = files.read_modules(spark, pending)
         raw_pairs = files.read_side_files(spark, pending, "_allowed_pairs.csv") if config.use_pair_prior else None
@@ -143,11 +148,11 @@ def run_directory(spark: SparkSession, module_dir: str, result_dir: str, config:
             targets = files.read_side_files(spark, pending, "_tf_target_prior.csv")
             if targets is None:
                 raise FileNotFoundError("no _tf_target_prior.csv next to the modules")
-        profiles = joint_profiles(spark, module_dir, genes, cells, config) if config.joint_mode != "none" else None
+        profiles, profiled = joint_profiles(spark, module_dir, genes, cells, config) if config.joint_mode != "none" else (None, None)
         expr, genes, reduced = factor_nodes(cut_lineage(expr), genes, config)
         expr = cut_lineage(expr) if reduced else expr
-        with_list = [m for m in files.with_side_file(pending, "_allowed_pairs.csv") if m not in reduced]
-        done = run_modules(expr, genes, config, pairs, targets, profiles, with_list)
+        with_list = [m for m in files.with_side_file(spark, pending, "_allowed_pairs.csv") if m not in reduced]
+        done = run_modules(expr, genes, config, pairs, targets, profiles, with_list, profiled)
         result = cut_lineage(done.graphs.join(cells, "cell_id"))
         facts = {r["module"]: r.asDict() for r in result.groupBy("module").agg(
             F.count(F.lit(1)).alias("cell_count"), F.first("n_genes").alias("node_count"), F.sum(F.size("targets")).alias("edge_count"),
@@ -161,6 +166,6 @@ def run_directory(spark: SparkSession, module_dir: str, result_dir: str, config:
             if module in reduced:
                 expr.filter(F.col("module") == module).join(cells, "cell_id").select("barcode", "gene", "value").write.mode("overwrite").parquet(
                     f"{result_dir}/{module}/{NODE_VALUES}")
-            files.write_json(f"{result_dir}/{module}/{MANIFEST}", {
+            files.write_json(spark, f"{result_dir}/{module}/{MANIFEST}", {
                 "module_name": module, "use_nmf_applied": module in reduced, "node_names": names[module], **facts.get(module, {}), **totals.get(module, {}), **asdict(config)})
-    return {m: json.loads(Path(result_dir, m, MANIFEST).read_text(encoding="utf-8")) for m in listed}
+    return {m: json.loads(files.read_text(spark, f"{result_dir}/{m}/{MANIFEST}")) for m in listed}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -28,15 +27,20 @@ def score_cells(edges: DataFrame, expr: DataFrame, genes: DataFrame, alpha: floa
 def _with_factors(spark, expr, genes, cells, modules: list[str], result_dir: str) -> tuple[DataFrame, DataFrame]:
     """Modules run on factors score their factors."""
     for module in modules:
-        path = Path(result_dir, module, NODE_VALUES)
-        if path.exists():
+        path = f"{result_dir}/{module}/{NODE_VALUES}"
+        if files.exists(spark, path):
             other = F.col("module") != module
-            values = spark.read.parquet(str(path)).join(cells, "barcode").select(F.lit(module).alias("module"), "cell_id", "gene", "value")
+            values = spark.read.parquet(path).join(cells, "barcode").select(F.lit(module).alias("module"), "cell_id", "gene", "value")
             names = values.select("module", "gene").distinct().withColumn("name", F.format_string("factor_%03d", F.col("gene")))
             expr, genes = expr.filter(other).unionByName(values), genes.filter(other).unionByName(names)
     return expr, genes
 
 
+def in_every_module(expr: DataFrame, modules: int) -> DataFrame:
+    """(cell_id) of the cells that all modules hold: the rows of an inner merge of the modules on barcode."""
+    return expr.select("module", "cell_id").distinct().groupBy("cell_id").agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") == modules).select("cell_id")
+
+
 def build_scores(spark: SparkSession, module_dir: str, result_dir: str, out: str | None = None, alpha: float = 0.05,
                  beta_mode: str = "expression", beta_lambda: float = 1.0, edge_weight_mode: str = "binary",
                  edge_weight_lambda: float = 1.0, tf_top_k: int = 20, propagation_mode: str = "sum") -> DataFrame:
@@ -44,8 +48,8 @@ def build_scores(spark: SparkSession, module_dir: str, result_dir: str, out: str
 
     Graphs meet their values by barcode, not by row position.
     """
-    listed = files.module_files(module_dir)
-    missing = [m for m in listed if not Path(result_dir, m, GRAPHS).exists()]
+    listed = files.module_files(spark, module_dir)
+    missing = [m for m in listed if not files.exists(spark, f"{result_dir}/{m}/{GRAPHS}")]
     if missing:
         raise FileNotFoundError(f"no results for {missing}")
     expr, genes, cells = files.read_modules(spark, listed)
@@ -69,11 +73,11 @@ def build_scores(spark: SparkSession, module_dir: str, result_dir: str, out: str
     elif edge_weight_mode != "binary":
         raise ValueError(f"unsupported edge_weight_mode: {edge_weight_mode}")
     scores = score_cells(edges, expr, genes, alpha, beta_mode, beta_lambda, weights, edge_weight_lambda, propagation_mode)
-    order = []
-    for r in genes.orderBy("module", "gene").toLocalIterator():
-        if r["name"] not in order:
-            order.append(r["name"])
-    wide = katz.score_matrix(scores.join(cells, "cell_id"), order, "barcode")
+    # Columns stand where their name comes first; rows are the cells that every module has.
+    first = genes.groupBy("name").agg(F.min(F.struct("module", "gene")).alias("at")).orderBy("at")
+    order = [r["name"] for r in first.select("name").toLocalIterator()]
+    shared = in_every_module(expr, len(listed))
+    wide = katz.score_matrix(scores.join(shared, "cell_id", "left_semi").join(cells, "cell_id"), order, "barcode")
     if out:
         files.write_csv(wide, out)
     return wide

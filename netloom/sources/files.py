@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
 from functools import reduce
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
@@ -49,8 +49,8 @@ def wide_csv(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
     return named.unpivot("barcode", [_quoted(g) for g in genes], "name", "value"), genes
 
 
-def module_files(folder: str) -> dict[str, str]:
-    found = {p.stem: str(p) for p in sorted(Path(folder).glob("module_*_expression.csv"))}
+def module_files(spark: SparkSession, folder: str) -> dict[str, str]:
+    found = {n.removesuffix(".csv"): f"{folder}/{n}" for n in names_in(spark, folder, "module_*_expression.csv")}
     if not found:
         raise ValueError(f"no module expression files in {folder}")
     return found
@@ -70,17 +70,21 @@ def read_modules(spark: SparkSession, files: dict[str, str]) -> tuple[DataFrame,
     return expr, listed, cells
 
 
-def with_side_file(files: dict[str, str], ending: str) -> list[str]:
+def _side(files: dict[str, str], module: str, ending: str) -> str:
+    folder, _, _ = files[module].rpartition("/")
+    return f"{folder or '.'}/{module}{ending}"
+
+
+def with_side_file(spark: SparkSession, files: dict[str, str], ending: str) -> list[str]:
     """Modules that have a ``<module><ending>`` file."""
-    return [m for m, path in files.items() if Path(path).with_name(f"{m}{ending}").exists()]
+    return [m for m in files if exists(spark, _side(files, m, ending))]
 
 
 def read_side_files(spark: SparkSession, files: dict[str, str], ending: str) -> DataFrame | None:
     """The ``<module><ending>`` files next to the modules, as one frame with ``module``; None if there are none."""
     parts = []
-    for module in with_side_file(files, ending):
-        side = Path(files[module]).with_name(f"{module}{ending}")
-        parts.append(spark.read.csv(str(side), header=True, inferSchema=True).withColumn("module", F.lit(module)))
+    for module in with_side_file(spark, files, ending):
+        parts.append(spark.read.csv(_side(files, module, ending), header=True, inferSchema=True).withColumn("module", F.lit(module)))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
 
 
@@ -90,7 +94,7 @@ def read_coordinates(spark: SparkSession, folder: str) -> tuple[DataFrame, DataF
     ``folder`` holds counts.parquet, features.parquet (feature_id, name, gene_id, feature_type, interval, ordinal)
     and barcodes.parquet (cell_id, barcode), or the MatrixMarket triple matrix.mtx, features.tsv, barcodes.tsv.
     """
-    if Path(folder, "counts.parquet").exists():
+    if exists(spark, f"{folder}/counts.parquet"):
         return tuple(spark.read.parquet(f"{folder}/{n}.parquet") for n in ("counts", "features", "barcodes"))
     entries = spark.read.text(f"{folder}/matrix.mtx").filter("value rlike '^[0-9]'").select(F.split("value", r"\s+").alias("p"))
     # The first numeric line is the matrix shape, not an entry.
@@ -184,9 +188,80 @@ def read_sequences(spark: SparkSession, path: str, peaks: DataFrame, bin_size: i
         "peak_name", F.array_join("g.p", "").alias("sequence"))
 
 
-def write_json(path: str, payload) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(payload, indent=2), encoding="utf-8")
+ACCESS, ACCESS_PEAKS, ACCESS_BARCODES = "peak_access.parquet", "peak_access_peaks.parquet", "peak_access_barcodes.parquet"
+
+
+def write_access(entries: DataFrame, peaks: DataFrame, barcodes: DataFrame, out: str) -> dict[str, str]:
+    """Access counts (peak_name, barcode, count) clustered by peak, the peaks and the barcodes; returns the manifest's entries.
+
+    Rows of one peak range lie together and in order, so a filter on peak names skips files and row groups.
+    """
+    entries.select("peak_name", "barcode", F.col("count").cast("double").alias("count")).repartitionByRange("peak_name", "barcode") \
+        .sortWithinPartitions("peak_name", "barcode").write.mode("overwrite").parquet(f"{out}/{ACCESS}")
+    peaks.select("peak_name").distinct().write.mode("overwrite").parquet(f"{out}/{ACCESS_PEAKS}")
+    barcodes.select("barcode").distinct().write.mode("overwrite").parquet(f"{out}/{ACCESS_BARCODES}")
+    return {"access_table": ACCESS, "access_peaks": ACCESS_PEAKS, "access_barcodes": ACCESS_BARCODES}
+
+
+def resolve(spark: SparkSession, folder: str, value: str | None) -> str:
+    """A path named by a manifest: as it stands, else relative to the manifest's folder."""
+    if not value:
+        raise ValueError(f"the manifest in {folder} does not name the path")
+    relative = not re.match(r"([a-z0-9+]+:)?/", value)
+    for candidate in [value, f"{folder}/{value}"][1 if relative and not exists(spark, value) else 0 :]:
+        if exists(spark, candidate):
+            return candidate
+    raise FileNotFoundError(value)
+
+
+def read_access(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(peak_name, barcode, count), the known peaks and the known barcodes of a bundle, by way of its manifest."""
+    manifest = json.loads(read_text(spark, f"{folder}/preprocess_manifest.json"))
+    return tuple(spark.read.parquet(resolve(spark, folder, manifest.get(name))) for name in ("access_table", "access_peaks", "access_barcodes"))
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """The file system of a path, whichever store it names, and the path itself."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _hadoop(spark, path)
+    return fs.exists(at)
+
+
+def names_in(spark: SparkSession, folder: str, pattern: str = "*") -> list[str]:
+    """Sorted names of the entries of a folder that fit a glob pattern."""
+    fs, at = _hadoop(spark, f"{folder}/{pattern}")
+    found = fs.globStatus(at)
+    return sorted(s.getPath().getName() for s in found) if found else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file."""
+    if not exists(spark, path):
+        raise FileNotFoundError(path)
+    fs, at = _hadoop(spark, path)
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, at = _hadoop(spark, path)
+    stream = fs.create(at, True)
+    try:
+        stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+
+
+def write_json(spark: SparkSession, path: str, payload) -> None:
+    write_text(spark, path, json.dumps(payload, indent=2))
 
 
 def write_csv(df: DataFrame, path: str) -> None:

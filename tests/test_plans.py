@@ -63,14 +63,36 @@ def test_joint_modality(spark, tmp_path):
     write(tmp_path / "module_M001_expression.csv", ["barcode", *"ABC"], [[f"c{i}", *row] for i, row in enumerate(x)])
     write(tmp_path / "gene_peak_links.csv", ["gene_module_column", "peak_name", "peak_gene_corr", "association_pass"],
           [["A", "p1", 0.5, "True"], ["A", "p2", -0.5, "True"], ["B", "p2", 0.4, "False"]])
-    access = [("p1", f"c{i}", float(rng.poisson(3))) for i in range(60)]
-    spark.createDataFrame(access, "peak_name string, barcode string, count double").write.parquet(str(tmp_path / "peak_access.parquet"))
+    access = [("p1", f"c{i}", float(rng.poisson(3))) for i in range(59)]  # the last cell has no count, only a place in the list
+    entries = spark.createDataFrame(access, "peak_name string, barcode string, count double")
+    barcodes = spark.createDataFrame([(f"c{i}",) for i in range(60)], "barcode string")
+    named = files.write_access(entries, entries, barcodes, str(tmp_path))
+    files.write_json(spark, f"{tmp_path}/preprocess_manifest.json", named)
     plain = run_directory(spark, str(tmp_path), str(tmp_path / "plain"), RunConfig())
     joint = run_directory(spark, str(tmp_path), str(tmp_path / "joint"), RunConfig(joint_mode="joint_modality"))
     assert joint["module_M001_expression"]["cell_count"] == 60
     assert joint["module_M001_expression"]["edge_count"] != plain["module_M001_expression"]["edge_count"]
 
 
+def test_joint_run_needs_listed_cells(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    write(tmp_path / "module_M001_expression.csv", ["barcode", "A", "B"], [[f"c{i}", *rng.gamma(2.0, 1.0, size=2)] for i in range(20)])
+    write(tmp_path / "gene_peak_links.csv", ["gene_module_column", "peak_name", "peak_gene_corr", "association_pass"], [["A", "p1", 0.5, True], ["B", "p9", 0.5, True]])
+    entries = spark.createDataFrame([("p1", "c0", 0.0)], "peak_name string, barcode string, count double")
+    few = spark.createDataFrame([(f"c{i}",) for i in range(18)], "barcode string")
+    files.write_json(spark, f"{tmp_path}/preprocess_manifest.json", files.write_access(entries, entries, few, str(tmp_path)))
+    config = RunConfig(joint_mode="joint_modality")
+    with pytest.raises(ValueError, match="2 cells .* c18, c19"):
+        run_directory(spark, str(tmp_path), str(tmp_path / "r"), config)
+    every = spark.createDataFrame([(f"c{i}",) for i in range(20)], "barcode string")
+    files.write_json(spark, f"{tmp_path}/preprocess_manifest.json", files.write_access(entries, entries, every, f"file://{tmp_path}"))
+    expr, genes, cells = files.read_modules(spark, files.module_files(spark, f"file://{tmp_path}"))
+    profiles, profiled = run.joint_profiles(spark, f"file://{tmp_path}", genes, cells, config)
+    assert profiles.count() == 0 and [r["gene"] for r in profiled.collect()] == [0]  # no positive count: a profile of zeros; p9 is unknown
+    run_directory(spark, f"file://{tmp_path}", f"file://{tmp_path}/r", config)
+    assert (tmp_path / "r" / "module_M001_expression" / "run_manifest.json").exists()
+
+
 def test_factors(spark, tmp_path):
     rng = np.random.default_rng(6)
     x = rng.gamma(2.0, 1.0, size=(40, 5))
@@ -131,6 +153,8 @@ def test_multiome(spark, tmp_path):
     assert manifest["selected_shape"] == [n, 6] and manifest["peak_gene_link_count"] > 0
     assert manifest["anchor_source_counts"] == {"gtf_tss": 1, "h5_interval_start": 5}
     assert manifest["motif_triplet_count"] > 0
+    done = run_directory(spark, str(tmp_path / "out"), str(tmp_path / "joint"), RunConfig(joint_mode="joint_modality", max_cond_vars=1))
+    assert done and all(m["cell_count"] == n for m in done.values())  # the bundle is all that a joint run needs
 
 
 def test_config_checks():
