@@ -17,49 +17,141 @@ from .correlation import dense_vectors
 
 BLOCK = 4096
 KEY_BLOCK = 512
+PIVOTS, CELL_ROWS, RINGS, RING_ROWS = 1024, 2048, 16, 2048
+NEAR_TILE = 16
 
 
-def nearest_neighbors(vectors: DataFrame, k: int, key_block: int = KEY_BLOCK, block: int = BLOCK) -> DataFrame:
-    """The ``k`` nearest other cells by Euclidean distance: (cell_id, other, distance, rank).
+def nearest_neighbors(vectors: DataFrame, k: int, key_block: int = KEY_BLOCK, block: int = BLOCK, cell_rows: int = CELL_ROWS, ring_rows: int = RING_ROWS) -> DataFrame:
+    """The ``k`` nearest other cells by Euclidean distance: (cell_id, other, distance, rank); equal distances go to the lower id.
 
-    Exact.  Blocks of members stream past each block of keys, which holds only its current best ``k``, so no
-    pair of cells is ever a row; equal distances go to the lower id.
+    Exact, over a metric partition.  Rows are dealt to the nearest of at most ``PIVOTS`` pivots and, by their distance from it,
+    to a ring.  Keys first take an upper bound of their k-th distance from one block of their own ring; by the triangle
+    inequality only rings that a ball of that radius meets can hold a nearer cell, and only their members are sent to the keys'
+    block, which holds its current best ``k`` while they stream by.  Pivots and ring edges are all that is broadcast; large rings
+    are cut into blocks, so a dense spot is many tasks.  No pair of cells is ever a row.
     """
-    n = vectors.agg(F.count(F.lit(1))).scalar()
-    rows = vectors.select("cell_id", F.col("v").cast("array<double>").alias("v"), n.alias("_n"))
-    file_under = lambda size, name: rows.groupBy(
-        F.pmod(F.xxhash64("cell_id"), F.ceil(F.col("_n") / size)).alias(name)
-    ).agg(F.collect_list(F.struct("cell_id", "v")).alias("_r"), F.first("_n").alias("_n"))
-    keys = file_under(key_block, "_kb").select("_kb", F.col("_r.cell_id").alias("key_id"), F.flatten("_r.v").alias("key_v"))
-    members = file_under(block, "_mb").select(
-        F.explode(F.sequence(F.lit(0), F.ceil(F.col("_n") / key_block) - 1)).alias("_kb"),
-        F.col("_r.cell_id").alias("id"), F.flatten("_r.v").alias("v"))
+    rows = vectors.select("cell_id", F.col("v").cast("array<double>").alias("v"))
+    placed, pivots, radius, rings = _placed(rows, cell_rows, ring_rows)
+    if placed is None:
+        return rows.sparkSession.createDataFrame([], "cell_id bigint, other bigint, distance double, rank int")
+    held = F.broadcast(placed.groupBy("_c", "_ring").agg(F.count(F.lit(1)).alias("_held")))  # at most PIVOTS x RINGS rows
+    sized = placed.join(held, ["_c", "_ring"])
+    cut = lambda size, seed: F.pmod(F.xxhash64("cell_id", F.lit(seed)), F.ceil(F.col("_held") / F.lit(size))).cast("int")
+    keys = cut_lineage(sized.groupBy("_c", "_ring", cut(key_block, 1).alias("_ks")).agg(F.collect_list(F.struct("cell_id", "v")).alias("_r"), F.first("_held").alias("_held")).select(
+        F.concat_ws("-", "_c", "_ring", "_ks").alias("_kb"), "_c", "_ring", "_ks", "_held", F.col("_r.cell_id").alias("key_id"), F.flatten("_r.v").alias("key_v")))
+    members = cut_lineage(sized.groupBy("_c", "_ring", cut(block, 2).alias("_ms")).agg(F.collect_list(F.struct("cell_id", "v")).alias("_r"), F.first("_held").alias("_held")).select(
+        "_c", "_ring", "_ms", "_held", F.col("_r.cell_id").alias("id"), F.flatten("_r.v").alias("v")))
+    own = keys.withColumn("_ms", F.pmod("_ks", F.ceil(F.col("_held") / F.lit(block))).cast("int"))
+    bounded = own.join(members.drop("_held"), ["_c", "_ring", "_ms"], "left").select("_kb", "key_id", "key_v", "id", "v")
+    asks = bounded.mapInArrow(_open_rings(pivots, radius, rings, k), "_kb string, _c int, _ring int")
+    blocks = members.select("_c", "_ring", "_held").distinct().withColumn("_ms", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_held") / F.lit(block)).cast("int") - 1)))
+    asked = asks.join(F.broadcast(blocks.groupBy("_c", "_ring").agg(F.collect_list("_ms").alias("_m"))), ["_c", "_ring"]).select("_kb", "_c", "_ring", F.explode("_m").alias("_ms"))
+    sent = asked.join(members.hint("merge"), ["_c", "_ring", "_ms"]).select("_kb", "id", "v")
+    return keys.select("_kb", "key_id", "key_v").join(sent.hint("merge"), "_kb").groupBy("_kb").applyInArrow(
+        _best(k), "cell_id bigint, other bigint, distance double, rank int")
 
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances by products, with a relative error of about 1e-12 of the vectors' squares."""
+    square = (x * x).sum(1)[:, None] - 2.0 * (x @ y.T) + (y * y).sum(1)[None, :]
+    return np.sqrt(np.maximum(square, 0.0))
+
+
+def _slack(x: np.ndarray, y: np.ndarray) -> float:
+    """More than the rounding error of ``_distances``: near 0 it is the root of that of the squares."""
+    most = max(float((a * a).sum(1).max(initial=0.0)) for a in (x, y))
+    return 1e-6 * np.sqrt(most) + 1e-150
+
+
+def _placed(rows: DataFrame, cell_rows: int, ring_rows: int):
+    """Rows with their pivot ``_c`` and ring, and the pivots, radii and rings of the pivots' cells."""
+    n = rows.count()
+    if not n:
+        return None, None, None, None
+    few = rows.orderBy(F.xxhash64("cell_id"), "cell_id").limit(max(1, min(PIVOTS, n // cell_rows))).select("v").collect()
+    pivots = np.array([r["v"] for r in few], float).reshape(len(few), -1)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1)
+            d = _distances(x, pivots)
+            c = d.argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("cell_id"), batch.column("v"), pa.array(c.astype(np.int32)), pa.array(d[np.arange(len(c)), c])], ["cell_id", "v", "_c", "_d"])
+
+    near = cut_lineage(rows.mapInArrow(deal, "cell_id bigint, v array<double>, _c int, _d double"))
+    facts = near.groupBy("_c").agg(F.max("_d").alias("r"), F.count(F.lit(1)).alias("n")).collect()  # one row a pivot
+    radius, rings = np.zeros(len(pivots)), np.ones(len(pivots), np.int64)
+    for f in facts:
+        radius[f["_c"]], rings[f["_c"]] = f["r"], min(RINGS, -(-f["n"] // ring_rows))
+    edge = lambda values: F.get(F.array(*map(F.lit, values)), F.col("_c"))
+    share = F.when(edge(radius.tolist()) > 0, F.col("_d") / edge(radius.tolist())).otherwise(F.lit(0.0))
+    ring = F.least(F.floor(share * edge(rings.tolist())), edge(rings.tolist()) - 1).cast("int")
+    return near.withColumn("_ring", ring).drop("_d"), pivots, radius, rings
+
+
+def _open_rings(pivots: np.ndarray, radius: np.ndarray, rings: np.ndarray, k: int):
+    """For each block of keys, next to one block of its own ring: the rings that may hold one of the k nearest."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                flat = lambda c: batch.column(c)[row].values.to_numpy()
+                ids = flat("key_id")
+                x = flat("key_v").reshape(len(ids), -1)
+                other, y = (flat("id"), flat("v").reshape(-1, x.shape[1])) if batch.column("id")[row].is_valid else (ids[:0], x[:0])
+                near = _distances(x, y)
+                near[ids[:, None] == other[None, :]] = np.inf
+                bound = np.partition(near, k - 1, axis=1)[:, k - 1] if near.shape[1] >= k else np.full(len(x), np.inf)
+                bound = bound + _slack(x, np.vstack([y, pivots]))
+                d = _distances(x, pivots)
+                width = np.where(radius > 0, rings / np.where(radius > 0, radius, 1.0), 0.0)
+                with np.errstate(invalid="ignore"):
+                    low = np.floor(np.nan_to_num((d - bound[:, None]) * width, nan=0.0, neginf=-1.0, posinf=1e9))
+                    high = np.floor(np.nan_to_num((d + bound[:, None]) * width, nan=0.0, posinf=1e9))
+                low, high = np.clip(low, 0, None), np.minimum(high, rings - 1)
+                meets = d - bound[:, None] <= radius + _slack(x, pivots)
+                low = np.minimum(low, rings - 1)  # the outermost ring holds its own edge
+                cells, where = [], []
+                for r in range(int(rings.max())):
+                    hit = np.flatnonzero((meets & (low <= r) & (r <= high)).any(axis=0))
+                    cells.append(hit)
+                    where.append(np.full(len(hit), r))
+                cells, where = np.concatenate(cells).astype(np.int32), np.concatenate(where).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column("_kb")[row].as_py()] * len(cells), pa.string()), pa.array(cells), pa.array(where)], ["_kb", "_c", "_ring"])
+    return task
+
+
+def _best(k: int):
+    """Best ``k`` of a block of keys while blocks of members stream by: products find candidates, differences decide."""
     def task(group: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_d = best_i = ids = x = None
+        ids = x = best = None
         for batch in batches:
             for row in range(batch.num_rows):
                 flat = lambda c: batch.column(c)[row].values.to_numpy()
                 if ids is None:
                     ids = flat("key_id")
                     x = flat("key_v").reshape(len(ids), -1)
+                    best = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
                 other = flat("id")
                 y = flat("v").reshape(len(other), -1)
-                near = np.sqrt(np.stack([((r - y) ** 2).sum(axis=1) for r in x]))
-                near[ids[:, None] == other[None, :]] = np.inf
-                all_d = near if best_d is None else np.hstack([best_d, near])
-                all_i = np.broadcast_to(other, near.shape) if best_i is None else np.hstack([best_i, np.broadcast_to(other, near.shape)])
-                pick = np.lexsort((all_i, all_d), axis=1)[:, :k]
-                best_d, best_i = np.take_along_axis(all_d, pick, 1), np.take_along_axis(all_i, pick, 1)
-        kept = np.isfinite(best_d)
-        rank = np.broadcast_to(np.arange(1, best_d.shape[1] + 1), best_d.shape)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.broadcast_to(ids[:, None], best_d.shape)[kept]), pa.array(best_i[kept]), pa.array(best_d[kept]),
-             pa.array(rank[kept].astype(np.int32))], ["cell_id", "other", "distance", "rank"])
-
-    return keys.join(members.hint("merge"), "_kb").groupBy("_kb").applyInArrow(
-        task, "cell_id bigint, other bigint, distance double, rank int"
-    )
+                slack = _slack(x, y)
+                found = [best]
+                for low in range(0, len(ids), NEAR_TILE):
+                    tile = x[low : low + NEAR_TILE]
+                    near = _distances(tile, y)
+                    near[ids[low : low + NEAR_TILE, None] == other[None, :]] = np.inf
+                    kth = np.partition(near, min(k, near.shape[1]) - 1, axis=1)[:, min(k, near.shape[1]) - 1]
+                    at, col = np.nonzero((near <= kth[:, None] + 2 * slack) & np.isfinite(near))
+                    found.append((at + low, np.sqrt(((tile[at] - y[col]) ** 2).sum(axis=1)), other[col]))
+                at, distance, other = (np.concatenate(c) for c in zip(*found))
+                order = np.lexsort((other, distance, at))
+                at, distance, other = at[order], distance[order], other[order]
+                keep = np.arange(len(at)) - np.searchsorted(at, at) < k
+                best = at[keep], distance[keep], other[keep]
+        at, distance, other = best
+        rank = np.arange(len(at)) - np.searchsorted(at, at) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(other), pa.array(distance), pa.array(rank.astype(np.int32))], ["cell_id", "other", "distance", "rank"])
+
+    return task
 
 
 def neighbor_graph(neighbors: DataFrame, cells: DataFrame) -> DataFrame:
