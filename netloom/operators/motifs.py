@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import canonical_token
+from ..session import cut_lineage
 from .normalize import min_max
 
 # Pseudocount, default relative cutoff, letters, smallest usable score span.
@@ -14,7 +15,8 @@ PSEUDOCOUNT = 0.5
 RELATIVE_CUTOFF = 0.85
 LETTERS = "ACGT"
 TINY = 1e-8
-MOTIFS_PER_PASS = 5000
+MOTIFS_PER_PASS, MOTIFS_PER_BLOCK = 5000, 32
+SEGMENT, CODES = 4, 1 << 16
 
 
 def log_odds(motifs: DataFrame) -> DataFrame:
@@ -41,70 +43,148 @@ def _encode(text: str) -> np.ndarray:
     return table[np.frombuffer(text.encode("ascii", "replace"), dtype=np.uint8)]
 
 
-def _strand_scores(codes: np.ndarray, pssm: np.ndarray) -> np.ndarray:
-    """Score of every window; NaN where a letter is not one of the four."""
-    width, places = len(pssm), len(codes) - len(pssm) + 1
-    if places <= 0:
-        return np.empty(0)
-    padded = np.column_stack([pssm, np.full(width, np.nan)])
-    score = padded[0][codes[:places]]
-    for k in range(1, width):
-        score = score + padded[k][codes[k:k + places]]
-    return score
-
-
-def _best_hit(codes: np.ndarray, motif: dict, cutoff: float):
-    """(rel, abs, position, strand) of the best window at or over the cutoff: minus strand first, then by place."""
-    span = motif["max_score"] - motif["min_score"]
-    least = motif["max_score"] if span <= TINY else motif["min_score"] + cutoff * span
-    best = None
-    for strand, matrix in (("-", motif["matrix"][::-1, ::-1]), ("+", motif["matrix"])):
-        score = _strand_scores(codes, matrix)
-        hits = np.flatnonzero(score >= least)
-        if hits.size:
-            at = hits[np.argmax(score[hits])]
-            rel = 1.0 if span <= TINY else (score[at] - motif["min_score"]) / span
-            if best is None or rel > best[0]:
-                best = (float(rel), float(score[at]), int(len(codes) - at if strand == "-" else at), strand)
-    return best
+class MotifBlock:
+    """Motifs of one width on one strand, as tables over runs of ``SEGMENT`` letters.
+
+    A window's score is the sum of one table entry per run.  After each run only windows that can still reach the motif's least
+    score, with the best letters from there on, are looked at further; the scores of those that stay are added up letter by letter.
+    """
+
+    def __init__(self, matrices: np.ndarray, least: np.ndarray):
+        self.matrices = np.concatenate([matrices, np.full((*matrices.shape[:2], 1), -np.inf)], axis=2)  # a fifth letter for all others
+        self.least, self.width = least, matrices.shape[1]
+        self.cuts = list(range(0, self.width, SEGMENT))
+        self.tables = []
+        for low in self.cuts:
+            table = np.zeros((len(matrices), 1))
+            for k in range(low, min(low + SEGMENT, self.width)):
+                table = (table[:, :, None] + self.matrices[:, k, None, :]).reshape(len(matrices), -1)
+            self.tables.append(table)
+        tops = matrices.max(axis=2)
+        self.rest = [tops[:, low + SEGMENT :].sum(axis=1) for low in self.cuts]
+        self.slack = 1e-9 * np.maximum(1.0, np.abs(np.where(np.isfinite(matrices), matrices, 0.0)).sum(axis=(1, 2)))
+
+    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(motif, place, score) of the windows at or over their motif's least score."""
+        places = len(codes) - self.width + 1
+        if places <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        runs = []
+        for low in self.cuts:
+            run = np.zeros(places, np.int32)
+            for k in range(low, min(low + SEGMENT, self.width)):
+                run = run * 5 + codes[k : k + places]
+            runs.append(run)
+        enough = self.least - self.slack
+        first = self.tables[0][:, runs[0]]
+        motif, place = np.nonzero(first >= (enough - self.rest[0])[:, None])
+        score = first[motif, place]
+        for table, run, rest in zip(self.tables[1:], runs[1:], self.rest[1:]):
+            score = score + table[motif, run[place]]
+            stay = score >= enough[motif] - rest[motif]
+            motif, place, score = motif[stay], place[stay], score[stay]
+        exact = self.matrices[motif, 0, codes[place]]
+        for k in range(1, self.width):
+            exact = exact + self.matrices[motif, k, codes[place + k]]
+        stay = exact >= self.least[motif]
+        return motif[stay], place[stay], exact[stay]
+
+
+def _blocks(listed: list[dict], cutoff: float) -> list[tuple[np.ndarray, MotifBlock, MotifBlock]]:
+    """Places in the list, and their minus and plus strands, of motifs of equal width, ``MOTIFS_PER_BLOCK`` at most."""
+    widths: dict[int, list[int]] = {}
+    for i, m in enumerate(listed):
+        if m["pssm"]:
+            widths.setdefault(len(m["pssm"]), []).append(i)
+    out = []
+    for own in widths.values():
+        for low in range(0, len(own), MOTIFS_PER_BLOCK):
+            part = own[low : low + MOTIFS_PER_BLOCK]
+            matrices = np.array([listed[i]["pssm"] for i in part], float)
+            ends = np.array([(listed[i]["min_score"], listed[i]["max_score"]) for i in part])
+            span = ends[:, 1] - ends[:, 0]
+            least = np.where(span <= TINY, ends[:, 1], ends[:, 0] + cutoff * span)
+            out.append((np.array(part), MotifBlock(matrices[:, ::-1, ::-1], least), MotifBlock(matrices, least)))
+    return out
+
+
+def best_hits(texts: list[str], blocks, listed: list[dict]):
+    """(text, motif, rel, abs, position, minus) of the best window of each text and motif: minus strand first, then by place.
+
+    Texts are scored end to end, a separator between them, ``CODES`` letters at a time and no text in two pieces.
+    """
+    codes = [_encode(t) for t in texts]
+    at = 0
+    while at < len(codes):
+        stop, size = at, 0
+        while stop < len(codes) and (stop == at or size + len(codes[stop]) < CODES):
+            size += len(codes[stop]) + 1
+            stop += 1
+        joined = np.concatenate([x for c in codes[at:stop] for x in (c, np.array([4], np.uint8))])
+        starts = np.concatenate(([0], np.cumsum([len(c) + 1 for c in codes[at:stop]])[:-1]))
+        for part, *strands in blocks:
+            found = []
+            for plus, block in enumerate(strands):
+                for low in range(0, len(joined), CODES):  # one text may be longer than a piece
+                    motif, place, score = block.hits(joined[low : low + CODES + block.width - 1])
+                    found.append((motif, place + low, score, np.full(len(motif), plus)))
+            motif, place, score, plus = (np.concatenate(c) for c in zip(*found))
+            text = np.searchsorted(starts, place, "right") - 1
+            ends = np.array([(listed[i]["min_score"], listed[i]["max_score"]) for i in part])
+            span = ends[:, 1] - ends[:, 0]
+            rel = np.where(span[motif] <= TINY, 1.0, (score - ends[motif, 0]) / np.where(span[motif] <= TINY, 1.0, span[motif]))
+            # The best score of a strand comes first; between strands the relative score decides and minus wins ties.
+            order = np.lexsort((place, -score, plus, motif, text))
+            key = np.stack([text[order], motif[order], plus[order]])
+            head = np.ones(len(order), bool)
+            head[1:] = (key[:, 1:] != key[:, :-1]).any(axis=0)
+            order = order[head]
+            order = order[np.lexsort((plus[order], -rel[order], motif[order], text[order]))]
+            key = np.stack([text[order], motif[order]])
+            head = np.ones(len(order), bool)
+            head[1:] = (key[:, 1:] != key[:, :-1]).any(axis=0)
+            for i in order[head].tolist():
+                t = int(text[i])
+                own = int(place[i] - starts[t])
+                yield at + t, int(part[motif[i]]), float(rel[i]), float(score[i]), own if plus[i] else len(codes[at + t]) - own, not plus[i]
+        at = stop
 
 
 def scan_sequences(sequences: DataFrame, motifs: DataFrame, cutoff: float = RELATIVE_CUTOFF) -> DataFrame:
     """Best hit per (peak_name, tf_symbol) over all its motifs and both strands.
 
-    ``motifs`` (tf_symbol, ordinal, motif_id, motif_name, pssm, min_score, max_score) is a published catalogue,
-    handed to the tasks at most ``MOTIFS_PER_PASS`` at a time; sequences stay where they are.
+    ``motifs`` (tf_symbol, ordinal, motif_id, motif_name, pssm, min_score, max_score) is a published catalogue, read and sent to
+    the tasks ``MOTIFS_PER_PASS`` at a time; with more than one pass each one's hits are written before the next is read, so the
+    driver never holds more than one. Sequences stay where they are.
     """
     columns = ["tf_symbol", "ordinal", "motif_id", "motif_name", "pssm", "min_score", "max_score"]
-    listed = [r.asDict() for r in motifs.select(*columns).orderBy("tf_symbol", "ordinal").toLocalIterator()]
     out = (
         "peak_name string, tf_symbol string, ordinal bigint, motif_id string, motif_name string, "
         "rel_score double, abs_score double, position bigint, strand string"
     )
+    rows = sequences.select(F.col("peak_name").cast("string").alias("peak_name"), "sequence")
 
     def scan(part: list[dict]):
         def run(batches):
-            ready = [{**m, "matrix": np.array(m["pssm"], dtype=float)} for m in part]
+            blocks = _blocks(part, cutoff)
             for batch in batches:
-                rows = []
-                for name, text in zip(batch.column("peak_name").to_pylist(), batch.column("sequence").to_pylist()):
-                    if not text:
-                        continue
-                    codes = _encode(text)
-                    for m in ready:
-                        hit = _best_hit(codes, m, cutoff)
-                        if hit:
-                            rows.append((name, m["tf_symbol"], m["ordinal"], m["motif_id"], m["motif_name"], *hit))
-                names = ["peak_name", "tf_symbol", "ordinal", "motif_id", "motif_name", "rel_score", "abs_score", "position", "strand"]
-                if rows:
-                    yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows)))))
-
-        return sequences.select(F.col("peak_name").cast("string").alias("peak_name"), "sequence").mapInArrow(run, out)
-
-    passes = [scan(listed[i:i + MOTIFS_PER_PASS]) for i in range(0, max(1, len(listed)), MOTIFS_PER_PASS)]
-    hits = passes[0]
-    for more in passes[1:]:
-        hits = hits.unionByName(more)
+                names, texts = batch.column("peak_name").to_pylist(), [t or "" for t in batch.column("sequence").to_pylist()]
+                held = [(names[t], part[m]["tf_symbol"], part[m]["ordinal"], part[m]["motif_id"], part[m]["motif_name"], rel, score, place, "-" if minus else "+")
+                        for t, m, rel, score, place, minus in best_hits(texts, blocks, part)]
+                if held:
+                    yield pa.RecordBatch.from_pydict(dict(zip(
+                        ["peak_name", "tf_symbol", "ordinal", "motif_id", "motif_name", "rel_score", "abs_score", "position", "strand"], map(list, zip(*held)))))
+
+        return rows.mapInArrow(run, out)
+
+    hits, part = None, []
+    for r in motifs.select(*columns).toLocalIterator():
+        part.append(r.asDict())
+        if len(part) == MOTIFS_PER_PASS:
+            done = cut_lineage(scan(part))
+            hits, part = done if hits is None else hits.unionByName(done), []
+    if part or hits is None:
+        hits = scan(part) if hits is None else hits.unionByName(scan(part))
     # The first of equal scores wins, in catalogue order.
     best = F.max_by(F.struct(*[c for c in hits.columns if c not in ("peak_name", "tf_symbol")]),
                     F.struct("rel_score", -F.col("ordinal")))

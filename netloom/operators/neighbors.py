@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
 from .correlation import dense_vectors
+from .normalize import binarize, tf_idf
 
 BLOCK = 4096
 KEY_BLOCK = 512
@@ -163,12 +164,6 @@ def neighbor_graph(neighbors: DataFrame, cells: DataFrame) -> DataFrame:
     return linked.join(linked.groupBy("cell_id").agg((1.0 / F.count(F.lit(1))).alias("weight")), "cell_id")
 
 
-def smooth(graph: DataFrame, values: DataFrame) -> DataFrame:
-    """Graph-weighted mean of each cell's neighbours."""
-    near = values.withColumnRenamed("cell_id", "other")
-    return graph.join(near, "other").groupBy("cell_id", "gene").agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
-
-
 def principal_components(vectors: DataFrame, k: int) -> DataFrame:
     """Scores on the first ``k`` components of the centred data."""
     mean = vectors.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")) \
@@ -189,11 +184,21 @@ def truncated_svd(vectors: DataFrame, k: int) -> DataFrame:
     return vectors.withColumn("_axes", axes).select("cell_id", F.transform("_axes", dot).alias("v"))
 
 
-def shared_neighbors(expression: DataFrame, access: DataFrame, k: int, first_k: int, second_k: int) -> DataFrame:
-    """Neighbour graph over the two modalities' embeddings put side by side."""
+def shared_neighbors(expression: DataFrame, access: DataFrame, n_features: int, k: int, first_k: int, second_k: int) -> DataFrame:
+    """Neighbour graph over two modalities' embeddings put side by side: (cell_id, other, weight).
+
+    ``expression`` is (cell_id, v), ``access`` sparse counts (cell_id, feature_id from 0, count), which count as present or
+    absent and are weighted by term share and rarity.  Cells without access stand at the origin of the second embedding.
+    """
+    ends = lambda most, width: max(1, min(most, width))
+    cells = expression.select("cell_id")
+    weighted = tf_idf(binarize(access.filter("count <> 0").join(cells, "cell_id", "left_semi")), cells.count()).select(F.lit(0).alias("_g"), "cell_id", "feature_id", "weight")
     a = principal_components(expression, first_k).withColumnRenamed("v", "_a")
-    b = truncated_svd(access, second_k).withColumnRenamed("v", "_b")
-    both = a.join(b, "cell_id").select("cell_id", F.concat("_a", "_b").alias("v"))
+    filled = dense_vectors(weighted, "cell_id", "feature_id", "weight", n_features, "_g").select("cell_id", "v")
+    width = ends(second_k, n_features)
+    b = truncated_svd(filled, width).withColumnRenamed("v", "_b")
+    none = F.array_repeat(F.lit(0.0), width)
+    both = cut_lineage(a.join(b, "cell_id", "left").select("cell_id", F.concat("_a", F.coalesce("_b", none)).alias("v")))
     return neighbor_graph(nearest_neighbors(both, k), both.select("cell_id"))
 
 

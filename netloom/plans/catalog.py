@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import stats, text
@@ -351,6 +353,12 @@ def variance_windows(spark, sf):
     return features.variance_windows(facts).select(F.col("group_id").cast("int").alias("group_id"), "gene")
 
 
+@query
+def column_variance(spark, sf):
+    facts = features.feature_stats(views.expression(spark, sf).withColumnRenamed("gene", "feature_id"), views.table(spark, sf, "embeddings").count(), "value")
+    return facts.select(F.col("feature_id").alias("gene"), r6("variance").alias("variance"))
+
+
 @query
 def p95_scale(spark, sf):
     return normalize.open_scale(views.part_counts(spark, sf), "feature_id").select("cell_id", "feature_id", r6("access").alias("access"))
@@ -656,10 +664,19 @@ def motif_name_tokens(spark, sf):
 
 def _language_motifs(spark, sf, width: int = 6) -> DataFrame:
     """Letter counts of each language's sequences by place modulo ``width``, as count matrices."""
-    phase = lambda p: F.regexp_replace(F.substr("sequence", F.lit(p)), f"(?s)(.).{{0,{width - 1}}}", "$1")
-    places = F.array(*[F.struct(F.lit(p).alias("p"), phase(p).alias("s")) for p in range(1, width + 1)])
-    letter = lambda c: F.sum((F.length("s") - F.length(F.replace(F.col("s"), F.lit(c), F.lit("")))).cast("double")).alias(c)
-    tallied = views.sequences(spark, sf).select("lang", F.inline(places)).groupBy("lang", "p").agg(*[letter(c) for c in "ACGT"])
+    def tally(batches):
+        for batch in batches:
+            sums: dict = {}
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("sequence").to_pylist()):
+                letters = np.frombuffer((text or "").encode("utf-32-le"), np.uint32)
+                own = sums.setdefault(lang, np.zeros((width, 4), np.int64))
+                for p in range(width):
+                    own[p] += [np.count_nonzero(letters[p::width] == ord(c)) for c in "ACGT"]
+            for lang, own in sums.items():
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * width, pa.string()), "p": pa.array(range(1, width + 1), pa.int32()), **{c: pa.array(own[:, i].astype(float)) for i, c in enumerate("ACGT")}})
+
+    parts = views.sequences(spark, sf).select("lang", "sequence").mapInArrow(tally, "lang string, p int, A double, C double, G double, T double")
+    tallied = parts.groupBy("lang", "p").agg(*[F.sum(c).alias(c) for c in "ACGT"])
     return tallied.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("p", F.array(*"ACGT").alias("row")))).alias("r")).select(
         F.upper("lang").alias("tf_symbol"), F.lit(0).cast("bigint").alias("ordinal"), F.col("lang").alias("motif_id"),
         F.col("lang").alias("motif_name"), F.col("r.row").alias("counts"))
@@ -808,6 +825,14 @@ def knn_graph(spark, sf):
     return neighbors.neighbor_graph(near, _vectors(spark, sf)).select("cell_id", "other", r6("weight").alias("weight"))
 
 
+@query
+def shared_neighbors(spark, sf):
+    """Cells close in both modalities: raw values as expression, positive dimensions as sparse access."""
+    access = views.expression(spark, sf).filter("value > 0").select("cell_id", F.col("gene").alias("feature_id"), F.col("value").alias("count"))
+    graph = neighbors.shared_neighbors(_vectors(spark, sf), access, _dimensions(spark, sf), 15, 20, 10)
+    return graph.select("cell_id", "other", r6("weight").alias("weight"))
+
+
 @query
 def pca(spark, sf):
     return neighbors.principal_components(_vectors(spark, sf), 30).select("cell_id", F.posexplode("v").alias("component", "score"))

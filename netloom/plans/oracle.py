@@ -380,3 +380,5 @@ linked AS (SELECT DISTINCT p_brand || '/' || p_size AS gene, p_partkey AS part F
 profile AS (SELECT gene, cell_id, CASE WHEN max(access) <= 0.6 THEN 0.0 ELSE max(access) END AS value FROM linked JOIN scaled USING (part) GROUP BY ALL),
 grid AS (SELECT 'all' AS module, g.gene, s.s_suppkey AS cell_id, coalesce(p.value, 0.0) AS value
   FROM (SELECT DISTINCT gene FROM linked) g CROSS JOIN supplier s LEFT JOIN profile p ON p.gene = g.gene AND p.cell_id = s.s_suppkey)""", bounds("grid").replace("value <= 0", "value <= 0.6"))
+
+add("column_variance", f"SELECT gene, {r6('var_pop(value)')} AS variance FROM expr GROUP BY gene", RELU)
