@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass
+from functools import reduce
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -13,6 +15,7 @@ from ..operators import counts, graphs, neighborhoods, neighbors, orientation, p
 from ..session import cut_lineage
 from ..sources import files
 
+SAFE = " !$&(),;<>@`|+"  # what partition folders leave as it is
 GRAPHS, MANIFEST, NODE_VALUES = "graphs.parquet", "run_manifest.json", "node_values.parquet"
 
 
@@ -33,7 +36,9 @@ def named_pairs(pairs: DataFrame, genes: DataFrame) -> DataFrame:
 def run_modules(expr: DataFrame, genes: DataFrame, config: RunConfig, pair_prior: DataFrame | None = None,
                 target_prior: DataFrame | None = None, profiles: DataFrame | None = None, listed_modules: list[str] | None = None,
                 profiled: DataFrame | None = None) -> RunResult:
-    """Directed graphs (module, cell_id, n_genes, node_ptr, targets, topo_order).
+    """Directed graphs (module, cell_id, n_genes, node_ptr, targets, topo_order, fallback, direct_edges) and counters by module.
+
+    ``fallback`` marks a graph that no acyclic extension fits; ``direct_edges`` counts edges that the directed prior lists.
 
     ``pair_prior`` is (module, a, b, w) by name, ``target_prior`` the raw directed listing, ``profiles`` the second
     modality (module, cell_id, gene, value; zeros may be left out) of the genes in ``profiled`` (module, gene; those
@@ -78,19 +83,43 @@ def run_modules(expr: DataFrame, genes: DataFrame, config: RunConfig, pair_prior
     nodes = found.select("module", "cell_id").join(sizes, "module").select("module", "cell_id", "n_genes")
     # The fourth rule belongs to modules in which pairs remain forbidden.
     fourth = False if forbidden is None else frozenset(r["module"] for r in forbidden.select("module").distinct().toLocalIterator())
-    directed = orientation.directed_graphs(arcs, nodes, fourth)
+    directed = cut_lineage(orientation.directed_graphs(arcs, nodes, fourth))
     edges = directed.select("module", "cell_id", F.inline("edges"))
-    totals = None
+    counters = [sizes.select("module")]
+    per_module = lambda df, name: df.groupBy("module").agg(F.count(F.lit(1)).alias(name))
+    if allowed is not None:
+        counters.append(per_module(allowed, "listed_pairs"))
+    if joint:
+        counters.append(per_module(order, "profiled_genes"))
+    marks = directed.select("module", "cell_id", "fallback")
     if weights is not None:
         oriented = orientation.orient_by_prior(edges, weights)
-        totals = orientation.orientation_totals(oriented)
+        counters += [orientation.orientation_totals(oriented), per_module(weights, "supported_pairs")]
         edges = oriented.select("module", "cell_id", "src", "dst")
-    return RunResult(graphs.topological_orders(graphs.pack_graphs(edges, nodes)), totals)
+        direct = graphs.edges_in(edges, weights).groupBy("module", "cell_id").agg(F.count(F.lit(1)).alias("direct_edges"))
+        marks = marks.join(direct, ["module", "cell_id"], "left").withColumn("direct_edges", F.coalesce("direct_edges", F.lit(0)))
+    packed = graphs.topological_orders(graphs.pack_graphs(edges, nodes)).join(marks, ["module", "cell_id"])
+    return RunResult(packed, reduce(lambda x, y: x.join(y, "module", "left"), counters))
 
 
 def finished_modules(spark: SparkSession, result_dir: str, modules) -> set[str]:
     """Modules with both a result and a manifest."""
-    return {m for m in modules if files.exists(spark, f"{result_dir}/{m}/{GRAPHS}") and files.exists(spark, f"{result_dir}/{m}/{MANIFEST}")}
+    return {m for m in modules if m in written_modules(spark, f"{result_dir}/{GRAPHS}") and files.exists(spark, f"{result_dir}/{m}/{MANIFEST}")}
+
+
+def written_modules(spark: SparkSession, path: str) -> set[str]:
+    """Modules that have a partition in a table of results."""
+    return {unquote(n.partition("=")[2]) for n in files.names_in(spark, path, "module=*")}
+
+
+def read_by_module(spark: SparkSession, path: str, modules: list[str]) -> DataFrame:
+    """The partitions of some modules, the module as a string."""
+    return spark.read.option("basePath", path).parquet(*[f"{path}/module={quote(m, safe=SAFE)}" for m in modules]).withColumn("module", F.col("module").cast("string"))
+
+
+def _write_by_module(df: DataFrame, path: str) -> None:
+    """One job for all modules; only their own partitions are replaced. Rows of one module may come from many tasks."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("module").parquet(path)
 
 
 def joint_profiles(spark: SparkSession, module_dir: str, genes: DataFrame, cells: DataFrame, config: RunConfig) -> tuple[DataFrame, DataFrame]:
@@ -156,16 +185,16 @@ def run_directory(spark: SparkSession, module_dir: str, result_dir: str, config:
         result = cut_lineage(done.graphs.join(cells, "cell_id"))
         facts = {r["module"]: r.asDict() for r in result.groupBy("module").agg(
             F.count(F.lit(1)).alias("cell_count"), F.first("n_genes").alias("node_count"), F.sum(F.size("targets")).alias("edge_count"),
-            F.sum((F.get("topo_order", F.lit(0)) < 0).cast("int")).alias("cyclic_count")).toLocalIterator()}
-        totals = {} if done.counters is None else {r["module"]: r.asDict() for r in done.counters.toLocalIterator()}
+            F.sum((F.get("topo_order", F.lit(0)) < 0).cast("int")).alias("cyclic_count"), F.count_if("fallback").alias("fallback_count"),
+            *[F.sum("direct_edges").alias("direct_edge_count")] * ("direct_edges" in result.columns)).toLocalIterator()}
+        totals = {r["module"]: r.asDict() for r in done.counters.toLocalIterator()}
         names = {m: [] for m in pending}
         for r in genes.orderBy("module", "gene").toLocalIterator():
             names[r["module"]].append(r["name"])
+        _write_by_module(result, f"{result_dir}/{GRAPHS}")
+        if reduced:
+            _write_by_module(expr.filter(F.col("module").isin(list(reduced))).join(cells, "cell_id").select("module", "barcode", "gene", "value"), f"{result_dir}/{NODE_VALUES}")
         for module in pending:
-            result.filter(F.col("module") == module).drop("module").write.mode("overwrite").parquet(f"{result_dir}/{module}/{GRAPHS}")
-            if module in reduced:
-                expr.filter(F.col("module") == module).join(cells, "cell_id").select("barcode", "gene", "value").write.mode("overwrite").parquet(
-                    f"{result_dir}/{module}/{NODE_VALUES}")
             files.write_json(spark, f"{result_dir}/{module}/{MANIFEST}", {
                 "module_name": module, "use_nmf_applied": module in reduced, "node_names": names[module], **facts.get(module, {}), **totals.get(module, {}), **asdict(config)})
     return {m: json.loads(files.read_text(spark, f"{result_dir}/{m}/{MANIFEST}")) for m in listed}

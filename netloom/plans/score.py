@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import graphs, katz, priors
 from ..session import cut_lineage
 from ..sources import files
-from .run import GRAPHS, NODE_VALUES
+from .run import GRAPHS, NODE_VALUES, read_by_module, written_modules
 
 
 def score_cells(edges: DataFrame, expr: DataFrame, genes: DataFrame, alpha: float = 0.05, beta_mode: str = "expression",
@@ -26,14 +26,14 @@ def score_cells(edges: DataFrame, expr: DataFrame, genes: DataFrame, alpha: floa
 
 def _with_factors(spark, expr, genes, cells, modules: list[str], result_dir: str) -> tuple[DataFrame, DataFrame]:
     """Modules run on factors score their factors."""
-    for module in modules:
-        path = f"{result_dir}/{module}/{NODE_VALUES}"
-        if files.exists(spark, path):
-            other = F.col("module") != module
-            values = spark.read.parquet(path).join(cells, "barcode").select(F.lit(module).alias("module"), "cell_id", "gene", "value")
-            names = values.select("module", "gene").distinct().withColumn("name", F.format_string("factor_%03d", F.col("gene")))
-            expr, genes = expr.filter(other).unionByName(values), genes.filter(other).unionByName(names)
-    return expr, genes
+    path = f"{result_dir}/{NODE_VALUES}"
+    reduced = sorted(written_modules(spark, path) & set(modules))
+    if not reduced:
+        return expr, genes
+    other = ~F.col("module").isin(reduced)
+    values = read_by_module(spark, path, reduced).join(cells, "barcode").select("module", "cell_id", "gene", "value")
+    names = values.select("module", "gene").distinct().withColumn("name", F.format_string("factor_%03d", F.col("gene")))
+    return expr.filter(other).unionByName(values), genes.filter(other).unionByName(names)
 
 
 def in_every_module(expr: DataFrame, modules: int) -> DataFrame:
@@ -49,16 +49,12 @@ def build_scores(spark: SparkSession, module_dir: str, result_dir: str, out: str
     Graphs meet their values by barcode, not by row position.
     """
     listed = files.module_files(spark, module_dir)
-    missing = [m for m in listed if not files.exists(spark, f"{result_dir}/{m}/{GRAPHS}")]
+    missing = sorted(set(listed) - written_modules(spark, f"{result_dir}/{GRAPHS}"))
     if missing:
         raise FileNotFoundError(f"no results for {missing}")
     expr, genes, cells = files.read_modules(spark, listed)
     expr, genes = _with_factors(spark, expr, genes, cells, list(listed), result_dir)
-    packed = None
-    for module in listed:
-        one = spark.read.parquet(f"{result_dir}/{module}/{GRAPHS}").withColumn("module", F.lit(module))
-        packed = one if packed is None else packed.unionByName(one)
-    packed = packed.drop("cell_id").join(cells, "barcode")
+    packed = read_by_module(spark, f"{result_dir}/{GRAPHS}", list(listed)).drop("cell_id").join(cells, "barcode")
     counted = packed.groupBy("module").agg(F.count(F.lit(1)).alias("g"), F.first("n_genes").alias("k")).join(
         expr.groupBy("module").agg(F.countDistinct("cell_id").alias("e"), F.countDistinct("gene").alias("v")), "module")
     wrong = counted.filter("g <> e or k <> v")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from ..functions.text import attribute_map, canonical_token, motif_tokens, strip_version
 from ..operators.ranks import running_total
 from ..session import cut_lineage
+from . import coordinates
 
 SEQUENCE_BIN = 4096
 
@@ -92,30 +93,12 @@ def read_coordinates(spark: SparkSession, folder: str) -> tuple[DataFrame, DataF
     """Sparse counts (cell_id, feature_id, count), features and barcodes.
 
     ``folder`` holds counts.parquet, features.parquet (feature_id, name, gene_id, feature_type, interval, ordinal)
-    and barcodes.parquet (cell_id, barcode), or the MatrixMarket triple matrix.mtx, features.tsv, barcodes.tsv.
+    and barcodes.parquet (cell_id, barcode), or a matrix folder as ``coordinates`` reads it.
     """
     if exists(spark, f"{folder}/counts.parquet"):
         return tuple(spark.read.parquet(f"{folder}/{n}.parquet") for n in ("counts", "features", "barcodes"))
-    entries = spark.read.text(f"{folder}/matrix.mtx").filter("value rlike '^[0-9]'").select(F.split("value", r"\s+").alias("p"))
-    # The first numeric line is the matrix shape, not an entry.
-    shape = spark.read.text(f"{folder}/matrix.mtx").filter("value rlike '^[0-9]'").first()["value"]
-
-    def numbered(name: str) -> DataFrame:
-        """Lines with their 1-based number, counted inside file blocks and over the blocks before."""
-        lines = spark.read.text(f"{folder}/{name}.tsv").select(
-            F.lit(0).alias("_all"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"),
-            F.split("value", "\t").alias("p"))
-        return running_total(lines, ["_all"], "_block", [F.col("_at")], F.lit(1), "_i").withColumn("_i", (F.col("_i") + 1).cast("bigint"))
-
-    counts = entries.filter(F.concat_ws(" ", "p") != " ".join(shape.split())).select(
-        F.get("p", F.lit(1)).cast("bigint").alias("cell_id"), F.get("p", F.lit(0)).cast("bigint").alias("feature_id"),
-        F.get("p", F.lit(2)).cast("double").alias("count"))
-    field = lambda i: F.get("p", F.lit(i))
-    features = numbered("features").select(
-        F.col("_i").cast("bigint").alias("feature_id"), field(1).alias("name"), field(0).alias("gene_id"), field(2).alias("feature_type"),
-        F.concat(field(3), F.lit(":"), field(4), F.lit("-"), field(5)).alias("interval"), F.col("_i").cast("bigint").alias("ordinal"))
-    barcodes = numbered("barcodes").select(F.col("_i").cast("bigint").alias("cell_id"), field(0).alias("barcode"))
-    return counts, features, barcodes
+    counts, features, barcodes = (coordinates.read_table(spark, folder, t) for t in ("counts", "features", "barcodes"))
+    return counts.drop("feature_type"), features, barcodes
 
 
 def read_annotation(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

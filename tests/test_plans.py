@@ -50,10 +50,13 @@ def test_priors_change_networks(spark, tmp_path):
     write(tmp_path / "module_M001_expression_tf_target_prior.csv", ["tf_module_column", "gene_module_column", "tf_target_score"], [["B", "A", 0.9]])
     config = RunConfig(use_pair_prior=True, tf_prior_mode="motif_prior")
     run_directory(spark, str(tmp_path), str(tmp_path / "r"), config)
-    rows = spark.read.parquet(str(tmp_path / "r" / "module_M001_expression" / "graphs.parquet")).collect()
+    rows = spark.read.parquet(str(tmp_path / "r" / "graphs.parquet" / "module=module_M001_expression")).collect()
     assert len(rows) == 80 and all(r.targets in ([], [0]) for r in rows) and any(r.targets for r in rows)
     facts = json.loads((tmp_path / "r" / "module_M001_expression" / "run_manifest.json").read_text())
     assert facts["oriented_edges"] == facts["candidate_edges"] > 0
+    drawn = [(s, t) for r in rows for s in range(r.n_genes) for t in r.targets[r.node_ptr[s] : r.node_ptr[s + 1]]]
+    assert facts["direct_edge_count"] == sum(e == (1, 0) for e in drawn) == sum(r.direct_edges for r in rows) > 0
+    assert facts["supported_pairs"] == facts["listed_pairs"] == 1 and facts["fallback_count"] == sum(r.fallback for r in rows)
 
 
 def test_joint_modality(spark, tmp_path):
