@@ -51,7 +51,7 @@ def centred_ranks(entries: DataFrame, listed: DataFrame, group: Sequence[str], n
     ``spread`` (sum of squared deviations) over all cells; they come from the tie table alone.
     """
     group = list(group)
-    blocks = blocks_of_ties(zero_filled_ties(entries, listed, group, n_cells, value), group, value)
+    blocks = cut_lineage(blocks_of_ties(zero_filled_ties(entries, listed, group, n_cells, value), group, value))  # read for facts and ranks
     below = F.sum(F.when(F.col(value) < 0, F.col("tie_size")).otherwise(F.lit(0)))
     zeros = F.sum(F.when(F.col(value) == 0, F.col("tie_size")).otherwise(F.lit(0)))
     rank = F.col("tie_start") + (F.col("tie_size") + 1) / F.lit(2.0)
@@ -60,6 +60,7 @@ def centred_ranks(entries: DataFrame, listed: DataFrame, group: Sequence[str], n
         (below + (zeros + 1) / F.lit(2.0)).alias("zero_rank"), mean.alias("_mean"), F.max("n").alias("n"),
         (F.sum(F.col("tie_size") * rank * rank) - F.max("n") * mean * mean).alias("spread"),
     ).select(*group, "zero_rank", (F.col("_mean") - F.col("zero_rank")).alias("mean"), "spread", "n")
+    facts = cut_lineage(facts)
     ranks = blocks.filter(F.col(value) != 0).join(facts.select(*group, "zero_rank"), group).select(
         *group, value, "tie_size", (rank - F.col("zero_rank")).alias(out))
     return join_ties(stored(entries, value), ranks, group, value).drop("tie_size"), facts

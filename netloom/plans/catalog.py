@@ -847,3 +847,89 @@ def lsi(spark, sf):
 def nmf(spark, sf):
     cells, _ = neighbors.nonnegative_factors(views.expression(spark, sf), 8)
     return cells.select("cell_id", F.posexplode("v").alias("component", "weight"))
+
+
+# --- filters, names and identities ---------------------------------------------------------------------------
+
+@query
+def pair_floor(spark, sf):
+    """Listed pairs at or over a strength, and the same pairs with every weight 1."""
+    part = views.table(spark, sf, "part")
+    raw = part.select(F.col("p_brand").alias("gene_left"), F.concat(F.lit("Brand#"), F.col("p_size").cast("string")).alias("gene_right"), (F.col("p_size") / 50.0).alias("prior_strength"))
+    strong = priors.strong_pairs(priors.pair_prior(raw), 0.4).select("a", "b", r6("w").alias("w"), F.lit("weighted").alias("mode"))
+    return strong.unionByName(priors.strong_pairs(priors.pair_prior(raw), 0.4, True).select("a", "b", "w", F.lit("binary").alias("mode")))
+
+
+@query
+def usable_links(spark, sf):
+    """Parts as links of their brand to their type and size: passed, positive, known, the strongest of each peak."""
+    part = views.table(spark, sf, "part")
+    links = part.select(
+        F.col("p_brand").alias("gene_module_column"), F.concat_ws(" ", F.lit(" "), "p_type", "p_size").alias("peak_name"),
+        ((F.col("p_retailprice") - 950.0) / 1000.0).cast("string").alias("peak_gene_corr"), (F.col("p_size") > 10).cast("string").alias("association_pass"))
+    genes = part.filter("p_brand <> 'Brand#3'").select(F.lit("all").alias("module"), F.col("p_brand").alias("gene"), F.col("p_brand").alias("name")).distinct()
+    return priors.usable_links(links, genes).select("gene", "peak_name", r6("weight").alias("weight"))
+
+
+@query
+def weighted_profiles(spark, sf):
+    """Second-modality values as weighted sums of the peaks' access, small ones set to zero and left out."""
+    part, access = views.table(spark, sf, "part"), views.part_counts(spark, sf)
+    links = part.select(F.lit("all").alias("module"), F.concat_ws("/", "p_brand", "p_size").alias("gene"), F.col("p_partkey").alias("peak_name"), ((F.col("p_size") - 5) / 50.0).alias("weight"))
+    scaled = normalize.open_scale(access, "feature_id").select(F.col("feature_id").alias("peak_name"), "cell_id", "access")
+    return priors.gene_profiles(links, scaled, "weighted_sum", 0.3).filter("value <> 0").select("gene", "cell_id", r6("value").alias("value"))
+
+
+@query
+def feature_type(spark, sf):
+    """Counts of one kind of feature."""
+    listed = views.table(spark, sf, "part").select(F.col("p_partkey").alias("feature_id"), F.col("p_type").alias("feature_type"))
+    return features.of_type(views.part_counts(spark, sf), listed, "PROMO").select("cell_id", "feature_id", "count")
+
+
+@query
+def auto_log(spark, sf):
+    """A matrix that looks like counts is scaled and logged; the same matrix already logged is left as it is."""
+    counts_in = views.part_counts(spark, sf).select("cell_id", "feature_id", F.col("count").alias("value"))
+    logged, mode = normalize.auto_log(counts_in)
+    same, kept = normalize.auto_log(counts_in.withColumn("value", F.log1p("value")))
+    show = lambda df, m: df.select("cell_id", "feature_id", r6("value").alias("value"), F.lit(m).alias("mode"))
+    return show(logged, mode).unionByName(show(same, kept))
+
+
+@query
+def local_ids(spark, sf):
+    """Peaks met by any candidate pair, each once; their candidates by the peak's own id on its time line."""
+    spans = views.line_intervals(spark, sf)
+    met = intervals.two_tier_candidates(views.order_anchors(spark, sf), spans, 5, 20)
+    own = intervals.candidate_ids(met).join(spans.select("peak_id", (F.col("start") * 1000 + F.col("end")).alias("local_id")), "peak_id").filter("local_id % 10 <> 3")
+    return intervals.to_local_ids(met.select("gene_id", "peak_id", "tier"), own).groupBy("local_id", "tier").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+@query
+def module_names(spark, sf):
+    """Module and its id from the path of an expression file; other paths give neither."""
+    path = F.when(F.col("p_size") > 5, F.concat(F.lit("s3://b/x/module_"), F.col("p_brand"), F.lit("_expression.csv"))).otherwise(F.concat("p_type", F.lit("/other.csv")))
+    named = views.table(spark, sf, "part").select(path.alias("path")).distinct().withColumn("module", text.module_of_path(F.col("path")))
+    return named.select("path", "module", text.module_id(F.col("module")).alias("module_id"))
+
+
+@query
+def access_links(spark, sf):
+    """The links behind gene activity: promoters with their distance, the kept distal peaks with score and rank."""
+    genes = views.expression(spark, sf).select(F.col("gene").alias("gene_id")).distinct()
+    anchors = genes.select("gene_id", F.lit("chr1").alias("chrom"), (F.col("gene_id") * 1000).cast("bigint").alias("pos"))
+    peaks = genes.select(F.col("gene_id").alias("peak_id"), F.lit("chr1").alias("chrom"),
+                         (F.col("gene_id") * 1000).cast("bigint").alias("start"), (F.col("gene_id") * 1000 + 400).cast("bigint").alias("end"))
+    near = intervals.two_tier_candidates(anchors, peaks, 500, 6000)
+    side = lambda name: views.expression(spark, sf).select(F.col("gene").alias(name), "cell_id", "value")
+    _, links = intervals.gene_access_support(near, side("gene_id"), side("peak_id"), views.table(spark, sf, "embeddings").count(), 5)
+    return links.select("gene_id", "peak_id", "link_kind", F.col("distance_to_anchor").alias("distance"), r6("link_score").alias("score"), F.col("retained_rank").cast("int").alias("retained_rank"))
+
+
+@query
+def separating_sets(spark, sf):
+    """All sets of two and of three of the sizes that a brand comes in, in order."""
+    pools = views.table(spark, sf, "part").groupBy("p_brand").agg(F.array_sort(F.collect_set("p_size")).alias("pool"))
+    sets = [skeleton.combinations_of(pools, "pool", k).select("p_brand", F.array_join(F.transform("zs", lambda z: z.cast("string")), ",").alias("members"), F.lit(k).alias("size")) for k in (2, 3)]
+    return sets[0].unionByName(sets[1])

@@ -382,3 +382,24 @@ grid AS (SELECT 'all' AS module, g.gene, s.s_suppkey AS cell_id, coalesce(p.valu
   FROM (SELECT DISTINCT gene FROM linked) g CROSS JOIN supplier s LEFT JOIN profile p ON p.gene = g.gene AND p.cell_id = s.s_suppkey)""", bounds("grid").replace("value <= 0", "value <= 0.6"))
 
 add("column_variance", f"SELECT gene, {r6('var_pop(value)')} AS variance FROM expr GROUP BY gene", RELU)
+
+add("pair_floor", f"""SELECT a, b, {r6('w')} AS w, 'weighted' AS mode FROM p WHERE w >= 0.4 UNION ALL SELECT a, b, 1.0, 'binary' FROM p""",
+    "p AS (SELECT least(p_brand, 'Brand#' || p_size) AS a, greatest(p_brand, 'Brand#' || p_size) AS b, max(least(greatest(p_size / 50.0::DOUBLE, 0.0), 1.0)) AS w FROM part WHERE p_brand <> 'Brand#' || p_size AND p_size > 0 GROUP BY 1, 2)")
+add("usable_links", f"""SELECT p_brand AS gene, p_type || ' ' || p_size AS peak_name, {r6('max((p_retailprice - 950.0) / 1000.0)')} AS weight FROM part
+WHERE p_size > 10 AND p_retailprice > 950.0 AND p_brand <> 'Brand#3' GROUP BY 1, 2""")
+add("weighted_profiles", f"SELECT gene, cell_id, {r6('value')} AS value FROM profile WHERE value > 0.3", SPARSE,
+    "high AS (SELECT feature_id, quantile_cont(count, 0.95) AS p95 FROM sparse WHERE count > 0 GROUP BY feature_id)",
+    "scaled AS (SELECT cell_id, feature_id, CASE WHEN p95 > 0 THEN least(greatest(ln(1 + count) / ln(1 + p95), 0.0), 1.0) ELSE 0.0 END AS access FROM sparse JOIN high USING (feature_id))",
+    "profile AS (SELECT p_brand || '/' || p_size AS gene, cell_id, sum(greatest((p_size - 5) / 50.0::DOUBLE, 0.0) * access) AS value FROM scaled JOIN part ON p_partkey = feature_id GROUP BY ALL)")
+add("feature_type", "SELECT cell_id, feature_id, count FROM sparse JOIN part ON p_partkey = feature_id WHERE p_type = 'PROMO'", SPARSE)
+add("auto_log", f"""SELECT cell_id, feature_id, {r6('ln(1 + count * (1e4 / sum(count) OVER (PARTITION BY cell_id)))')} AS value, 'counts_to_log1p' AS mode FROM sparse
+UNION ALL SELECT cell_id, feature_id, {r6('ln(1 + count)')}, 'already_log_like' FROM sparse""", SPARSE)
+add("local_ids", """SELECT s * 1000 + e AS local_id, CASE WHEN s <= pos + 5 AND e >= pos - 5 THEN 'promoter' ELSE 'distal' END AS tier, count(*) AS pairs
+FROM anchor a JOIN span p ON p.chrom = a.chrom AND p.s <= a.pos + 20 AND p.e >= a.pos - 20 WHERE (s * 1000 + e) % 10 <> 3 GROUP BY ALL""", TIMELINE)
+add("module_names", """SELECT DISTINCT CASE WHEN p_size > 5 THEN 's3://b/x/module_' || p_brand || '_expression.csv' ELSE p_type || '/other.csv' END AS path,
+  CASE WHEN p_size > 5 THEN 'module_' || p_brand || '_expression' ELSE '' END AS module, CASE WHEN p_size > 5 THEN p_brand ELSE '' END AS module_id FROM part""")
+add("separating_sets", """SELECT x.p_brand, x.v || ',' || y.v AS members, 2 AS size FROM one x JOIN one y ON y.p_brand = x.p_brand AND y.v > x.v
+UNION ALL SELECT x.p_brand, x.v || ',' || y.v || ',' || z.v, 3 FROM one x JOIN one y ON y.p_brand = x.p_brand AND y.v > x.v JOIN one z ON z.p_brand = x.p_brand AND z.v > y.v""",
+    "one AS (SELECT DISTINCT p_brand, p_size AS v FROM part)")
+ORACLE["access_links"] = ORACLE["gene_activity"].rpartition("SELECT c.gene AS gene_id")[0] + f"""SELECT gene_id, peak_id, 'promoter' AS link_kind, distance, 1.0 AS score, 0 AS retained_rank FROM near WHERE promoter
+UNION ALL SELECT gene_id, peak_id, 'distal', distance, {r6('score')}, rank::INT FROM best JOIN near USING (gene_id, peak_id)"""
