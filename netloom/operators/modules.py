@@ -1,26 +1,28 @@
 """Gene modules: average-linkage clusters of topological overlap under a size policy, and their pair priors.
 
-Everything a module decision needs is in the genes x genes covariance: correlation, overlap of any subset,
-variances and the correlation of module centroids.  The covariance comes from a distributed Gram; one group per
-dataset then holds genes^2 numbers, whatever the number of cells.
+Everything a module decision needs is in the genes x genes covariance: correlation, overlap of any subset, variances and
+the correlation of module centroids.  It stays a table of pairs.  Too large clusters are all cut again at the same time,
+level by level, each level by rounds over cluster pairs; no gene count is refused and no dataset is one group.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import support_label
-from .correlation import adjacency, correlations, dense_vectors, gram
+from ..session import written
+from .correlation import adjacency, correlations, dense_vectors, gram, topological_overlap
+from .features import order_in_group
+from .linkage import linkage, roots
 from .normalize import keep_threshold
 from .ranks import group_stats
 
-GENE_LIMIT = 8192
 # Deepest cut, its step, smallest usable norms, kept shares of pairs.
 LEAST_CUT, CUT_STEP = 0.35, 0.05
 TINY = 1e-8
 STRONG_SHARE, AMBIGUOUS_SHARE, PROMOTER_SHARE = 0.03, 0.15, 0.20
+FETCHED, HELD = 32, 256  # rows of small clusters fetched at once, and held
 
 
 def covariances(expr: DataFrame, n_genes: int) -> DataFrame:
@@ -39,115 +41,178 @@ def sparse_covariances(expr: DataFrame, n_genes: int, n_cells: int) -> DataFrame
     return joined.select("module", "i", "j", (F.col("product") - taken).alias("cov"))
 
 
-def average_linkage(distance: np.ndarray) -> list[tuple[int, int, float]]:
-    """Merges (kept, absorbed, height) in order; the lowest index pair goes first on ties."""
-    d = distance.astype(float).copy()
-    np.fill_diagonal(d, np.inf)
-    size = np.ones(len(d))
-    merges = []
-    for _ in range(len(d) - 1):
-        a, b = sorted(divmod(int(np.argmin(d)), len(d)))
-        merges.append((a, b, float(d[a, b])))
-        joined = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
-        d[a], d[:, a] = joined, joined
-        d[b], d[:, b] = np.inf, np.inf
-        d[a, a] = np.inf
-        size[a] += size[b]
-    return merges
-
-
-def flat_clusters(n: int, merges, height: float | None = None, at_most: int | None = None) -> list[np.ndarray]:
-    """Clusters below a cut, or the fewest merges leaving at most a number of clusters; ordered by first member."""
-    if at_most is not None:
-        height = sorted(h for *_, h in merges)[n - at_most - 1] if at_most < n else -np.inf
-    owner = np.arange(n)
-    for a, b, h in merges:
-        if h <= height:
-            owner[owner == owner[b]] = owner[a]
-    return [np.flatnonzero(owner == o) for o in pd.unique(owner)]
-
-
-def _clusters(corr: np.ndarray, genes: np.ndarray, power: float, *cuts: dict) -> list[list[np.ndarray]]:
-    """Clusters of a gene subset by the overlap within it, one list per cut."""
-    a = np.abs(corr[np.ix_(genes, genes)]) ** power
-    np.fill_diagonal(a, 0.0)
-    k = a.sum(axis=1)
-    below = np.minimum.outer(k, k) + 1.0 - a
-    tom = np.where(below > TINY, (a @ a + a) / np.where(below > TINY, below, 1.0), 0.0)
-    np.fill_diagonal(tom, 1.0)
-    merges = average_linkage(np.clip(1.0 - tom, 0.0, 2.0))
-    return [[genes[c] for c in flat_clusters(len(genes), merges, **cut)] for cut in cuts]
-
-
-def _split(cov, corr, genes, largest: int, power: float, cut: float) -> list[np.ndarray]:
-    if len(genes) <= largest:
-        return [genes]
-    parts, forced = _clusters(corr, genes, power, {"height": cut}, {"at_most": -(-len(genes) // largest)})
-    if len(parts) == 1:
-        parts = forced
-    if len(parts) == 1:
-        order = genes[np.argsort(cov[genes, genes], kind="stable")[::-1]]
-        return [order[i:i + largest] for i in range(0, len(order), largest)]
-    deeper = max(LEAST_CUT, cut - CUT_STEP)
-    return [m for part in parts for m in _split(cov, corr, part, largest, power, deeper)]
-
-
-def _merge_small(cov, small: list[np.ndarray], least: int, largest: int) -> list[np.ndarray]:
-    """Join small modules to the best-correlated centroid until large enough; what stays small is dropped."""
-    def centroid_corr(p, q):
-        between = cov[np.ix_(p, q)].mean()
-        scale = np.sqrt(cov[np.ix_(p, p)].mean() * cov[np.ix_(q, q)].mean())
-        return between / scale if scale > TINY else 0.0
-
-    waiting = sorted(small, key=len, reverse=True)
-    kept = []
-    while waiting:
-        current = waiting.pop(0)
-        while len(current) < least:
-            fits = [i for i, m in enumerate(waiting) if len(current) + len(m) <= largest]
-            if not fits:
+def gene_correlations(cov: DataFrame) -> DataFrame:
+    """(module, i, j, corr) for i <= j from covariances; genes that do not vary correlate 0 with others."""
+    norm = cov.filter("i = j").select("module", F.col("i").alias("g"), F.sqrt("cov").alias("s"))
+    side = lambda g: norm.select("module", F.col("g").alias(g), F.when(F.col("s") > TINY, F.col("s")).otherwise(F.lit(1.0)).alias(f"_{g}"))
+    ratio = F.col("cov") / F.col("_i") / F.col("_j")
+    clipped = F.least(F.greatest(ratio, F.lit(-1.0)), F.lit(1.0))
+    return cov.join(side("i"), ["module", "i"]).join(side("j"), ["module", "j"]).select(
+        "module", "i", "j", F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(clipped).alias("corr"))
+
+
+def _distances(corr: DataFrame, parts: DataFrame, power: float) -> DataFrame:
+    """(set, a, b, distance) between the genes of each set, by the overlap within it; a, b are genes, a < b."""
+    placed = written(order_in_group(parts, ["set"], "gene", "place").withColumn("place", (F.col("place") - 1).cast("int")))
+    width = placed.agg(F.max("place")).first()[0] + 1
+    side = lambda g: placed.select("dataset", "set", F.col("gene").alias(g), F.col("place").alias(f"_{g}"))
+    inside = corr.withColumnRenamed("module", "dataset").join(side("i"), ["dataset", "i"]).join(side("j"), ["dataset", "set", "j"])
+    local = inside.select(F.col("set").alias("module"), F.col("_i").alias("i"), F.col("_j").alias("j"), "corr")
+    overlap = topological_overlap(adjacency(local, power), width).filter("i < j").withColumnRenamed("module", "set")
+    name = lambda p, g: placed.select("set", F.col("place").alias(p), F.col("gene").alias(g))
+    distance = F.least(F.greatest(F.lit(1.0) - F.col("tom"), F.lit(0.0)), F.lit(2.0))
+    return overlap.join(name("i", "a"), ["set", "i"]).join(name("j", "b"), ["set", "j"]).select("set", "a", "b", distance.alias("distance"))
+
+
+def _renamed(labelled: DataFrame, label: str) -> DataFrame:
+    """(dataset, set, gene): a set for each label, named by its dataset and first gene."""
+    first = F.min("gene").over(W.partitionBy("set", label))
+    return labelled.select("dataset", F.concat_ws("/", "dataset", first).alias("set"), "gene")
+
+
+def _forced(distances: DataFrame, whole: DataFrame, variance: DataFrame, largest: int) -> tuple[DataFrame, DataFrame]:
+    """Sets that no cut divides: the fewest merges that leave ceil(size / largest) clusters; where equal heights leave
+    one cluster, pieces of ``largest`` genes by falling variance.  Returns (parts to look at again, final pieces)."""
+    need = whole.groupBy("set").agg(F.count(F.lit(1)).alias("size")).withColumn("take", F.col("size") - F.ceil(F.col("size") / F.lit(largest)))
+    merges = linkage(distances.join(need.select("set"), "set", "left_semi"))
+    # One row per gene and set at most, so this order is as wide as a matrix has genes.
+    ranked = merges.withColumn("_k", F.row_number().over(W.partitionBy("set").orderBy("height")))
+    limit = ranked.join(need, "set").filter("_k = take").select("set", F.col("height").alias("limit"))
+    labelled = written(roots(merges.join(limit, "set").filter("height <= limit"), whole, "gene"))
+    single = labelled.groupBy("set").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo = hi").select("set")
+    cut_up = labelled.join(single, "set", "left_semi").join(variance, ["dataset", "gene"])
+    order = F.row_number().over(W.partitionBy("set").orderBy(F.desc("variance"), "gene"))
+    pieces = cut_up.withColumn("piece", F.floor((order - 1) / F.lit(largest)))
+    return _renamed(labelled.join(single, "set", "left_anti"), "root"), _renamed(pieces, "piece")
+
+
+def _cut_large(corr: DataFrame, variance: DataFrame, parts: DataFrame, power: float, cut: float, largest: int) -> DataFrame:
+    """Parts (dataset, set, gene) of at most ``largest`` genes: larger ones are cut again, deeper at each level."""
+    final: list[DataFrame] = []
+    while True:
+        large = parts.groupBy("set").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > largest).select("set")
+        final.append(parts.join(large, "set", "left_anti"))
+        parts = written(parts.join(large, "set", "left_semi"))
+        if parts.isEmpty():
+            break
+        distances = written(_distances(corr, parts, power))
+        labelled = written(roots(linkage(distances, cut), parts, "gene"))
+        whole = written(labelled.groupBy("set").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo = hi").select("set"))
+        divided = _renamed(labelled.join(whole, "set", "left_anti"), "root")
+        if not whole.isEmpty():
+            again, pieces = _forced(distances, parts.join(whole, "set", "left_semi"), variance, largest)
+            divided, final = divided.unionByName(again), [*final, pieces]
+        parts, cut = written(divided), max(LEAST_CUT, cut - CUT_STEP)
+    out = final[0]
+    for more in final[1:]:
+        out = out.unionByName(more)
+    return written(out)
+
+
+class _Rows:
+    """Rows of a symmetric table (p, q, total) of clusters: fetched in batches, at most ``HELD`` in memory."""
+
+    def __init__(self, table: DataFrame, k: int):
+        self.table, self.k, self.held = table, k, {}
+
+    def take(self, p: int, soon: list[int]) -> np.ndarray:
+        if p not in self.held:
+            wanted = [p, *[q for q in soon if q not in self.held and q != p][: FETCHED - 1]]
+            while len(self.held) + len(wanted) > HELD:
+                del self.held[next(iter(self.held))]
+            for r in self.table.filter(F.col("p").isin(wanted)).collect():
+                row = self.held.setdefault(r["p"], np.zeros(self.k))
+                row[r["q"]] = r["total"]
+        return self.held.pop(p)
+
+
+def _gathered(sizes: np.ndarray, own: np.ndarray, rows: _Rows, least: int, largest: int) -> np.ndarray:
+    """Number of the group each small cluster joins, -1 for none.  Clusters come by falling size.
+
+    The first free cluster takes, one after another, the free cluster with the best correlation of centroids among those
+    that still fit, the earlier one on ties, until the group is large enough or nothing fits.  Every cluster's row of
+    sums is used once.
+    """
+    free, group = np.ones(len(sizes), bool), np.full(len(sizes), -1)
+    for seed in range(len(sizes)):
+        if not free[seed]:
+            continue
+        free[seed] = False
+        taken, size, inner = [seed], int(sizes[seed]), float(own[seed])
+        row = rows.take(seed, np.flatnonzero(free)[:FETCHED].tolist()) if size < least else None
+        while size < least:
+            fits = np.flatnonzero(free & (sizes + size <= largest))
+            if not len(fits):
                 break
-            best = max(fits, key=lambda i: (centroid_corr(current, waiting[i]), -i))
-            current = np.concatenate([current, waiting.pop(best)])
-        if len(current) >= least:
-            kept.append(np.unique(current))
-    return kept
-
-
-def decide_modules(cov: np.ndarray, power: float, cut: float, least: int, largest: int) -> list[np.ndarray]:
-    norm = np.sqrt(np.diag(cov))
-    corr = np.clip(cov / np.where(norm > TINY, norm, 1.0) / np.where(norm > TINY, norm, 1.0)[:, None], -1.0, 1.0)
-    np.fill_diagonal(corr, 1.0)
-    everything = np.arange(len(cov))
-
-    def policy(raw):
-        parts = [m for module in raw for m in _split(cov, corr, module, largest, power, cut)]
-        kept = [m for m in parts if len(m) >= least]
-        kept += _merge_small(cov, [m for m in parts if len(m) < least], least, largest)
-        return sorted((m for m in kept if least <= len(m) <= largest), key=lambda m: (-len(m), int(m[0])))
-
-    first = _clusters(corr, everything, power, {"height": cut})[0] if len(cov) > 1 else [everything]
-    return policy(first) or policy([everything])
+            scale = np.sqrt(np.maximum(inner / size**2 * own[fits] / sizes[fits] ** 2, 0.0))
+            score = np.where(scale > TINY, row[fits] / (size * sizes[fits]) / np.where(scale > TINY, scale, 1.0), 0.0)
+            best = int(fits[np.argmax(score)])
+            free[best] = False
+            inner += 2 * row[best] + own[best]
+            size += int(sizes[best])
+            taken.append(best)
+            if size < least:
+                row = row + rows.take(best, fits[np.argsort(-score, kind="stable")[:FETCHED]].tolist())
+        if size >= least:
+            group[taken] = seed
+    return group
+
+
+def _join_small(cov: DataFrame, small: DataFrame, least: int, largest: int) -> DataFrame:
+    """Members (dataset, set, gene) of the groups that small clusters form; what stays small is left out."""
+    spark = small.sparkSession
+    listed = small.groupBy("dataset", "set").agg(F.count(F.lit(1)).alias("n"), F.min("gene").alias("first"))
+    clusters = written(listed.withColumn("p", F.row_number().over(W.partitionBy("dataset").orderBy(F.desc("n"), "first")) - 1))
+    member = small.join(clusters.select("set", "p"), "set").select("dataset", "gene", "p")
+    side = lambda g, p: member.select("dataset", F.col("gene").alias(g), F.col("p").alias(p))
+    both = cov.withColumnRenamed("module", "dataset").join(side("i", "p"), ["dataset", "i"]).join(side("j", "q"), ["dataset", "j"])
+    # Within a cluster a pair of genes counts twice, between two clusters once for each of their orders.
+    turned = both.filter("i <> j").select("dataset", F.col("q").alias("p"), F.col("p").alias("q"), "cov")
+    # Sorted, so that a fetch reads only the row groups that hold its rows.
+    sums = written(both.select("dataset", "p", "q", "cov").unionByName(turned).groupBy("dataset", "p", "q").agg(F.sum("cov").alias("total"))
+                       .repartitionByRange("dataset", "p").sortWithinPartitions("dataset", "p"))
+    found = []
+    for (dataset,) in clusters.select("dataset").distinct().collect():
+        own = clusters.filter(F.col("dataset") == dataset).join(
+            sums.filter((F.col("dataset") == dataset) & (F.col("p") == F.col("q"))).select("p", "total"), "p").orderBy("p").select("n", "total").toPandas()
+        table = sums.filter(F.col("dataset") == dataset)
+        group = _gathered(own["n"].to_numpy(), own["total"].to_numpy(), _Rows(table, len(own)), least, largest)
+        found += [(dataset, p, int(g)) for p, g in enumerate(group) if g >= 0]
+    groups = spark.createDataFrame(found, "dataset string, p int, seed int")
+    return member.join(groups, ["dataset", "p"]).select(
+        "dataset", F.concat_ws("/", "dataset", F.lit("joined"), "seed").alias("set"), "gene")
+
+
+def _sized(cov: DataFrame, corr: DataFrame, variance: DataFrame, raw: DataFrame, power: float, cut: float, least: int, largest: int) -> DataFrame:
+    """Clusters (dataset, set, gene) of ``least`` to ``largest`` genes from raw ones."""
+    parts = _cut_large(corr, variance, raw, power, cut, largest)
+    small = written(parts.groupBy("set").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < least).select("set"))
+    kept = parts.join(small, "set", "left_anti")
+    if not small.isEmpty():
+        kept = kept.unionByName(_join_small(cov, parts.join(small, "set", "left_semi"), least, largest))
+    fits = kept.groupBy("set").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(least, largest)).select("set")
+    return written(kept.join(fits, "set", "left_semi"))
 
 
 def gene_modules(cov: DataFrame, power: float = 6, cut: float = 0.7, least: int = 20, largest: int = 120) -> DataFrame:
-    """(dataset, module_no, gene, order_in_module) from the covariance of each dataset."""
-    def build(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        n = int(frame["j"].max()) + 1
-        if n > GENE_LIMIT:
-            raise ValueError(f"{n} genes exceed the {GENE_LIMIT} one covariance may hold; select top genes first")
-        full = np.zeros((n, n))
-        full[frame["i"], frame["j"]] = full[frame["j"], frame["i"]] = frame["cov"]
-        rows = [
-            (key[0], no, int(g), place)
-            for no, module in enumerate(decide_modules(full, power, cut, least, largest), start=1)
-            for place, g in enumerate(module, start=1)
-        ]
-        return pd.DataFrame(rows, columns=["dataset", "module_no", "gene", "order_in_module"])
-
-    return cov.select(F.col("module").alias("dataset"), "i", "j", "cov").groupBy("dataset").applyInPandas(
-        build, "dataset string, module_no int, gene int, order_in_module int"
-    )
+    """(dataset, module_no, gene, order_in_module) from the covariance of each dataset; larger modules come first, of
+    equal ones that with the lower first gene.  A dataset whose clusters all stay too small is taken as one cluster."""
+    cov = written(cov.select(F.col("module").cast("string").alias("module"), "i", "j", "cov"))
+    variance = cov.filter("i = j").select(F.col("module").alias("dataset"), F.col("i").alias("gene"), F.col("cov").alias("variance"))
+    corr = written(gene_correlations(cov))
+    everything = written(variance.select("dataset", F.concat_ws("/", "dataset", F.lit("all")).alias("set"), "gene"))
+    if everything.isEmpty():
+        return everything.select("dataset", F.lit(0).alias("module_no"), "gene", F.lit(0).alias("order_in_module"))
+    first = linkage(_distances(corr, everything, power), cut)
+    raw = written(_renamed(roots(first, everything, "gene"), "root"))
+    found = _sized(cov, corr, variance, raw, power, cut, least, largest)
+    rest = written(everything.join(found.select("dataset").distinct(), "dataset", "left_anti"))
+    if not rest.isEmpty():
+        found = found.unionByName(_sized(cov, corr, variance, rest, power, cut, least, largest))
+    sizes = found.groupBy("dataset", "set").agg(F.count(F.lit(1)).alias("n"), F.min("gene").alias("first"))
+    number = F.row_number().over(W.partitionBy("dataset").orderBy(F.desc("n"), "first"))  # one row per module
+    order = F.row_number().over(W.partitionBy("set").orderBy("gene"))  # at most ``largest`` rows
+    return found.join(sizes.select("set", number.alias("module_no")), "set").select("dataset", "module_no", "gene", order.alias("order_in_module"))
 
 
 def module_label(number: str = "module_no") -> Column:

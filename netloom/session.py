@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,9 +27,8 @@ def build_session(app: str = "netloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; a local one is set only where none is."""
-    spark = df.sparkSession
+def _checkpoint_folder(spark: SparkSession) -> str:
+    """The folder the cluster names; a local one is set only where none is."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
@@ -37,4 +37,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
             folder = tempfile.mkdtemp(prefix="netloom-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp"))
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint."""
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """A table beside the checkpoints, read again.  For loops: it has the size of its files, where a checkpoint keeps the
+    estimate of its plan, which joins multiply from round to round until the number itself takes seconds to work out."""
+    path = f"{_checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

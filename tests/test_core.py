@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netloom.functions import stats
-from netloom.operators import correlation, counts, graphs, intervals, katz, modules, motifs, neighborhoods, neighbors, orientation, ranks, skeleton
+from netloom.operators import correlation, counts, graphs, intervals, katz, motifs, neighborhoods, neighbors, orientation, ranks, skeleton
 
 
 def long(spark, x, module="m"):
@@ -267,16 +267,6 @@ def test_motif_strands():
     assert motifs._best_hit(motifs._encode("ANG"), motif, 0.85) is None
 
 
-def test_modules_policy():
-    rng = np.random.default_rng(1)
-    a, b = rng.normal(size=(2, 200, 1))
-    x = np.hstack([a + 0.2 * rng.normal(size=(200, 6)), b + 0.2 * rng.normal(size=(200, 5))])
-    centred = x - x.mean(0)
-    found = modules.decide_modules(centred.T @ centred, 6, 0.7, 3, 6)
-    assert [m.tolist() for m in found] == [list(range(6)), list(range(6, 11))]
-    assert all(len(m) <= 4 for m in modules.decide_modules(centred.T @ centred, 6, 0.7, 2, 4))
-
-
 def test_factors_of_many_partitions(spark):
     rng = np.random.default_rng(8)
     truth = np.maximum(rng.normal(size=(60, 3)), 0) @ np.maximum(rng.normal(size=(3, 7)), 0)
