@@ -148,22 +148,24 @@ def pieces(roles: list[int], texts: list[str | None], states: list[int], last: b
 
 
 def _placed(turns: DataFrame, block: int) -> DataFrame:
-    """Turns with their block: numbers in ranges; a range with far too many rows is cut by number and hash."""
+    """Turns with their block: numbers in ranges; only a range with far too many rows is cut by number and hash."""
     kind = turns.schema["conv_id"].dataType.simpleString()
+    if kind not in ("bigint", "int", "smallint", "tinyint"):
+        raise TypeError(f"conv_id must be a whole number, not {kind}")
     number = F.col("turn").cast("bigint")
     rows = turns.select(
         F.col("conv_id").cast("bigint").alias("conv"), number.alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     rows = rows.select(
         F.col("conv").isNull().cast("int").alias("none"), F.coalesce("conv", F.lit(0)).alias("conv"), F.coalesce("turn", F.lit(2**63 - 1)).alias("order"),
         F.xxhash64("role", "text").alias("tie"), "turn", "role", "text")
-    rows = rows.withColumn("part", F.floor(F.col("order") / block).cast("bigint"))
-    most = rows.groupBy("none", "conv", "part").count().where(F.col("count") > 4 * block).agg(F.max("count").alias("n")).first()["n"]
-    if kind not in ("bigint", "int", "smallint", "tinyint"):
-        raise TypeError(f"conv_id must be a whole number, not {kind}")
-    if most is None:
+    rows = rows.withColumn("part", F.expr(f"`order` div {block}L") - (F.col("order") % F.lit(block) < 0).cast("bigint"))
+    # A row for each 4 x block turns at most, most often none.
+    crowded = cut_lineage(rows.groupBy("none", "conv", "part").count().where(F.col("count") > 4 * block).select(
+        "none", "conv", "part", F.least(F.lit(40), F.length(F.bin(F.expr(f"count div {block}L")))).alias("bits")))
+    if crowded.isEmpty():
         return rows.withColumn("sub", F.lit(0).cast("bigint"))
-    bits = min(40, int(most // block).bit_length())  # many rows of one number: cut by the leading bits of the tie
-    return rows.withColumn("part", F.col("order")).withColumn("sub", F.shiftright("tie", 64 - bits))
+    sub = F.expr(f"pmod(`order`, {block}L) * shiftleft(1L, bits) + shiftright(tie, 64 - bits)")  # in the order of (order, tie)
+    return rows.join(crowded, ["none", "conv", "part"], "left").withColumn("sub", F.coalesce(sub, F.lit(0).cast("bigint"))).drop("bits")
 
 
 def _sorted(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
