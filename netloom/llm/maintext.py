@@ -1,7 +1,7 @@
 """Main text of web pages by scoring the element tree.
 
 Each paragraph has points for its length and commas, less the share of it that stands in links. It passes them to the
-element around it, half to the next one out, and less to those beyond. The element with the most points, less its own
+element around it, half to the next one out, a sixth to the third, and two thirds of the step before to each beyond. The element with the most points, less its own
 share of links, is the container; it stands for the ``article`` or ``main`` around it if there is one. Siblings that
 score well or look like paragraphs are kept with it. Menus, headers, footers, asides, notices, adverts, forms, scripts
 and reader comments are known by tag, role or by a word of their class or id, and never count.
@@ -10,14 +10,14 @@ Character references are decoded; white space inside a block becomes one space;
 space. Defined results: null or empty html gives an empty text, as does a page without any text to keep; equal scores go
 to the element that opens first; text outside any element counts as text of the page's root. Broken markup is read as
 browsers do it as far as needed: open paragraphs and list items end where the next begins, stray end tags are skipped,
-an unclosed comment or script runs to the end. Repeated rows get equal texts. Extra columns are ignored.
+an unclosed comment or script runs to the end. Nesting may be of any depth: the work grows with the page alone. Repeated rows get equal texts. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -80,6 +80,7 @@ def _is_junk(rest: str) -> bool:
 def parse(page: str) -> Tree:
     tree = Tree()
     stack: list[tuple[str, int, bool, bool]] = [("html", 0, False, False)]  # tag, element, skipped, in a link
+    places: dict[str, list[int]] = {}  # depths of the open elements of each tag
     buffer: list[str] = []
     linked = 0
 
@@ -100,17 +101,22 @@ def parse(page: str) -> Tree:
             if stack[-1][3]:
                 linked += len(text.strip())
 
-    def close_to(depth: int) -> None:
-        if any(entry[0] not in INLINE for entry in stack[depth:]):
-            flush()
+    def cut(depth: int) -> None:
+        for entry in stack[depth:]:
+            places[entry[0]].pop()
         del stack[depth:]
 
-    at, n = 0, len(page)
+    def nearest(tags: Iterable[str]) -> int:
+        """Depth of the innermost open element of these tags, 0 if there is none."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    at, n, last = 0, len(page), page.rfind(">")
     while at < n:
         low = page.find("<", at)
         if low < 0:
             break
-        m = TOKEN.match(page, low)
+        unended = low > last and page.startswith("</", low) and not re.match("[a-zA-Z]", page[low + 2 : low + 3])
+        m = None if unended else TOKEN.match(page, low)
         if not m:  # a bare "<"
             say(page[at : low + 1])
             at = low + 1
@@ -123,10 +129,11 @@ def parse(page: str) -> Tree:
         if m["end"] or m["end2"]:
             if tag == "br":
                 flush()
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    close_to(depth)
-                    break
+            depth = nearest((tag,))
+            if depth:
+                if any(entry[0] not in INLINE for entry in stack[depth:]):
+                    flush()
+                cut(depth)
             continue
         if tag in ("br", "hr"):
             flush()
@@ -147,12 +154,9 @@ def parse(page: str) -> Tree:
             closed, scope = CLOSES.get(tag, set()), SCOPES.get(tag, set())
             if tag not in SCOPES:
                 closed, scope = {"p"}, {"td", "th", "li", "article", "section", "div", "blockquote", "button", "table"}
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] in scope:
-                    break
-                if stack[depth][0] in closed:
-                    del stack[depth:]
-                    break
+            depth = nearest(closed)
+            if depth > nearest(scope):
+                cut(depth)
         rest = m["rest"] or ""
         _, above, skipped, in_link = stack[-1]
         if not skipped:
@@ -162,6 +166,7 @@ def parse(page: str) -> Tree:
             element = len(tree.tag)
             tree.tag.append(tag)
             tree.parent.append(above)
+        places.setdefault(tag, []).append(len(stack))
         stack.append((tag, element, skipped, in_link or tag == "a"))
     say(page[at:])
     flush()
@@ -171,20 +176,20 @@ def parse(page: str) -> Tree:
 def _best(tree: Tree) -> tuple[set[int], list[float], list[float]]:
     """Elements whose contents are kept, scores, and link shares."""
     n = len(tree.tag)
-    points, length, links = [0.0] * n, [0] * n, [0] * n
+    own, near, far, length, links = [0.0] * n, [0.0] * n, [0.0] * n, [0] * n, [0] * n
     for element, text, linked in tree.blocks:
         length[element] += len(text)
         links[element] += linked
         value = (1 + text.count(",") + min(len(text) / 100, 3)) if len(text) >= LEAST_POINTS else len(text) / LEAST_POINTS
         value *= 1 - linked / len(text)
-        around = tree.parent[element] if tree.tag[element] in PARAGRAPH and element else element
-        level = 0
-        while around >= 0 and value:
-            points[around] += value * (1.0 if level == 0 else 0.5 if level == 1 else 1 / (3 * level))
-            around, level = tree.parent[around], level + 1
-    for e in range(n - 1, 0, -1):
-        length[tree.parent[e]] += length[e]
-        links[tree.parent[e]] += links[e]
+        own[tree.parent[element] if tree.tag[element] in PARAGRAPH and element else element] += value
+    for e in range(n - 1, 0, -1):  # an element comes after those around it
+        around = tree.parent[e]
+        length[around] += length[e]
+        links[around] += links[e]
+        near[around] += own[e]
+        far[around] += near[e] / 6 + far[e] * 2 / 3
+    points = [a + b / 2 + c for a, b, c in zip(own, near, far)]
     share = [a / b if b else 0.0 for a, b in zip(links, length)]
     score = [p * (1 - s) for p, s in zip(points, share)]
     top = max(range(n), key=lambda e: (score[e], -e))

@@ -120,6 +120,26 @@ def test_main_text_edges(spark):
     assert maintext.extract(pages.limit(0)).count() == 0
 
 
+def test_work_grows_with_the_page_alone():
+    import time
+    shapes = [lambda n: "<div>some words, here, " * n, lambda n: "<div>" * n + "</p>" * n, lambda n: "<span>" * n + "<p>a few words" * n,
+              lambda n: "<main>" * n + "<li>one item" * n, lambda n: "</ x" * n, lambda n: "<section><p>" * n + "deep, down" + "</b>" * n]
+    for shape in shapes:
+        took = []
+        for n in (10_000, 40_000):
+            start = time.process_time()
+            maintext.main_text(shape(n))
+            took.append(time.process_time() - start)
+        assert took[1] < 4 and took[1] < 10 * max(took[0], 0.05)
+
+
+def test_points_of_each_level():
+    tree = maintext.parse("<div>" * 6 + "x" * 99)
+    _, score, _ = maintext._best(tree)
+    first = 1 + 0.99
+    assert [round(p / first, 6) for p in score[:0:-1]] == [round(w, 6) for w in (1, 1 / 2, 1 / 6, 1 / 9, 2 / 27, 4 / 81)]
+
+
 def test_pages_of_the_given_table(spark, tiny):
     import html
     import re
@@ -170,7 +190,7 @@ def test_blocks_give_what_the_whole_gives(spark):
     key = lambda r: (r["conv_id"] is None, r["conv_id"] or 0, r["position"])
     whole = sorted(chat.formatted(turns).collect(), key=key)
     assert len(whole) == len(rows)
-    for block in (1, 3):
+    for block in (1, 3, 5):
         assert sorted(chat.formatted(turns, block).collect(), key=key) == whole
     by = {c: list(g) for c, g in itertools.groupby(whole, key=lambda r: r["conv_id"])}
     for c, own in by.items():
@@ -178,3 +198,20 @@ def test_blocks_give_what_the_whole_gives(spark):
         assert [r["position"] for r in own] == list(range(len(own)))
     assert [r["turn"] for r in by[9]] == [0, None] and "< |im_end|>" in "".join(r["piece"] for r in by[1])
     assert chat.formatted(turns.limit(0)).count() == 0
+
+
+def test_only_a_crowded_range_is_cut(spark):
+    rows = [(1, t, "user", f"text {t}") for t in range(40)] + [(2, 5, "user", f"copy {k}") for k in range(200)] + [(2, t, "assistant", "x") for t in (-9, -1, 0, 6, 20)]
+    turns = spark.createDataFrame([*rows, (2, None, "user", "end")], "conv_id bigint, turn bigint, role string, text string")
+    blocks = {}
+    for r in chat._placed(turns, 8).collect():
+        blocks.setdefault((r["conv"], r["part"], r["sub"]), []).append(r["order"])
+    assert all(len(b) <= 32 for b in blocks.values()) and sum(map(len, blocks.values())) == 246
+    assert sorted(k for k in blocks if k[0] == 1) == [(1, p, 0) for p in range(5)]
+    assert [sorted(blocks[k]) for k in sorted(blocks) if k[0] == 2 and k[1] < 0] == [[-9], [-1]]
+    order = [o for k in sorted(blocks) if k[0] == 2 for o in sorted(blocks[k])]
+    assert order == sorted(order)
+    key = lambda r: (r["conv_id"], r["position"])
+    assert sorted(chat.formatted(turns, 8).collect(), key=key) == sorted(chat.formatted(turns).collect(), key=key)
+    with pytest.raises(TypeError):
+        chat.formatted(turns.withColumn("conv_id", turns["conv_id"].cast("string")))
