@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..session import cut_lineage
 from .neighborhoods import KEYS, cell_neighborhoods, tie_neighborhoods
 from .ranks import running_total
 from .sparse import sparse_neighborhoods
@@ -27,6 +28,7 @@ from .sparse import sparse_neighborhoods
 MEMBER_BLOCK = 4096
 KEY_BLOCK = 128
 COUNT_BLOCK = 4096  # key cells whose running counts one task holds
+HELD_TESTS = 2**21  # tests whose four running counts one task holds
 BLOCK_BITS = 2**30  # packed bits one task may hold: 128 MB
 CELL = ("module", "cell_id")
 
@@ -137,14 +139,19 @@ def over_counts(
     extra: DataFrame | None = None,
     key_block: int | None = None,
     member_block: int = MEMBER_BLOCK,
+    load: DataFrame | None = None,
 ) -> DataFrame:
     """Sums over members for every key cell: ``begin(head, genes)`` makes the running sums of a key block,
     ``add(sums, keys, bits)`` adds one packed member block for a slice of the keys, ``finish`` gives the columns.
 
-    ``head`` holds the block's cells, n and, per cell, the columns of ``extra``; only cells present in it are kept.
+    ``head`` holds the block's cells, n and, as Arrow arrays with an entry per cell, the columns of ``extra``; only cells
+    present in it are kept.  ``load`` (module, load) tells how many tests a cell has at most: blocks shrink with it.
     """
     spread = F.ceil(F.col("n") / vectors.sparkSession.sparkContext.defaultParallelism)  # small modules use all cores
     per_block = F.lit(key_block) if key_block else F.least(F.lit(COUNT_BLOCK), F.greatest(F.lit(KEY_BLOCK), spread))
+    if load is not None:
+        vectors = vectors.join(load.select("module", "load"), "module")
+        per_block = F.least(per_block, F.greatest(F.lit(1), F.floor(F.lit(HELD_TESTS) / F.greatest(F.col("load"), F.lit(1)))))
     paired, fields, _ = _streamed(vectors, per_block, member_block, extra, None)
     full, arrow = _answers(schema)
 
@@ -153,7 +160,7 @@ def over_counts(
         for batch in batches:
             for row in range(batch.num_rows):
                 if head is None:
-                    head = {c: batch.column(c)[row].as_py() for c in ("cells", "n", *fields)}
+                    head = {c: batch.column(c)[row].as_py() for c in ("cells", "n")} | {c: batch.column(c)[row].values for c in fields}
                     lo, hi = (_flat(batch, side, row).reshape(len(head["cells"]), -1) for side in ("lo", "hi"))
                     sums = begin(head, lo.shape[1])
                 own = _flat(batch, "own", row).reshape(-1, lo.shape[1])
@@ -161,7 +168,7 @@ def over_counts(
                     keys = slice(at, min(at + KEY_BLOCK, len(lo)))
                     add(sums, keys, _pack(own, lo[keys], hi[keys]))
         values = [[group[0].as_py()] * len(lo), head["cells"], *finish(sums, head)]
-        yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(values, arrow)], schema=arrow)
+        yield pa.RecordBatch.from_arrays([v.cast(f.type) if isinstance(v, pa.Array) else pa.array(v, type=f.type) for v, f in zip(values, arrow)], schema=arrow)
 
     return paired.groupBy("module", "_kb").applyInArrow(task, full)
 
@@ -170,12 +177,12 @@ def _tally(words: np.ndarray) -> np.ndarray:
     return np.bitwise_count(words).sum(axis=-1, dtype=np.int64)
 
 
-def _pair_sums(head: dict, genes: int) -> tuple[np.ndarray, np.ndarray]:
+def pair_sums(head: dict, genes: int) -> tuple[np.ndarray, np.ndarray]:
     keys = len(head["cells"])
     return np.zeros((keys, genes), np.int64), np.zeros((keys, genes * (genes - 1) // 2), np.int32)
 
 
-def _add_pairs(sums: tuple, keys: slice, bits: np.ndarray) -> None:
+def add_pairs(sums: tuple, keys: slice, bits: np.ndarray) -> None:
     single, both = sums
     single[keys] += _tally(bits)
     at, genes = 0, bits.shape[1]
@@ -187,7 +194,7 @@ def _add_pairs(sums: tuple, keys: slice, bits: np.ndarray) -> None:
 def pair_count_arrays(expr: DataFrame, fraction: float = 0.1, **blocks: int) -> DataFrame:
     """Per cell: ``single`` counts in gene order and ``both`` counts in (a, b) order, a < b."""
     vectors = cell_vectors(cell_neighborhoods(expr, fraction))
-    return over_counts(vectors, _pair_sums, _add_pairs, lambda sums, _: [list(x) for x in sums], "single array<bigint>; both array<bigint>", **blocks)
+    return over_counts(vectors, pair_sums, add_pairs, lambda sums, _: [list(x) for x in sums], "single array<bigint>; both array<bigint>", **blocks)
 
 
 def pair_counts(expr: DataFrame, fraction: float = 0.1, n_genes: int | None = None) -> DataFrame:
@@ -241,35 +248,72 @@ class _Subsets:
         return self.counts[self.first[key] : self.first[key + 1]]
 
 
-def _test_sets(head: dict, genes: int) -> _Subsets:
-    """Four sets per test: the given genes, with a, with b, with both."""
-    return _Subsets([[z for t in own for z in (t["zs"], [*t["zs"], t["a"]], [*t["zs"], t["b"]], [*t["zs"], t["a"], t["b"]])] for own in head["tests"]], genes)
+class Tests:
+    """Tests of the cells of a block as flat arrays, and the running counts of the given genes alone, with a, with b, with both.
 
+    ``given`` has one row per test, filled up with the number that stands for all members; ``sizes`` tests per cell.
+    """
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, given: np.ndarray, sizes: np.ndarray) -> None:
+        self.a, self.b, self.given = a, b, given
+        self.first = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+        self.owner = np.repeat(np.arange(len(sizes)), sizes)
+        self.counts = np.zeros((len(a), 4), np.int64)
 
-def _tested(sums: _Subsets, head: dict) -> list:
-    out = []
-    for k, own in enumerate(head["tests"]):
-        four = sums.of(k).reshape(-1, 4).tolist()
-        out.append([{**{n: t[n] for n in ("a", "b", "zs", "turn")}, "c_z": c[0] if len(t["zs"]) else head["n"], "c_xz": c[1], "c_yz": c[2], "c_xyz": c[3]}
-                    for t, c in zip(own, four)])
-    return [out]
+    def add(self, keys: slice, bits: np.ndarray) -> None:
+        whole = np.full((len(bits), 1, bits.shape[2]), ~np.uint64(0))
+        bits = np.concatenate((bits, whole), axis=1)
+        low, high = self.first[keys.start], self.first[keys.stop]
+        for at in range(low, high, 4096):
+            part = slice(at, min(at + 4096, high))
+            own = self.owner[part] - keys.start
+            shared = np.broadcast_to(whole[0], (len(own), bits.shape[2]))
+            for column in self.given[part].T:
+                shared = shared & bits[own, column]
+            with_a, b = shared & bits[own, self.a[part]], bits[own, self.b[part]]
+            for k, words in enumerate((shared, with_a, shared & b, with_a & b)):
+                self.counts[part, k] += _tally(words)
+
+
+def _given_tests(head: dict, genes: int) -> Tests:
+    flat = head["tests"].flatten()
+    zs = flat.field("zs")
+    sizes = zs.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    given = np.full((len(flat), int(sizes.max(initial=0))), genes, np.int64)
+    place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    given[np.repeat(np.arange(len(flat)), sizes), place] = zs.flatten().to_numpy(zero_copy_only=False)
+    ends = (flat.field(end).to_numpy(zero_copy_only=False).astype(np.int64) for end in ("a", "b"))
+    return Tests(*ends, given, head["tests"].value_lengths().to_numpy(zero_copy_only=False))
+
+
+def _tested(sums: Tests, head: dict) -> list:
+    """The tests as they came, beside four counts each."""
+    tests = head["tests"]
+    flat = tests.flatten()
+    counts = sums.counts
+    counts[flat.field("zs").value_lengths().to_numpy(zero_copy_only=False) == 0, 0] = head["n"]
+    offsets = pa.array(sums.first, pa.int32())
+    found = pa.StructArray.from_arrays(
+        [flat.field(c) for c in ("a", "b", "zs", "turn")] + [pa.array(c) for c in counts.T], ["a", "b", "zs", "turn", "c_z", "c_xz", "c_yz", "c_xyz"])
+    return [pa.ListArray.from_arrays(offsets, found)]
 
 
 def test_counts(vectors: DataFrame, tests: DataFrame) -> DataFrame:
     """Four counts per test (module, cell, a, b, zs, turn): z, xz, yz and xyz."""
-    grouped = tests.groupBy(*CELL).agg(F.collect_list(F.struct("a", "b", "zs", "turn")).alias("tests"))
+    grouped = cut_lineage(tests.groupBy(*CELL).agg(F.collect_list(F.struct("a", "b", "zs", "turn")).alias("tests")))
+    load = grouped.groupBy("module").agg(F.max(F.size("tests")).alias("load"))
     schema = (
         "found array<struct<a:int,b:int,zs:array<int>,turn:array<int>,c_z:bigint,c_xz:bigint,c_yz:bigint,c_xyz:bigint>>"
     )
-    return over_counts(vectors, _test_sets, _Subsets.add, _tested, schema, grouped).select(*CELL, F.inline("found"))
+    return over_counts(vectors, _given_tests, Tests.add, _tested, schema, grouped, load=load).select(*CELL, F.inline("found"))
 
 
 def set_counts(vectors: DataFrame, sets: DataFrame) -> DataFrame:
     """Count for every (module, cell, genes) row; the empty set counts all cells."""
     grouped = sets.distinct().groupBy(*CELL).agg(F.collect_list("genes").alias("sets"))
-    counts = lambda sums, head: [[c if len(g) else head["n"] for g, c in zip(own, sums.of(k).tolist())] for k, own in enumerate(head["sets"])]
+    counts = lambda sums, head: [[c if len(g) else head["n"] for g, c in zip(own, sums.of(k).tolist())] for k, own in enumerate(head["sets"].to_pylist())]
     counted = over_counts(
-        vectors, lambda head, genes: _Subsets(head["sets"], genes), _Subsets.add, lambda sums, head: [head["sets"], counts(sums, head)],
+        vectors, lambda head, genes: _Subsets(head["sets"].to_pylist(), genes), _Subsets.add, lambda sums, head: [head["sets"], counts(sums, head)],
         "genes array<array<int>>; counts array<bigint>", grouped)
     return counted.select(*CELL, F.inline(F.arrays_zip("genes", "counts"))).withColumnRenamed("counts", "members")
 

@@ -1,33 +1,51 @@
 """Undirected skeletons, one per cell, by conditional independence.
 
-``skeleton_levels`` is the level-synchronous relational form: candidate separating sets are enumerated with
-``explode``, counted, tested in SQL and removed by an anti join.  It suits small levels and is the form checked
-against SQL.  ``skeletons`` walks all levels in one pass over the packed bits of a key block and stops at the
+``skeleton_levels`` is level-synchronous: the tasks that hold a cell's running counts make its tests and give the verdicts,
+and separated edges are removed by an anti join.  It suits small levels.  ``level_outcomes`` gives all tests of a level as
+rows, with their counts.  ``skeletons`` walks all levels in one pass over the packed bits of a key block and stops at the
 first separating set, which no relational plan can do across rows.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import combinations, islice
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
 from ..functions.stats import EPSILON, critical_z, independent
-from .counts import CELL, KEY_BLOCK, cell_vectors, over_bits, pair_counts, test_counts
+from .counts import CELL, KEY_BLOCK, Tests, add_pairs, cell_vectors, over_bits, over_counts, pair_sums, test_counts
 from .neighborhoods import cell_neighborhoods
 
 EDGE = (*CELL, "a", "b")
 
 
+def _edge_lists(chosen: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> list:
+    """Arrow lists of the ends of the pairs chosen in each cell."""
+    offsets = pa.array(np.concatenate(([0], np.cumsum([len(c) for c in chosen]))), pa.int32())
+    flat = np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
+    return [pa.ListArray.from_arrays(offsets, pa.array(end[flat], pa.int32())) for end in (a, b)]
+
+
+def marginal_edges_of(vectors: DataFrame, alpha: float = 0.01) -> DataFrame:
+    """Level 0 from cell vectors: counts and verdict stay in the task, only edges leave it."""
+    limit = critical_z(alpha)
+
+    def finish(sums: tuple, head: dict) -> list:
+        single, both = sums
+        a, b = np.triu_indices(single.shape[1], 1)
+        return _edge_lists([np.flatnonzero(_scores(head["n"], one[a], one[b], pair) >= limit) for one, pair in zip(single, both)], a, b)
+
+    found = over_counts(vectors, pair_sums, add_pairs, finish, "a array<int>; b array<int>")
+    return found.select(*CELL, F.inline(F.arrays_zip("a", "b")))
+
+
 def marginal_edges(expr: DataFrame, fraction: float = 0.1, alpha: float = 0.01) -> DataFrame:
     """Level 0: gene pairs a < b whose neighbourhoods depend on each other, per cell."""
-    counts = pair_counts(expr, fraction)
-    sizes = expr.groupBy("module").agg(F.countDistinct("cell_id").alias("n"))
-    tested = counts.join(sizes, "module")
-    keep = ~independent(F.col("n"), F.col("c_a"), F.col("c_b"), F.col("c_ab"), alpha)
-    return tested.filter(keep).select(*EDGE)
+    return marginal_edges_of(cell_vectors(cell_neighborhoods(expr, fraction)), alpha)
 
 
 def neighbor_pools(edges: DataFrame) -> DataFrame:
@@ -84,13 +102,82 @@ def separating_sets(outcomes: DataFrame) -> DataFrame:
     return outcomes.filter("separates").groupBy(*EDGE).agg(F.min_by("zs", "turn").alias("sepset"))
 
 
+def _tests_per_cell(edges: DataFrame, level: int) -> DataFrame:
+    """(module, load): the most tests of a level that a cell of the module has.
+
+    An edge end with d edges gives each of them a pool of d - 1 genes, so degrees tell the number of subsets.
+    """
+    subsets = F.lit(1.0)
+    for k in range(level):
+        subsets = subsets * F.greatest(F.col("d") - 1 - k, F.lit(0)) / (k + 1)
+    degrees = edges.select(*CELL, F.explode(F.array("a", "b")).alias("node")).groupBy(*CELL, "node").agg(F.count(F.lit(1)).alias("d"))
+    return degrees.groupBy(*CELL).agg(F.sum(F.col("d") * subsets).alias("own")).groupBy("module").agg(F.max("own").alias("load"))
+
+
+@lru_cache(maxsize=1024)
+def _choices(n: int, size: int) -> np.ndarray:
+    """Places of all subsets of a pool of n, in lexicographic order."""
+    return np.array(list(combinations(range(n), size)), np.int64).reshape(-1, size)
+
+
+def _level_tests_of(lists: tuple[pa.Array, pa.Array], genes: int, level: int) -> tuple[Tests, np.ndarray]:
+    """All tests of a block's edges: for each edge the subsets of the pool of a, then those of b; and the edge of each test."""
+    offsets = np.concatenate(([0], np.cumsum(lists[0].value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+    a, b = (end.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for end in lists)
+    given, of, sizes = [], [], []
+    for low, high in zip(offsets, offsets[1:]):
+        near = np.zeros((genes, genes), bool)
+        near[a[low:high], b[low:high]] = near[b[low:high], a[low:high]] = True
+        pools = [np.flatnonzero(row) for row in near]
+        count = 0
+        for e in range(low, high):
+            for end, other in ((a[e], b[e]), (b[e], a[e])):
+                pool = pools[end]
+                sets = pool[pool != other][_choices(len(pool) - 1, level)]
+                given.append(sets)
+                of.append((e, len(sets)))
+                count += len(sets)
+        sizes.append(count)
+    edge = np.repeat(*np.array(of, np.int64).reshape(-1, 2).T)
+    rows = np.concatenate(given) if given else np.zeros((0, level), np.int64)
+    return Tests(a[edge], b[edge], rows, np.array(sizes, np.int64)), edge
+
+
+def separated_edges(vectors: DataFrame, edges: DataFrame, level: int, alpha: float = 0.01) -> DataFrame:
+    """(module, cell_id, a, b, sepset): the first separating set of ``level`` genes of every edge that has one.
+
+    A cell's edges go to its key block, which makes the tests, adds up their counts while member blocks stream by, and gives
+    the verdicts; no test is ever a row.  Blocks are sized by tests.  A cell's own tests of one level stay together.
+    """
+    limit = critical_z(alpha)
+    near = F.array_sort(F.collect_list(F.struct("a", "b")))
+    lists = edges.groupBy(*CELL).agg(near.alias("_e")).select(*CELL, F.col("_e.a").alias("a"), F.col("_e.b").alias("b"))
+
+    def begin(head: dict, genes: int) -> tuple:
+        return _level_tests_of((head["a"], head["b"]), genes, level)
+
+    def finish(made: tuple, head: dict) -> list:
+        tests, edge = made
+        hits = np.flatnonzero(_scores(*tests.counts.T) < limit)
+        hits = hits[np.unique(edge[hits], return_index=True)[1]]  # tests of an edge stand in order
+        offsets = pa.array(np.searchsorted(hits, tests.first), pa.int32())
+        sets = pa.ListArray.from_arrays(pa.array(np.arange(len(hits) + 1) * level, pa.int32()), pa.array(tests.given[hits].ravel(), pa.int32()))
+        columns = (pa.array(tests.a[hits], pa.int32()), pa.array(tests.b[hits], pa.int32()), sets)
+        return [pa.ListArray.from_arrays(offsets, c) for c in columns]
+
+    found = over_counts(
+        vectors, begin, lambda made, keys, bits: made[0].add(keys, bits), finish, "a array<int>; b array<int>; sepset array<array<int>>", lists,
+        load=_tests_per_cell(edges, level))
+    return found.select(*CELL, F.inline(F.arrays_zip("a", "b", "sepset")))
+
+
 def skeleton_levels(expr: DataFrame, levels: int = 1, fraction: float = 0.1, alpha: float = 0.01) -> tuple[DataFrame, DataFrame]:
     """Edges and separating sets after testing conditioning sets of up to ``levels`` genes."""
-    vectors = cell_vectors(cell_neighborhoods(expr, fraction))
-    edges = cut_lineage(marginal_edges(expr, fraction, alpha))
+    vectors = cut_lineage(cell_vectors(cell_neighborhoods(expr, fraction)))
+    edges = cut_lineage(marginal_edges_of(vectors, alpha))
     found = None
     for level in range(1, levels + 1):
-        separated = cut_lineage(separating_sets(level_outcomes(vectors, edges, level, alpha)))
+        separated = cut_lineage(separated_edges(vectors, edges, level, alpha))
         edges = cut_lineage(edges.join(separated, list(EDGE), "left_anti"))
         found = separated if found is None else found.unionByName(separated)
     return edges, found
@@ -100,7 +187,7 @@ def _scores(z: np.ndarray, x: np.ndarray, y: np.ndarray, xy: np.ndarray) -> np.n
     z, x, y, xy = (np.asarray(c, dtype=float) for c in (z, x, y, xy))
     with np.errstate(divide="ignore", invalid="ignore"):
         rho = (z * xy - x * y) / (z * z)
-        sigma = np.sqrt(np.maximum(x * y * (z - x) * (z - y), EPSILON) / (z**4 * (z - 1.0) + EPSILON))
+        sigma = np.sqrt(np.maximum(x * y * (z - x) * (z - y), EPSILON) / (z * z * z * z * (z - 1.0) + EPSILON))
         score = np.abs(np.where(sigma > EPSILON, rho / sigma, np.where(np.abs(rho) > EPSILON, np.inf, 0.0)))
     return np.where(z <= 1, np.inf, score)
 

@@ -312,3 +312,20 @@ def test_propagation_on_mixed_graphs(spark):
             system[s, d] -= 0.5 * w
         want = np.linalg.lstsq(system, b, rcond=None)[0] if c == 3 else np.linalg.solve(system, b)
         assert np.allclose([score[c, g] for g in range(3)], want)
+
+
+def test_tests_made_in_tasks_are_those_made_as_rows(spark):
+    rng = np.random.default_rng(7)
+    rows = [("m", c, g, float(v)) for c, line in enumerate(np.cumsum(rng.normal(size=(70, 7)), axis=1)) for g, v in enumerate(line)]
+    expr = spark.createDataFrame(rows, "module string, cell_id bigint, gene int, value double")
+    vectors = counts.cell_vectors(neighborhoods.cell_neighborhoods(expr, 0.3)).cache()
+    edges = skeleton.marginal_edges_of(vectors, 0.2).cache()
+    assert edges.count()
+    for level in (1, 2, 3):
+        outcomes = skeleton.level_outcomes(vectors, edges, level, 0.2)
+        want = {(r.cell_id, r.a, r.b): list(r.sepset) for r in skeleton.separating_sets(outcomes).collect()}
+        got = {(r.cell_id, r.a, r.b): list(r.sepset) for r in skeleton.separated_edges(vectors, edges, level, 0.2).collect()}
+        assert got == want
+        most = outcomes.groupBy("module", "cell_id").count().agg(F.max("count")).first()[0]
+        assert want and skeleton._tests_per_cell(edges, level).first()["load"] == most
+    assert skeleton.separated_edges(vectors, edges.limit(0), 1).count() == 0
