@@ -182,6 +182,11 @@ def collider_edges(spark, sf):
     return _level_one_arcs(spark, sf).select("cell_id", "src", "dst")
 
 
+@query
+def orientation_closure(spark, sf):
+    return orientation.close_orientation(_level_one_arcs(spark, sf)).select("cell_id", "src", "dst")
+
+
 def _full_graphs(spark, sf, stable: bool) -> DataFrame:
     expr = views.expression(spark, sf)
     vectors = counts.cell_vectors(neighborhoods.cell_neighborhoods(expr, FRACTION))

@@ -363,6 +363,36 @@ add("katz_dag", KATZ, *DAG, "step AS (SELECT k, a, b, 1.0::DOUBLE AS c FROM edge
 add("katz_weighted", KATZ, *DAG, CORR, PRIOR, COEF, f"step AS (SELECT k, a, b, {MEAN_OUT} AS c FROM coef)",
     f"beta AS (SELECT cell_id, gene, 0.6::DOUBLE * ({MEAN}) + (1.0 - 0.6::DOUBLE) AS beta FROM expr)", WALK, recursive=True)
 
+PLACED = """, depth AS (SELECT cell_id AS k, gene, 0 AS d FROM expr UNION SELECT e.k, e.b, p.d + 1 FROM depth p JOIN edge0 e ON e.k = p.k AND e.a = p.gene)
+SELECT k AS cell_id, (row_number() OVER (PARTITION BY k ORDER BY max(d), gene) - 1)::INT AS place, gene FROM depth GROUP BY k, gene"""
+ORACLE["topo_order"] = "WITH RECURSIVE " + ",\n".join(DAG) + PLACED
+add("katz_cyclic", f"SELECT k AS cell_id, gene, {r6('sum(part)')} AS score FROM term GROUP BY ALL", *DAG,
+    "step AS MATERIALIZED (SELECT k, a, b FROM edge0 UNION ALL SELECT k, b, a FROM edge0)",
+    """term AS (SELECT cell_id AS k, gene, value AS part, 0 AS power FROM expr
+  UNION ALL SELECT e.k, e.a, sum(0.05::DOUBLE * t.part), t.power + 1 FROM term t JOIN step e ON e.k = t.k AND e.b = t.gene WHERE t.power < 60 GROUP BY e.k, e.a, t.power)""", recursive=True)
+
+
+def closure_rounds(most: int) -> str:
+    """Rules 1-3 by rounds; further rounds than are needed change nothing."""
+    linked = lambda a, b: f"EXISTS (SELECT 1 FROM tied t WHERE t.k = u.k AND t.src = {a} AND t.dst = {b})"
+    parts = ["tied AS MATERIALIZED (SELECT k, src, dst FROM arc UNION SELECT k, dst, src FROM arc)",
+             "loose0 AS MATERIALIZED (SELECT x.* FROM arc x SEMI JOIN arc y ON y.k = x.k AND y.src = x.dst AND y.dst = x.src)",
+             "known0 AS MATERIALIZED (SELECT x.* FROM arc x ANTI JOIN arc y ON y.k = x.k AND y.src = x.dst AND y.dst = x.src)"]
+    for i in range(most):
+        parts += [f"""found{i} AS MATERIALIZED (
+  SELECT u.k, u.src, u.dst FROM loose{i} u JOIN known{i} x ON x.k = u.k AND x.dst = u.src AND x.src <> u.dst WHERE NOT {linked("x.src", "u.dst")}
+  UNION SELECT u.k, u.src, u.dst FROM loose{i} u JOIN known{i} x ON x.k = u.k AND x.src = u.src JOIN known{i} y ON y.k = u.k AND y.src = x.dst AND y.dst = u.dst
+  UNION SELECT u.k, u.src, u.dst FROM loose{i} u JOIN loose{i} p ON p.k = u.k AND p.src = u.src JOIN known{i} x ON x.k = u.k AND x.src = p.dst AND x.dst = u.dst
+    JOIN loose{i} q ON q.k = u.k AND q.src = u.src AND q.dst > p.dst JOIN known{i} y ON y.k = u.k AND y.src = q.dst AND y.dst = u.dst
+    WHERE NOT {linked("p.dst", "q.dst")})""",
+                  f"fresh{i} AS MATERIALIZED (SELECT * FROM found{i} f WHERE f.src < f.dst OR NOT EXISTS (SELECT 1 FROM found{i} g WHERE g.k = f.k AND g.src = f.dst AND g.dst = f.src))",
+                  f"known{i + 1} AS MATERIALIZED (SELECT * FROM known{i} UNION ALL SELECT * FROM fresh{i})",
+                  f"loose{i + 1} AS MATERIALIZED (SELECT l.* FROM loose{i} l ANTI JOIN (SELECT k, src, dst FROM fresh{i} UNION SELECT k, dst, src FROM fresh{i}) f USING (k, src, dst))"]
+    return ",\n".join(parts)
+
+
+add("orientation_closure", "SELECT k AS cell_id, src, dst FROM known10 UNION ALL SELECT k, src, dst FROM loose10", ORIENTED, closure_rounds(10))
+
 # --- neighbours
 NEAR = """near AS MATERIALIZED (SELECT x.vec_id AS cell_id, y.vec_id AS other, list_distance(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS d FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id),
 best AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY d, other) AS rank FROM near) WHERE rank <= 30)"""

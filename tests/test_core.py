@@ -329,3 +329,47 @@ def test_tests_made_in_tasks_are_those_made_as_rows(spark):
         most = outcomes.groupBy("module", "cell_id").count().agg(F.max("count")).first()[0]
         assert want and skeleton._tests_per_cell(edges, level).first()["load"] == most
     assert skeleton.separated_edges(vectors, edges.limit(0), 1).count() == 0
+
+
+def _compelled_by_all(n, arcs):
+    """Arcs that all acyclic orientations with the same colliders share, by trying every orientation."""
+    pairs = sorted({(min(p), max(p)) for p in arcs})
+    tied = set(pairs) | {(b, a) for a, b in pairs}
+    colliders = lambda g: {(a, c, b) for a, c in g for b, d in g if c == d and a < b and (a, b) not in tied}
+
+    def acyclic(g):
+        left = set(range(n))
+        while left:
+            ends = {v for v in left if not any(s == v and d in left for s, d in g)}
+            if not ends:
+                return False
+            left -= ends
+        return True
+
+    wanted = colliders(arcs)
+    every = [g for way in itertools.product((0, 1), repeat=len(pairs)) if colliders(g := {(b, a) if w else (a, b) for (a, b), w in zip(pairs, way)}) == wanted and acyclic(g)]
+    return set.intersection(*every), wanted
+
+
+def test_closure_gives_what_the_class_shares(spark):
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for cell in range(40):
+        n = 5 if cell % 2 else 6
+        order = rng.permutation(n)
+        dag = {(int(order[i]), int(order[j])) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.55}
+        if not dag:
+            continue
+        shared, colliders = _compelled_by_all(n, dag)
+        fixed = {(a, c) for a, c, b in colliders} | {(b, c) for a, c, b in colliders}
+        pattern = {x for a, b in dag for x in ((a, b), (b, a)) if (x[1], x[0]) not in fixed}
+        rows += [("m", cell, s, d) for s, d in pattern]
+        want[cell] = {x for a, b in dag for x in ((a, b), (b, a)) if (x[1], x[0]) not in shared}
+    arcs = spark.createDataFrame(rows, "module string, cell_id bigint, src int, dst int")
+    got = {}
+    for r in orientation.close_orientation(arcs.unionByName(arcs.limit(5))).collect():
+        got.setdefault(r.cell_id, set()).add((r.src, r.dst))
+    assert got == want
+    assert orientation.close_orientation(arcs.limit(0)).count() == 0
+    both = spark.createDataFrame([(0, 2, 0), (3, 1, 0), (0, 0, 1), (0, 1, 0)], "cell_id bigint, src int, dst int")
+    assert {tuple(r) for r in orientation.close_orientation(both).collect()} == {(0, 2, 0), (3, 1, 0), (0, 0, 1)}
