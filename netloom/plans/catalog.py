@@ -184,7 +184,12 @@ def collider_edges(spark, sf):
 
 @query
 def orientation_closure(spark, sf):
-    return orientation.close_orientation(_level_one_arcs(spark, sf)).select("cell_id", "src", "dst")
+    """Each gene's strongest source is known to come before it; the rules carry that through every cell's pattern."""
+    known = cut_lineage(_dimension_prior(spark, sf).filter("rank = 1").select("module", "src", "dst"))
+    against = orientation.directed_only(known).select("module", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    arcs = _level_one_arcs(spark, sf)
+    left = arcs.join(orientation.mutual_only(arcs).join(against, ["module", "src", "dst"]), arcs.columns, "left_anti")
+    return orientation.close_orientation(left).select("cell_id", "src", "dst")
 
 
 def _full_graphs(spark, sf, stable: bool) -> DataFrame:

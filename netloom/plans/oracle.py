@@ -372,12 +372,12 @@ add("katz_cyclic", f"SELECT k AS cell_id, gene, {r6('sum(part)')} AS score FROM
   UNION ALL SELECT e.k, e.a, sum(0.05::DOUBLE * t.part), t.power + 1 FROM term t JOIN step e ON e.k = t.k AND e.b = t.gene WHERE t.power < 60 GROUP BY e.k, e.a, t.power)""", recursive=True)
 
 
-def closure_rounds(most: int) -> str:
+def closure_rounds(most: int, arcs: str) -> str:
     """Rules 1-3 by rounds; further rounds than are needed change nothing."""
     linked = lambda a, b: f"EXISTS (SELECT 1 FROM tied t WHERE t.k = u.k AND t.src = {a} AND t.dst = {b})"
-    parts = ["tied AS MATERIALIZED (SELECT k, src, dst FROM arc UNION SELECT k, dst, src FROM arc)",
-             "loose0 AS MATERIALIZED (SELECT x.* FROM arc x SEMI JOIN arc y ON y.k = x.k AND y.src = x.dst AND y.dst = x.src)",
-             "known0 AS MATERIALIZED (SELECT x.* FROM arc x ANTI JOIN arc y ON y.k = x.k AND y.src = x.dst AND y.dst = x.src)"]
+    parts = [f"tied AS MATERIALIZED (SELECT k, src, dst FROM {arcs} UNION SELECT k, dst, src FROM {arcs})",
+             f"loose0 AS MATERIALIZED (SELECT x.* FROM {arcs} x SEMI JOIN {arcs} y ON y.k = x.k AND y.src = x.dst AND y.dst = x.src)",
+             f"known0 AS MATERIALIZED (SELECT x.* FROM {arcs} x ANTI JOIN {arcs} y ON y.k = x.k AND y.src = x.dst AND y.dst = x.src)"]
     for i in range(most):
         parts += [f"""found{i} AS MATERIALIZED (
   SELECT u.k, u.src, u.dst FROM loose{i} u JOIN known{i} x ON x.k = u.k AND x.dst = u.src AND x.src <> u.dst WHERE NOT {linked("x.src", "u.dst")}
@@ -391,7 +391,10 @@ def closure_rounds(most: int) -> str:
     return ",\n".join(parts)
 
 
-add("orientation_closure", "SELECT k AS cell_id, src, dst FROM known10 UNION ALL SELECT k, src, dst FROM loose10", ORIENTED, closure_rounds(10))
+add("orientation_closure", "SELECT k AS cell_id, src, dst FROM known10 UNION ALL SELECT k, src, dst FROM loose10", ORIENTED, CORR, PRIOR,
+    "first AS MATERIALIZED (SELECT src, dst FROM prior WHERE rank = 1)", "against AS MATERIALIZED (SELECT dst AS src, src AS dst FROM first x ANTI JOIN first y ON y.src = x.dst AND y.dst = x.src)",
+    """told AS MATERIALIZED (SELECT x.* FROM arc x WHERE NOT (EXISTS (SELECT 1 FROM arc y WHERE y.k = x.k AND y.src = x.dst AND y.dst = x.src)
+  AND EXISTS (SELECT 1 FROM against g WHERE g.src = x.src AND g.dst = x.dst)))""", closure_rounds(10, "told"))
 
 # --- neighbours
 NEAR = """near AS MATERIALIZED (SELECT x.vec_id AS cell_id, y.vec_id AS other, list_distance(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS d FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id),
