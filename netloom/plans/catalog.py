@@ -184,11 +184,11 @@ def collider_edges(spark, sf):
 
 @query
 def orientation_closure(spark, sf):
-    """Each gene's strongest source is known to come before it; the rules carry that through every cell's pattern."""
+    """In every cell's skeleton each gene's strongest source is known to come before it; the rules carry that further."""
     known = cut_lineage(_dimension_prior(spark, sf).filter("rank = 1").select("module", "src", "dst"))
     against = orientation.directed_only(known).select("module", F.col("dst").alias("src"), F.col("src").alias("dst"))
-    arcs = _level_one_arcs(spark, sf)
-    left = arcs.join(orientation.mutual_only(arcs).join(against, ["module", "src", "dst"]), arcs.columns, "left_anti")
+    arcs = orientation.both_ways(skeleton.marginal_edges(views.expression(spark, sf), FRACTION, LEVEL))
+    left = arcs.join(against, ["module", "src", "dst"], "left_anti").select("module", "cell_id", "src", "dst")
     return orientation.close_orientation(left).select("cell_id", "src", "dst")
 
 

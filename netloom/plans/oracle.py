@@ -391,10 +391,9 @@ def closure_rounds(most: int, arcs: str) -> str:
     return ",\n".join(parts)
 
 
-add("orientation_closure", "SELECT k AS cell_id, src, dst FROM known10 UNION ALL SELECT k, src, dst FROM loose10", ORIENTED, CORR, PRIOR,
+add("orientation_closure", "SELECT k AS cell_id, src, dst FROM known20 UNION ALL SELECT k, src, dst FROM loose20", *DAG, CORR, PRIOR,
     "first AS MATERIALIZED (SELECT src, dst FROM prior WHERE rank = 1)", "against AS MATERIALIZED (SELECT dst AS src, src AS dst FROM first x ANTI JOIN first y ON y.src = x.dst AND y.dst = x.src)",
-    """told AS MATERIALIZED (SELECT x.* FROM arc x WHERE NOT (EXISTS (SELECT 1 FROM arc y WHERE y.k = x.k AND y.src = x.dst AND y.dst = x.src)
-  AND EXISTS (SELECT 1 FROM against g WHERE g.src = x.src AND g.dst = x.dst)))""", closure_rounds(10, "told"))
+    "told AS MATERIALIZED (SELECT * FROM (SELECT k, a AS src, b AS dst FROM edge0 UNION ALL SELECT k, b, a FROM edge0) ANTI JOIN against USING (src, dst))", closure_rounds(20, "told"))
 
 # --- neighbours
 NEAR = """near AS MATERIALIZED (SELECT x.vec_id AS cell_id, y.vec_id AS other, list_distance(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS d FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id),
