@@ -1,6 +1,6 @@
 import numpy as np
 
-from netloom.operators import counts, neighborhoods
+from netloom.operators import counts, neighborhoods, skeleton
 
 
 def _walks(spark, cells=90, genes=10, seed=4):
@@ -31,3 +31,18 @@ def test_pair_counts_in_several_passes_over_members(spark):
         assert got == want
     some = counts.over_pairs(vectors, lambda n, c_a, c_b, c_ab: c_ab > 5, lambda genes: [(0, genes - 1)])
     assert {(r.cell_id, r.a, r.b) for r in some.collect()} == {k for k, v in want.items() if k[1:] == (0, 9) and v[2] > 5}
+
+
+def test_levels_give_the_graphs_of_the_walk(spark):
+    expr = _walks(spark, 70, 7, 7)
+    vectors = counts.cell_vectors(neighborhoods.cell_neighborhoods(expr, 0.3))
+    differ = []
+    for stable in (True, False):
+        walked = skeleton.skeletons(vectors, 0.2, stable=stable)
+        want = {tuple(r) for r in skeleton.skeleton_edges(walked).select("cell_id", "a", "b").collect()}
+        sets = {(r.cell_id, r.a, r.b): list(r.sepset) for r in skeleton.skeleton_sepsets(walked).collect() if r.sepset}
+        edges, found = skeleton.full_skeletons(expr, 20, 0.3, 0.2, stable)
+        assert {tuple(r) for r in edges.select("cell_id", "a", "b").collect()} == want
+        assert {(r.cell_id, r.a, r.b): list(r.sepset) for r in found.collect()} == sets
+        differ.append(want)
+    assert max(map(len, sets.values())) > 1 and differ[0] != differ[1]
