@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.stats import rounded_exp
 from ..functions.text import anchor_distance, canonical_token, format_interval, parse_interval, strip_version
 from .ranks import top_k
 from .sparse import centred_ranks, sparse_rank_correlations, stored, zero_filled_quantile
@@ -136,7 +137,7 @@ def peak_gene_links(genes: DataFrame, peaks: DataFrame, expression: DataFrame, a
 
 def distal_scores(pairs: DataFrame) -> DataFrame:
     """|corr| decayed by distance."""
-    return pairs.withColumn("score", F.abs("corr") * F.exp(-F.col("distance") / F.lit(DECAY)))
+    return pairs.withColumn("score", F.abs("corr") * rounded_exp(-F.col("distance") / F.lit(DECAY)))
 
 
 def best_distal_links(scored: DataFrame, k: int = 5) -> DataFrame:

@@ -373,3 +373,12 @@ def test_closure_gives_what_the_class_shares(spark):
     assert orientation.close_orientation(arcs.limit(0)).count() == 0
     both = spark.createDataFrame([(0, 2, 0), (3, 1, 0), (0, 0, 1), (0, 1, 0)], "cell_id bigint, src int, dst int")
     assert {tuple(r) for r in orientation.close_orientation(both).collect()} == {(0, 2, 0), (3, 1, 0), (0, 0, 1)}
+
+
+def test_links_of_equal_strength_go_by_name(spark):
+    gaps = [1000.0 * d for d in range(1, 2000)]
+    rows = [(int(g), name, corr, g) for g in gaps for name, corr in (("a", 0.03), ("b", 0.08 - 0.05))] + [(0, "c", 0.5, None)]
+    scored = intervals.distal_scores(spark.createDataFrame(rows, "gene_id bigint, peak_id string, corr double, distance double"))
+    got = {(r["gene_id"], r["peak_id"]): r["score"] for r in scored.collect()}
+    assert got.pop((0, "c")) is None
+    assert got == {(int(g), name): corr * math.exp(-g / 200000.0) for g in gaps for name, corr in (("a", 0.03), ("b", 0.08 - 0.05))}
