@@ -382,3 +382,19 @@ def test_links_of_equal_strength_go_by_name(spark):
     got = {(r["gene_id"], r["peak_id"]): r["score"] for r in scored.collect()}
     assert got.pop((0, "c")) is None
     assert got == {(int(g), name): corr * math.exp(-g / 200000.0) for g in gaps for name, corr in (("a", 0.03), ("b", 0.08 - 0.05))}
+
+
+def test_rounds_find_the_same_sets(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    expr = long(spark, np.cumsum(rng.normal(size=(120, 9)), axis=1))
+    vectors = counts.cell_vectors(neighborhoods.cell_neighborhoods(expr, 0.3)).cache()
+    edges = skeleton.marginal_edges_of(vectors, 0.2).cache()
+    sets = lambda: sorted((r.cell_id, r.a, r.b, tuple(r.sepset)) for r in skeleton.separated_edges(vectors, edges, 1, 0.2).collect())
+    want = sets()
+    monkeypatch.setattr(skeleton, "FEW_TESTS", 0)
+    for stops in ((1,), (1, 2, 5), (2, 10, 42)):
+        monkeypatch.setattr(skeleton, "ROUNDS", stops)
+        assert sets() == want and want
+    most = edges.groupBy("cell_id").count().agg(F.max("count")).first()[0]
+    monkeypatch.setattr(counts, "HELD_TESTS", most)  # about one cell a block
+    assert sets() == want
