@@ -20,6 +20,7 @@ BLOCK = 4096
 KEY_BLOCK = 512
 PIVOTS, CELL_ROWS, RINGS, RING_ROWS = 1024, 2048, 16, 2048
 NEAR_TILE = 16
+BUNDLE_ROWS = 2**16  # keys of a task
 
 
 def nearest_neighbors(vectors: DataFrame, k: int, key_block: int = KEY_BLOCK, block: int = BLOCK, cell_rows: int = CELL_ROWS, ring_rows: int = RING_ROWS) -> DataFrame:
@@ -28,7 +29,8 @@ def nearest_neighbors(vectors: DataFrame, k: int, key_block: int = KEY_BLOCK, bl
     Exact, over a metric partition.  Rows are dealt to the nearest of at most ``PIVOTS`` pivots and, by their distance from it,
     to a ring.  Keys first take an upper bound of their k-th distance from one block of their own ring; by the triangle
     inequality only rings that a ball of that radius meets can hold a nearer cell, and only their members are sent to the keys'
-    block, which holds its current best ``k`` while they stream by.  Pivots and ring edges are all that is broadcast; large rings
+    block, which holds its current best ``k`` while they stream by.  Blocks of keys share a task, at most 4 a core and as many as
+    ``BUNDLE_ROWS`` keys call for, and a member block is sent once to each task, with the key blocks that asked for it.  Pivots and ring edges are all that is broadcast; large rings
     are cut into blocks, so a dense spot is many tasks.  No pair of cells is ever a row.
     """
     rows = vectors.select("cell_id", F.col("v").cast("array<double>").alias("v"))
@@ -47,9 +49,17 @@ def nearest_neighbors(vectors: DataFrame, k: int, key_block: int = KEY_BLOCK, bl
     asks = bounded.mapInArrow(_open_rings(pivots, radius, rings, k), "_kb string, _c int, _ring int")
     blocks = members.select("_c", "_ring", "_held").distinct().withColumn("_ms", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_held") / F.lit(block)).cast("int") - 1)))
     asked = asks.join(F.broadcast(blocks.groupBy("_c", "_ring").agg(F.collect_list("_ms").alias("_m"))), ["_c", "_ring"]).select("_kb", "_c", "_ring", F.explode("_m").alias("_ms"))
-    sent = asked.join(members.hint("merge"), ["_c", "_ring", "_ms"]).select("_kb", "id", "v")
-    return keys.select("_kb", "key_id", "key_v").join(sent.hint("merge"), "_kb").groupBy("_kb").applyInArrow(
-        _best(k), "cell_id bigint, other bigint, distance double, rank int")
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    bundle = F.pmod(F.xxhash64("_kb"), F.lit(max(4 * cores, -(-placed.count() // BUNDLE_ROWS))))
+    sent = _sent(asked.withColumn("_kg", bundle), members)
+    both = keys.select(bundle.alias("_kg"), "_kb", "key_id", "key_v").unionByName(sent, allowMissingColumns=True).repartition(4 * cores, "_kg")
+    return both.sortWithinPartitions("_kg", F.col("_kb").isNull()).groupBy("_kg").applyInArrow(_best(k), "cell_id bigint, other bigint, distance double, rank int")
+
+
+def _sent(asked: DataFrame, members: DataFrame) -> DataFrame:
+    """Every member block once for each task (_kg) in which key blocks ask for it, with their names."""
+    once = asked.groupBy("_kg", "_c", "_ring", "_ms").agg(F.collect_list("_kb").alias("_asks"))
+    return once.join(members.hint("merge"), ["_c", "_ring", "_ms"]).select("_kg", "_asks", "id", "v")
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -122,35 +132,46 @@ def _open_rings(pivots: np.ndarray, radius: np.ndarray, rings: np.ndarray, k: in
 
 
 def _best(k: int):
-    """Best ``k`` of a block of keys while blocks of members stream by: products find candidates, differences decide."""
+    """Best ``k`` of blocks of keys while blocks of members stream by: products find candidates, differences decide."""
+    def closer(ids: np.ndarray, x: np.ndarray, best: tuple, other: np.ndarray, y: np.ndarray) -> tuple:
+        slack = _slack(x, y)
+        held, of, _ = best
+        bound = np.full(len(ids), np.inf)
+        ends = np.searchsorted(of, np.arange(len(ids)), "right")
+        full = ends - np.searchsorted(of, np.arange(len(ids))) >= k
+        bound[full] = held[ends[full] - 1]
+        found = [(of, held, best[2])]
+        for low in range(0, len(ids), NEAR_TILE):
+            tile, most = x[low : low + NEAR_TILE], bound[low : low + NEAR_TILE]
+            near = _distances(tile, y)
+            near[ids[low : low + NEAR_TILE, None] == other[None, :]] = np.inf
+            if not np.isfinite(most).all():
+                most = np.minimum(most, np.partition(near, min(k, near.shape[1]) - 1, axis=1)[:, min(k, near.shape[1]) - 1])
+            at, col = np.nonzero((near <= most[:, None] + 2 * slack) & np.isfinite(near))
+            found.append((at + low, np.sqrt(((tile[at] - y[col]) ** 2).sum(axis=1)), other[col]))
+        at, distance, other = (np.concatenate(c) for c in zip(*found))
+        order = np.lexsort((other, distance, at))
+        at, distance, other = at[order], distance[order], other[order]
+        keep = np.arange(len(at)) - np.searchsorted(at, at) < k
+        return distance[keep], at[keep], other[keep]
+
     def task(group: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = x = best = None
+        held: dict = {}
         for batch in batches:
             for row in range(batch.num_rows):
                 flat = lambda c: batch.column(c)[row].values.to_numpy()
-                if ids is None:
+                if batch.column("_kb")[row].is_valid:
                     ids = flat("key_id")
-                    x = flat("key_v").reshape(len(ids), -1)
-                    best = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+                    held[batch.column("_kb")[row].as_py()] = ids, flat("key_v").reshape(len(ids), -1), (np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))
+                    continue
                 other = flat("id")
                 y = flat("v").reshape(len(other), -1)
-                slack = _slack(x, y)
-                found = [best]
-                for low in range(0, len(ids), NEAR_TILE):
-                    tile = x[low : low + NEAR_TILE]
-                    near = _distances(tile, y)
-                    near[ids[low : low + NEAR_TILE, None] == other[None, :]] = np.inf
-                    kth = np.partition(near, min(k, near.shape[1]) - 1, axis=1)[:, min(k, near.shape[1]) - 1]
-                    at, col = np.nonzero((near <= kth[:, None] + 2 * slack) & np.isfinite(near))
-                    found.append((at + low, np.sqrt(((tile[at] - y[col]) ** 2).sum(axis=1)), other[col]))
-                at, distance, other = (np.concatenate(c) for c in zip(*found))
-                order = np.lexsort((other, distance, at))
-                at, distance, other = at[order], distance[order], other[order]
-                keep = np.arange(len(at)) - np.searchsorted(at, at) < k
-                best = at[keep], distance[keep], other[keep]
-        at, distance, other = best
-        rank = np.arange(len(at)) - np.searchsorted(at, at) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(other), pa.array(distance), pa.array(rank.astype(np.int32))], ["cell_id", "other", "distance", "rank"])
+                for name in batch.column("_asks")[row].as_py():
+                    ids, x, best = held[name]
+                    held[name] = ids, x, closer(ids, x, best, other, y)
+        for ids, _, (distance, at, other) in held.values():
+            rank = np.arange(len(at)) - np.searchsorted(at, at) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(other), pa.array(distance), pa.array(rank.astype(np.int32))], ["cell_id", "other", "distance", "rank"])
 
     return task
 

@@ -63,3 +63,10 @@ def test_far_rings_are_not_sent(spark):
         batch = pa.RecordBatch.from_pydict({"_kb": ["b"], "key_id": [list(ids)], "key_v": [flat], "id": [list(ids)], "v": [flat]})
         asked += sum(b.num_rows for b in asks(iter([batch])))
     assert asked < 0.2 * len(cells) ** 2
+
+
+def test_members_go_once_to_each_task(spark):
+    asked = spark.createDataFrame([(k % 4, f"k{k}", c, 0, 0) for k in range(50) for c in range(3)], "_kg int, _kb string, _c int, _ring int, _ms int")
+    members = spark.createDataFrame([(c, 0, 0, [c], [0.5]) for c in range(3)], "_c int, _ring int, _ms int, id array<bigint>, v array<double>")
+    sent = neighbors._sent(asked, members).collect()
+    assert len(sent) == 12 and sorted(k for r in sent for k in r["_asks"]) == sorted(f"k{k}" for k in range(50) for _ in range(3))
