@@ -140,14 +140,19 @@ def _best(k: int):
         ends = np.searchsorted(of, np.arange(len(ids)), "right")
         full = ends - np.searchsorted(of, np.arange(len(ids))) >= k
         bound[full] = held[ends[full] - 1]
+        squares = (y * y).sum(1)
         found = [(of, held, best[2])]
         for low in range(0, len(ids), NEAR_TILE):
             tile, most = x[low : low + NEAR_TILE], bound[low : low + NEAR_TILE]
-            near = _distances(tile, y)
-            near[ids[low : low + NEAR_TILE, None] == other[None, :]] = np.inf
-            if not np.isfinite(most).all():
+            if np.isfinite(most).all():  # squares do, and the few that are near enough tell whether they are the key itself
+                at, col = np.nonzero(squares - (2.0 * tile) @ y.T <= ((most + 2 * slack) ** 2 - (tile * tile).sum(1))[:, None])
+                apart = ids[at + low] != other[col]
+                at, col = at[apart], col[apart]
+            else:
+                near = _distances(tile, y)
+                near[ids[low : low + NEAR_TILE, None] == other[None, :]] = np.inf
                 most = np.minimum(most, np.partition(near, min(k, near.shape[1]) - 1, axis=1)[:, min(k, near.shape[1]) - 1])
-            at, col = np.nonzero((near <= most[:, None] + 2 * slack) & np.isfinite(near))
+                at, col = np.nonzero((near <= most[:, None] + 2 * slack) & np.isfinite(near))
             found.append((at + low, np.sqrt(((tile[at] - y[col]) ** 2).sum(axis=1)), other[col]))
         at, distance, other = (np.concatenate(c) for c in zip(*found))
         order = np.lexsort((other, distance, at))
