@@ -85,3 +85,26 @@ def test_masks_hold_every_pair():
         every = np.array([[(1 << len(unit)) - 1 for unit, _ in units]], np.uint64).view(np.int64)
         row, a, b = counts.mask_pairs(every, genes)
         assert list(zip(a.tolist(), b.tolist())) == counts.all_pairs(genes) and not row.any()
+
+
+def test_tests_are_told_apart_cell_by_cell():
+    """Making the tests of a block takes far less memory than their sets written out, with the counts of all sets at once."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    sizes, genes = np.array([6000, 0, 1, 25000, 9000] * 10), 20
+    ends = np.sort(rng.integers(0, genes, (sizes.sum(), 2)), axis=1).astype(np.int32)
+    given = rng.integers(0, genes, (len(ends), 1)).astype(np.int32)
+    tracemalloc.start()
+    tests = counts.Tests(ends[:, 0], ends[:, 1], given, sizes, genes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 * len(ends)  # nearly 300 before, and as many for any number of tests
+    bits = rng.integers(0, 2**63, (len(sizes), genes, 2), dtype=np.uint64)
+    tests.add(slice(0, 23), bits[:23])
+    tests.add(slice(23, 50), bits[23:])
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    z, x, y = bits[owner, given[:, 0]], bits[owner, ends[:, 0]], bits[owner, ends[:, 1]]
+    want = np.stack([counts._tally(c) for c in (z, z & x, z & y, z & x & y)], axis=1)
+    assert (tests.counts == want).all()
+    assert (np.concatenate([four for _, four in tests.parts()], axis=1).T == want).all()
