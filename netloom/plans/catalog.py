@@ -13,7 +13,7 @@ from ..operators import (
     correlation, counts, features, graphs, intervals, katz, modules, motifs, neighborhoods, neighbors, normalize,
     orientation, priors, ranks, skeleton, sparse,
 )
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 from ..sources import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -613,13 +613,13 @@ def gene_activity(spark, sf):
 
 def _part_profiles(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Brand and size as a gene, its parts as peaks, quantity sold per supplier as access: sparse profiles and the profiled genes."""
-    access = views.part_counts(spark, sf).withColumn("peak_name", F.col("feature_id").cast("string"))
+    access = written(views.part_counts(spark, sf).withColumn("peak_name", F.col("feature_id").cast("string")))  # read for quantiles and shares
     name = F.concat_ws("/", "p_brand", "p_size")
     links = views.table(spark, sf, "part").select(name.alias("gene_module_column"), F.col("p_partkey").cast("string").alias("peak_name"), (F.col("p_size") / 50.0).alias("peak_gene_corr"))
     genes = links.select(F.lit("all").alias("module"), F.col("gene_module_column").alias("gene"), F.col("gene_module_column").alias("name")).distinct()
     usable = priors.usable_links(links, genes)
     scaled = normalize.open_scale(access, "peak_name").select("peak_name", "cell_id", "access")
-    return priors.gene_profiles(usable, scaled, "max", 0.6).filter("value <> 0"), usable.select("module", "gene").distinct()
+    return written(priors.gene_profiles(usable, scaled, "max", 0.6).filter("value <> 0")), usable.select("module", "gene").distinct()
 
 
 @query

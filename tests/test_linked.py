@@ -108,3 +108,10 @@ def test_tests_are_told_apart_cell_by_cell():
     want = np.stack([counts._tally(c) for c in (z, z & x, z & y, z & x & y)], axis=1)
     assert (tests.counts == want).all()
     assert (np.concatenate([four for _, four in tests.parts()], axis=1).T == want).all()
+
+
+def test_profiles_are_made_once(spark):
+    from netloom.plans.catalog import QUERIES
+
+    made = QUERIES["joint_profiles"](spark, "/root/testdata/sf0.001")
+    assert made.count() and not any("lineitem" in f for f in made.inputFiles())  # the lines were added up again for the last join
