@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 
 from netloom.operators import counts, neighborhoods, skeleton
@@ -20,6 +22,19 @@ def test_points_between_over_several_blocks():
         assert counts._points_between(seq, corner, low, high).tolist() == want
 
 
+def test_points_between_costs_little_more_than_a_sort():
+    rng = np.random.default_rng(2)
+    seq = rng.permutation(2**20).astype(np.int32)
+    corner = np.sort(rng.integers(0, len(seq) + 1, 4096)).astype(np.int32)
+    low, took = np.full_like(corner, 5), {}
+    for _ in range(3):
+        for name, work in (("sort", lambda: seq.argsort()), ("count", lambda: counts._points_between(seq, corner, low, corner))):
+            start = time.process_time()
+            work()
+            took[name] = min(took.get(name, np.inf), time.process_time() - start)
+    assert took["count"] < 5 * took["sort"]  # blocks that pass over all members took 9 times a sort
+
+
 def test_pair_counts_in_several_passes_over_members(spark):
     expr = _walks(spark)
     vectors = counts.cell_vectors(neighborhoods.cell_neighborhoods(expr, 0.1))
