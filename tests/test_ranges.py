@@ -1,6 +1,7 @@
 import time
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from netloom.operators import counts, neighborhoods, skeleton
 
@@ -61,3 +62,37 @@ def test_levels_give_the_graphs_of_the_walk(spark):
         assert {(r.cell_id, r.a, r.b): list(r.sepset) for r in found.collect()} == sets
         differ.append(want)
     assert max(map(len, sets.values())) > 1 and differ[0] != differ[1]
+
+
+def test_path_counts_are_those_of_the_sets_of_level_one(spark):
+    expr = _walks(spark, 130, 9, 5)
+    vectors = counts.placed_vectors(expr, 0.2).cache()
+    tests = skeleton.level_tests(skeleton.marginal_edges_of(vectors, 0.05), 1)
+    triples = tests.select("module", "cell_id", F.array_sort(F.concat(F.array("a", "b"), "zs")).alias("genes"))
+    want = {(r.cell_id, *r.genes, r.members) for r in counts.set_counts(vectors, triples).collect()}
+    linked = skeleton.marginal_masks(vectors, 0.05)
+    rows = lambda linked: [(r.cell_id, r.g0, r.g1, r.g2, r.members) for r in counts.path_counts(vectors, linked).collect()]
+    got = rows(linked)
+    assert set(got) == want and len(got) == len(want) > 1000
+    assert set(rows(linked.filter("cell_id = 7"))) == {r for r in want if r[0] == 7}
+
+
+def test_paths_meet_the_members_near_them_alone(monkeypatch):
+    rng = np.random.default_rng(3)
+    n, genes = 1500, 6
+    own = np.stack([rng.permutation(n) for _ in range(genes)], axis=1).astype(np.int32)
+    own[own[:, 0] < 400, 0] = 0  # a large tie block
+    lo, hi = np.maximum(own - 100, 0), np.minimum(own + 100, n - 1)
+    masks = rng.integers(0, 2**63, (n, 1))
+    monkeypatch.setattr(counts, "PREFIX_BLOCK", 128)
+    met, real = [], np.searchsorted
+    cells, made, first, rows, keys = counts._sets_of(np.arange(n), np.stack((lo, hi)), masks, genes, 0)
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *more: (met.append(np.size(v)), real(a, v, *more))[1])
+    counts._add_paths(made, first, rows, keys, own)
+    assert sum(met) < 0.6 * 2 * genes * n * -(-n // 128)
+    key, y = np.divmod(rows[0], genes)
+    z = rows[1] - key * genes
+    for at in rng.integers(0, len(key), 200):
+        cell = cells[key[at]]
+        inside = [(own[:, g] >= lo[cell, g]) & (own[:, g] <= hi[cell, g]) for g in (0, y[at], z[at])]
+        assert made[at] == (inside[0] & inside[1] & inside[2]).sum()
