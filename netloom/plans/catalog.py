@@ -145,11 +145,10 @@ def count_triple(spark, sf):
 
 @query
 def ci_level1(spark, sf):
-    expr = views.expression(spark, sf)
-    edges = cut_lineage(skeleton.marginal_edges(expr, FRACTION, LEVEL))
-    found = skeleton.level_outcomes(counts.cell_vectors(neighborhoods.cell_neighborhoods(expr, FRACTION)), edges, 1, LEVEL)
+    vectors = written(counts.cell_vectors(neighborhoods.cell_neighborhoods(views.expression(spark, sf), FRACTION)))
+    found = skeleton.single_outcomes(vectors, LEVEL)
     z = stats.z_score(*[F.col(c) for c in ("c_z", "c_xz", "c_yz", "c_xyz")])
-    return found.select("cell_id", "a", "b", F.get("zs", F.lit(0)).alias("given"), F.get("turn", F.lit(0)).alias("pool"),
+    return found.select("cell_id", "a", "b", "given", "pool",
                         "c_z", "c_xz", "c_yz", "c_xyz", F.when(F.col("c_z") > 1, r6(z)).alias("z"), "separates")
 
 
