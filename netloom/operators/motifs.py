@@ -150,6 +150,14 @@ def best_hits(texts: list[str], blocks, listed: list[dict]):
         at = stop
 
 
+def _best_hit(codes: np.ndarray, motif: dict, cutoff: float) -> tuple | None:
+    """(rel, abs, position, strand) of the best window of one encoded text, or None."""
+    listed = [{**motif, "pssm": motif["matrix"].tolist()}]
+    for _, _, rel, score, place, minus in best_hits(["".join("ACGTN"[c] for c in codes)], _blocks(listed, cutoff), listed):
+        return rel, score, place, "-" if minus else "+"
+    return None
+
+
 def scan_sequences(sequences: DataFrame, motifs: DataFrame, cutoff: float = RELATIVE_CUTOFF) -> DataFrame:
     """Best hit per (peak_name, tf_symbol) over all its motifs and both strands.
 
